@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,13 +136,10 @@ def unparseable_as_failure(runs: DataFrame) -> DataFrame:
     )
 
 
-def rethreshold(runs: DataFrame, tau: float, offset: float) -> DataFrame:
+def success_at(tau: float, offset: float) -> Column:
     """Success read at another threshold; rows without success or score stay as they are."""
-    cut_at = F.lit(round(tau + offset, 6))
     keep = F.col("success").isNull() | F.col("score").isNull()
-    return runs.withColumn(
-        "success", F.when(keep, F.col("success")).otherwise(F.col("score") >= cut_at)
-    )
+    return F.when(keep, F.col("success")).otherwise(F.col("score") >= F.lit(round(tau + offset, 6)))
 
 
 def tool_effects(runs: DataFrame, rules: Rules = Rules(), g: Sequence[str] = G) -> DataFrame:

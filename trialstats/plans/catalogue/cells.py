@@ -52,19 +52,11 @@ def unparseable_as_failure_cells(spark, sf_dir):
 
 def rethreshold_cells(spark, sf_dir):
     base = trials(spark, sf_dir)
-    low, high = (ops.rethreshold(base, 0.8, o) for o in (-0.1, 0.1))
-    both = base.select(
-        *ops.G, *ops.CELL, "success", "score",
-    ).withColumns(
-        {
-            "low": F.when(F.col("score").isNull(), F.col("success")).otherwise(F.col("score") >= 0.7),
-            "high": F.when(F.col("score").isNull(), F.col("success")).otherwise(F.col("score") >= 0.9),
-        }
-    )
-    del low, high
-    return both.groupBy(*ops.G, *ops.CELL).agg(
-        F.count("success").alias("n"), F.count_if("low").alias("k_low"),
-        F.count_if("success").alias("k"), F.count_if("high").alias("k_high"),
+    return base.groupBy(*ops.G, *ops.CELL).agg(
+        F.count("success").alias("n"),
+        F.count_if(ops.success_at(0.8, -0.1)).alias("k_low"),
+        F.count_if("success").alias("k"),
+        F.count_if(ops.success_at(0.8, 0.1)).alias("k_high"),
     )
 
 

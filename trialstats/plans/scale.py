@@ -51,10 +51,10 @@ def hot_key_join(
     salted = marked(facts).withColumn(
         "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0)
     ).drop("_is_hot")
-    last = F.when(F.col("_is_hot"), F.lit(salts - 1)).otherwise(F.lit(0))
+    last = F.when(F.col("_is_hot"), F.lit(salts - 1).cast("bigint")).otherwise(F.lit(0))
     copies = (
         marked(lookup)
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), last)).cast("bigint"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         .drop("_is_hot")
     )
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
