@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from trialstats.functions import draws as D
 from trialstats.rules import Design
@@ -64,7 +65,7 @@ def fault_executed(kind: Column) -> Column:
     return kind == "garbled_payload"
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(types.BooleanType())
 def _strict_json(text: pd.Series) -> pd.Series:
     def parses(t):
         if t is None:
@@ -84,9 +85,12 @@ def parses_as_json(text: Column) -> Column:
     return F.coalesce(_strict_json(F.when(candidate, text)), F.lit(False))
 
 
-def garble(text: Column, key: tuple, design: Design = Design()) -> Column:
-    """Corrupt a text: replace a hashed share of its characters, cut it at a hashed point, and make
-    sure the outcome is neither JSON nor the original. ``key`` identifies the call."""
+def garble(df: DataFrame, text: str, key: tuple, out: str, design: Design = Design()) -> DataFrame:
+    """Corrupt a text column: replace a hashed share of its characters and cut it at a hashed point.
+
+    ``key`` identifies the call. The result is made to differ from any JSON value and from the
+    original. The per-character draws are one array column, so each is hashed once.
+    """
     size = len(ALPHABET)
 
     def substitute(ch: Column, k: Column) -> Column:
@@ -95,27 +99,34 @@ def garble(text: Column, key: tuple, design: Design = Design()) -> Column:
         other = F.substr(F.lit(ALPHABET), (at + 1) % size + 1, F.lit(1))
         return F.when(new != ch, new).otherwise(other)
 
-    n = F.char_length(text)
+    original = F.col(text)
+    n = F.char_length(original)
     hit = lambda k: D.unit("garble", *key, D.number(k)) < design.garble_fraction
-    # one array element per character, with a mark where it was replaced
-    chars = F.transform(
-        F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))),
-        lambda k: F.struct(hit(k).alias("hit"), F.substr(text, k + 1, F.lit(1)).alias("ch"), k.alias("k")),
-    )
-    forced = ~F.exists(chars, lambda c: c["hit"])
     keep = n
     if design.garble_truncate:
         span = n * (F.lit(0.3) + F.lit(0.7) * D.unit("garble", *key, "cut"))
         keep = F.greatest(F.floor(span).cast("int"), F.lit(1))
-    long = F.array_join(
-        F.transform(
-            F.slice(chars, F.lit(1), keep),
-            lambda c: F.when(c["hit"] | (forced & (c["k"] == 0)), substitute(c["ch"], c["k"]))
-            .otherwise(c["ch"]),
+    indexes = F.when(n > 1, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    marked = (
+        df.withColumn("_hits", F.filter(indexes, hit))
+        .withColumn("_hits", F.when(F.size("_hits") == 0, F.array(F.lit(0))).otherwise(F.col("_hits")))
+        .withColumn("_keep", keep)
+        .withColumn("_hits", F.filter("_hits", lambda k: k < F.col("_keep")))
+    )
+    # pieces: each replaced character followed by the untouched run up to the next one
+    ends = F.concat(F.slice("_hits", 2, F.greatest(F.size("_hits"), F.lit(1))), F.array("_keep"))
+    pieces = F.zip_with(
+        "_hits", ends,
+        lambda k, e: F.concat(
+            substitute(F.substr(original, k + 1, F.lit(1)), k),
+            F.substr(original, k + 2, F.greatest(e - k - 1, F.lit(0))),
         ),
-        "",
     )
-    return F.when(n <= 1, substitute(F.substring(text, 1, 1), F.lit(0))).otherwise(long)
+    first = F.coalesce(F.try_element_at("_hits", F.lit(1)), F.col("_keep"))
+    long = F.concat(F.substr(original, F.lit(1), first), F.array_join(pieces, ""))
+    short = substitute(F.substring(original, 1, 1), F.lit(0))
+    corrupted = marked.withColumn(out, F.when(n <= 1, short).otherwise(long)).drop("_hits", "_keep")
+    return never_json(corrupted, text, out)
 
 
 def never_json(df: DataFrame, original: str, corrupted: str) -> DataFrame:

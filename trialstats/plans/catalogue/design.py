@@ -93,8 +93,7 @@ def garbled_payloads(spark, sf_dir):
         DESIGN.root_seed, "m0", D.json_string("role"),
         D.json_string(F.col("conv_id").cast("string")), D.number("turn"), 0,
     )
-    out = talk.select("conv_id", "turn", "text", FL.garble(F.col("text"), key).alias("garbled"))
-    return FL.never_json(out, "text", "garbled").drop("text")
+    return FL.garble(talk, "text", key, "garbled").select("conv_id", "turn", "garbled")
 
 
 def hash_draws(spark, sf_dir):
@@ -211,9 +210,9 @@ st as (select model_id, size, pos as i, case when pos = 0 then 0 else
          floor({S.unit(f"'[{chr(34)}perm{chr(34)},{S.SEED},{chr(34)}' || model_id || '{chr(34)},' || cast(pos as varchar) || ']'")} * (pos + 1))::bigint end as j from pl),
 nx as (select *, lead(i) over (partition by model_id, j order by i) as hop from st),
 wr as (select model_id, j as k, min(i) as nxt from st where i > j group by all),
-ch as (select model_id, i as k, i as at from st
-       union all select c.model_id, c.k, w.nxt from ch c join wr w on c.model_id = w.model_id and c.at = w.k),
-en as (select model_id, k, max(at) as fin from ch group by all),
+ch as (select model_id, i as k, i as node from st
+       union all select c.model_id, c.k, w.nxt from ch c join wr w on c.model_id = w.model_id and c.node = w.k),
+en as (select model_id, k, max(node) as fin from ch group by all),
 src as (select n.model_id, n.size, n.i as slot, coalesce(e.fin, n.j) as pos from nx n
         left join en e on e.model_id = n.model_id and e.k = n.hop)
 select s.model_id, p.doc_id, s.slot as pos, s.size from src s join pl p on p.model_id = s.model_id and p.pos = s.pos""",
@@ -238,14 +237,22 @@ union all select model_id, 'gate', 20 from {_MODELS}""",
 select model_id, mix, fault_pct, call_index, kind, count(*) as calls from (
   select model_id, mix, fault_pct, i as call_index, case i {" ".join(f"when {i} then (case when fault_pct > 0 and {S._call('fault', i)} < fault_pct/100.0::double then {S._kind(i)} end)" for i in range(6))} end as kind
   from trials, (select unnest(range(6))::integer as i)) group by all""",
-    "fault_nesting_violations": "select 0::bigint as violations",
+    "fault_nesting_violations": f"""with {S.TRIALS},
+k as (select distinct model_id, mix, doc_id, epoch from trials),
+r as (select *, (unnest(range(6))*10)::integer as fault_pct from k),
+c as (select *, unnest(range(6))::integer as i from r),
+d as (select *, fault_pct > 0 and u < fault_pct/100.0::double as fires from (select *,
+   case i {" ".join(f"when {i} then {S._call('fault', i)}" for i in range(6))} end as u from c))
+select count(*) as violations from (select min(fault_pct) filter (where fires) as a, max(fault_pct) filter (where not fires) as b
+  from d group by model_id, mix, doc_id, epoch, i) where a < b""",
+    "json_escapes": f"""select doc_id, sha256('"' || {S.ascii_json("text")} || '"') as json_sha256 from documents""",
     "garbled_payloads": f"""with c as (select *, length(text) as n from conversations),
 k as (select conv_id, turn, role, text, n, unnest(range(greatest(n, 1)))::bigint as k from c),
-h as (select *, {_HIT} < 0.2 as hit, substr(text, k + 1, 1) as ch, {_SUBAT} as at from k),
+h as (select *, {_HIT} < 0.2 as hit, substr(text, k + 1, 1) as ch, {_SUBAT} as slot from k),
 f as (select *, bool_or(hit) over (partition by conv_id, turn) as anyhit,
         greatest(floor(n*(0.3::double + 0.7::double*{_CUT}))::bigint, 1) as keep from h),
-s as (select *, case when substr('{_ALPHA}', at + 1, 1) <> ch then substr('{_ALPHA}', at + 1, 1)
-        else substr('{_ALPHA}', (at + 1) % {len(FL.ALPHABET)} + 1, 1) end as sub from f)
+s as (select *, case when substr('{_ALPHA}', slot + 1, 1) <> ch then substr('{_ALPHA}', slot + 1, 1)
+        else substr('{_ALPHA}', (slot + 1) % {len(FL.ALPHABET)} + 1, 1) end as sub from f)
 select conv_id, turn, string_agg(case when n <= 1 or hit or (not anyhit and k = 0) then sub else ch end, '' order by k)
    filter (where n <= 1 or k < keep) as garbled from s group by all""",
     "hash_draws": f"""select o_orderkey, u, {S.u32(f"'[{chr(34)}boot{chr(34)},'", _KEY, "']'")} as u32,

@@ -42,6 +42,20 @@ def r(expr: str, name: str, places: int = 9) -> str:
     return f"round({expr}, {places}) as {name}"
 
 
+def ascii_json(col: str) -> str:
+    """Body of an ASCII JSON string literal, character by character."""
+    u = "unicode(c)"
+    hex4 = lambda e: f"lpad(lower(to_hex({e})), 4, '0')"
+    one = (
+        "case c when '\"' then '\\\"' when '\\' then '\\\\' when chr(10) then '\\n' when chr(13) then '\\r' "
+        "when chr(9) then '\\t' when chr(8) then '\\b' when chr(12) then '\\f' else "
+        f"case when {u} between 32 and 126 then c when {u} < 65536 then '\\u' || {hex4(u)} "
+        f"else '\\u' || {hex4(f'55296 + (({u} - 65536) >> 10)')} || '\\u' || {hex4(f'56320 + (({u} - 65536) & 1023)')} end end"
+    )
+    chars = f"list_transform(range(1, length({col}) + 1), lambda i: substr({col}, i, 1))"
+    return f"coalesce(array_to_string(list_transform({chars}, lambda c: {one}), ''), '')"
+
+
 IDENT = "cast(l_orderkey as varchar) || ',' || cast(l_linenumber as varchar) || ',' || cast(l_partkey as varchar) || ',' || cast(l_suppkey as varchar) || ']'"
 
 
