@@ -59,57 +59,52 @@ def _indexes(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def pair_items(df: DataFrame) -> DataFrame:
-    """Add ``pairs`` from normalized description arrays ``gold_desc`` and ``sub_desc``.
+def _copies(texts: Column) -> Column:
+    """Each text with the number of equal texts before it, so equal copies pair up in order."""
+    return F.transform(texts, lambda t, i: F.concat(
+        F.size(F.filter(F.slice(texts, F.lit(1), i), lambda x: x == t)).cast("string"), F.lit(":"), t))
+
+
+def pair_items(gold: Column, sub: Column) -> Column:
+    """(gold index, submitted index) pairs of two arrays of normalized descriptions.
 
     First equal texts (the k-th copy with the k-th copy), then token overlap of at least 3/5 taken
-    in order of similarity, gold index and submitted index. Similarities are computed only between
-    items the first pass left over.
+    in order of similarity, gold index and submitted index. Overlaps are computed only between
+    items the first pass left over. Arrays used inside a lambda are bound once with ``let``.
     """
     num, den = SIMILAR
-    gold, sub = F.col("gold_desc"), F.col("sub_desc")
-    ng, ns = F.size(gold), F.size(sub)
-    none = F.array().cast(NO_ITEMS)
-
-    def first_free(acc: Column, g: Column) -> Column:
-        free = F.filter(
-            _indexes(ns),
-            lambda s: (F.get(sub, s) != "") & (F.get(sub, s) == F.get(gold, g))
-            & ~F.exists(acc, lambda p: p["s"] == s),
+
+    def exact(g: Column, s: Column) -> Column:
+        found = T.let(_copies(s), lambda sk: F.transform(_copies(g), lambda k, i: F.struct(
+            i.alias("g"), (F.array_position(sk, k) - 1).cast("int").alias("s"))))
+        return F.filter(found, lambda p: (p["s"] >= 0) & (F.get(g, p["g"]) != "")).cast(NO_ITEMS)
+
+    def similar(g: Column, s: Column, pairs: Column) -> Column:
+        free_g = F.array_except(_indexes(F.size(g)), F.transform(pairs, lambda p: p["g"]))
+        free_s = F.filter(
+            F.array_except(_indexes(F.size(s)), F.transform(pairs, lambda p: p["s"])),
+            lambda i: F.get(s, i) != "")
+        words = lambda free, texts: F.transform(free, lambda i: F.struct(
+            i.alias("i"), T.tokens(F.get(texts, i)).alias("t")))
+
+        def one(x: Column, y: Column) -> Column:
+            return T.let(F.size(F.array_intersect(x["t"], y["t"])), lambda n: F.struct(
+                (-n / F.greatest(F.size(x["t"]) + F.size(y["t"]) - n, F.lit(1))).alias("order"),
+                x["i"].alias("g"), y["i"].alias("s"),
+                ((n > 0) & (n * den >= (F.size(x["t"]) + F.size(y["t"]) - n) * num)).alias("near")))
+
+        cands = T.let(words(free_s, s), lambda st: F.flatten(F.transform(
+            words(free_g, g),
+            lambda x: F.filter(F.transform(st, lambda y: one(x, y)), lambda c: c["near"]))))
+        return F.aggregate(
+            F.array_sort(cands), pairs,
+            lambda acc, c: F.when(
+                F.exists(acc, lambda p: (p["g"] == c["g"]) | (p["s"] == c["s"])), acc
+            ).otherwise(F.array_append(acc, F.struct(c["g"].alias("g"), c["s"].alias("s")))),
         )
-        return F.when(
-            F.size(free) > 0, F.array_append(acc, F.struct(g.alias("g"), F.get(free, F.lit(0)).alias("s")))
-        ).otherwise(acc)
-
-    exact = df.withColumn("pairs", F.aggregate(_indexes(ng), none, first_free))
-    left = (
-        exact.withColumn("_g", F.filter(
-            _indexes(ng), lambda g: ~F.exists(F.col("pairs"), lambda p: p["g"] == g)))
-        .withColumn("_s", F.filter(
-            _indexes(ns),
-            lambda s: (F.get(sub, s) != "") & ~F.exists(F.col("pairs"), lambda p: p["s"] == s)))
-        .withColumn("_gt", F.transform("_g", lambda g: F.struct(g.alias("i"), T.tokens(F.get(gold, g)).alias("t"))))
-        .withColumn("_st", F.transform("_s", lambda s: F.struct(s.alias("i"), T.tokens(F.get(sub, s)).alias("t"))))
-    )
 
-    def scored(g: Column) -> Column:
-        def one(s: Column) -> Column:
-            shared, total = T.overlap(g["t"], s["t"])
-            return F.struct(
-                (-shared / F.greatest(total, F.lit(1))).alias("order"), g["i"].alias("g"),
-                s["i"].alias("s"), ((shared * den >= total * num) & (total > 0)).alias("near"),
-            )
-
-        return F.filter(F.transform("_st", one), lambda c: c["near"])
-
-    ranked = left.withColumn("_c", F.array_sort(F.flatten(F.transform("_gt", scored))))
-    greedy = F.aggregate(
-        F.col("_c"), F.col("pairs"),
-        lambda acc, c: F.when(
-            F.exists(acc, lambda p: (p["g"] == c["g"]) | (p["s"] == c["s"])), acc
-        ).otherwise(F.array_append(acc, F.struct(c["g"].alias("g"), c["s"].alias("s")))),
-    )
-    return ranked.withColumn("pairs", greedy).drop("_g", "_s", "_gt", "_st", "_c")
+    return T.let(gold, lambda g: T.let(sub, lambda s: T.let(
+        exact(g, s), lambda pairs: similar(g, s, pairs))))
 
 
 def score(df: DataFrame) -> DataFrame:
@@ -131,20 +126,29 @@ def score(df: DataFrame) -> DataFrame:
             F.transform("_sd", lambda d: T.tidy(F.coalesce(d, F.lit("")))), F.array().cast("array<string>")))
         .withColumn("gold_desc", F.transform("_gd", lambda d: T.tidy(F.coalesce(d, F.lit("")))))
     )
-    t = pair_items(t)
+    t = t.withColumn("pairs", pair_items(F.col("gold_desc"), F.col("sub_desc")))
     texts = lambda n: F.transform("_items", lambda i: i[n])
     for n in ("quantity", "unit_price", "amount"):
         t = t.withColumn(f"_{n}", T.fold_all(texts(n)))
 
-    def same(p: Column, n: str) -> Column:
-        read = V.amount_of_folded(F.get(F.col(f"_{n}"), p["s"]))
-        mine = F.coalesce(F.get(F.col("_items"), p["s"])[f"{n}_n"], read)
-        return V.amounts_match(mine, F.get(F.col("_gold"), p["g"])[n]).cast("int")
+    names = ("quantity", "unit_price", "amount")
 
-    quarters = F.aggregate(
-        F.col("pairs"), F.lit(0),
-        lambda acc, p: acc + 1 + same(p, "quantity") + same(p, "unit_price") + same(p, "amount"),
-    )
+    def parsed(n: str) -> Column:
+        """Amounts of one item field: numbers as they are, strings through the reader."""
+        return F.zip_with(
+            F.transform("_items", lambda i: i[f"{n}_n"]), F.col(f"_{n}"),
+            lambda number, text: F.coalesce(number, V.amount_of_folded(text)))
+
+    def quarters_of(gold_items, q, u, a) -> Column:
+        def one(p: Column) -> Column:
+            g = F.get(gold_items, p["g"])
+            hits = [V.amounts_match(F.get(c, p["s"]), g[n]).cast("int") for c, n in zip((q, u, a), names)]
+            return hits[0] + hits[1] + hits[2] + 1
+
+        return F.aggregate(F.transform("pairs", one), F.lit(0), lambda acc, x: acc + x)
+
+    quarters = T.let(F.col("_gold"), lambda gi: T.let(parsed("quantity"), lambda q: T.let(
+        parsed("unit_price"), lambda u: T.let(parsed("amount"), lambda a: quarters_of(gi, q, u, a)))))
     longest = F.greatest(F.size("gold_desc"), F.size("sub_desc"))
     listed = F.col("_items").isNotNull()
     item_credit = F.when(~listed, 0.0).when(longest == 0, 1.0).otherwise(quarters / 4.0 / longest)
