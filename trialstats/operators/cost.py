@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.plans.scale import running_before
+from trialstats.plans.scale import previous, running_before
 
 USAGE = ("input", "output", "cache_read", "cache_write")
 STOP_AT = 0.95
@@ -66,27 +66,15 @@ def spend_cutoff(priced: DataFrame, cap_usd: float, bucket: Column, order: str)
         "started", F.coalesce("started", F.lit(0)))
 
 
-def transport_streaks(runs: DataFrame, bucket: Column, order: str, g: Sequence[str] = ("model_id",)) -> DataFrame:
-    """Runs that abort right after another transport abort (the stack was down).
-
-    Only the last row of each ordered bucket has to look into a later bucket, so rows are windowed
-    per bucket and the bucket edges are stitched in a table of one row per bucket.
-    """
-    from pyspark.sql.window import Window
-
+def transport_streaks(
+    runs: DataFrame, bucket: Column, order: str, g: Sequence[str] = ("model_id",)
+) -> DataFrame:
+    """Transport aborts, marked when the run before them aborted the same way (the stack was down)."""
     down = (F.col("outcome") == "aborted_transport") & (
         F.coalesce(F.col("abort_cause"), F.lit("unrecorded")) != "unparseable_model_output")
-    base = runs.withColumn("_b", bucket).withColumn("_down", down)
-    inside = Window.partitionBy(*g, "_b").orderBy(order)
-    marked = base.withColumn("_prev", F.lag("_down").over(inside))
-    edge = base.groupBy(*g, "_b").agg(F.max(F.struct(order, "_down")).alias("_last"))
-    before = Window.partitionBy(*g).orderBy("_b")
-    edge = edge.select(*g, "_b", F.lag("_last._down").over(before).alias("_edge"))
-    return (
-        marked.where("_down").join(edge, [*g, "_b"])
-        .withColumn("after_abort", F.coalesce("_prev", "_edge", F.lit(False)))
-        .drop("_b", "_down", "_prev", "_edge")
-    )
+    t = previous(runs.withColumn("_down", down), g, bucket, order, F.col("_down"), "after_abort")
+    return t.where("_down").withColumn(
+        "after_abort", F.coalesce("after_abort", F.lit(False))).drop("_down")
 
 
 def token_means(runs: DataFrame, g: Sequence[str] = ("model_id",)) -> DataFrame:

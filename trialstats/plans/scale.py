@@ -145,3 +145,25 @@ def hashed_order(df: DataFrame, group: Sequence[str], unit: str, tie: str, bucke
         .withColumn("pos", (F.col("_rank") + F.col("_offset")).cast("bigint"))
         .drop("_bucket", "_rank", "_offset")
     )
+
+
+def previous(
+    df: DataFrame, group: Sequence[str], bucket: Column, order: str, value: Column, name: str
+) -> DataFrame:
+    """Add the value of the preceding row of the group, without one task per group.
+
+    Rows are windowed inside ordered buckets; the first row of a bucket takes the last value of the
+    nearest earlier bucket from a table of one row per bucket.
+    """
+    group = list(group)
+    base = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    inside = Window.partitionBy(*group, "_bucket").orderBy(order)
+    marked = base.withColumn("_inner", F.lag(F.struct("_value")).over(inside))
+    edges = base.groupBy(*group, "_bucket").agg(F.max(F.struct(order, "_value")).alias("_last"))
+    across = Window.partitionBy(*group).orderBy("_bucket")
+    edges = edges.select(*group, "_bucket", F.lag("_last._value").over(across).alias("_edge"))
+    return (
+        marked.join(edges, [*group, "_bucket"])
+        .withColumn(name, F.when(F.col("_inner").isNotNull(), F.col("_inner._value")).otherwise(F.col("_edge")))
+        .drop("_bucket", "_value", "_inner", "_edge")
+    )
