@@ -18,6 +18,7 @@ def stall_gaps(
 ) -> DataFrame:
     """Rows that follow their predecessor by more than ``minutes``. Days are the ordered buckets."""
     day = F.to_date(ts) if bucket is None else bucket
+    log = log.withColumn(ts, F.col(ts).cast("timestamp"))
     t = previous(log, key, day, ts, F.col(ts), "previous_ts")
     gap = F.unix_micros(ts) - F.unix_micros("previous_ts")
     return t.withColumn("gap_seconds", gap / F.lit(1_000_000.0)).where(

@@ -198,7 +198,7 @@ def path_redaction(spark, sf_dir):
 
 
 def _snapshots(spark, sf_dir):
-    """Nations as snapshots, suppliers as their documents."""
+    """Twelve snapshots with every supplier as a document."""
     d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("d"))
     return d.withColumn("scope", F.explode(F.lit([f"cov-{i}" for i in range(12)])))
 

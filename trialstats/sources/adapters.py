@@ -35,18 +35,23 @@ def spread(df: DataFrame) -> DataFrame:
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
-def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The derived trial table, written once per session like an ingested run log.
-
-    Partitioned by model and mix; every query then gets column pruning, pushed filters and
-    partition pruning from the written table instead of hashing all draws again.
-    """
+def trials_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the derived trial table, written once per session like an ingested run log."""
     key = (spark.sparkContext.applicationId, os.path.normpath(sf_dir))
     if key not in _WRITTEN:
         path = f"{checkpoint_dir(spark).rstrip('/')}/trials-{uuid.uuid4().hex}"
         derive_trials(spark, sf_dir).write.partitionBy("model_id", "mix").parquet(path)
         _WRITTEN[key] = path
-    return spark.read.parquet(_WRITTEN[key])
+    return _WRITTEN[key]
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written trial table, partitioned by model and mix.
+
+    Every query gets column pruning, pushed filters and partition pruning from it instead of hashing
+    all draws again.
+    """
+    return spark.read.parquet(trials_path(spark, sf_dir))
 
 
 def derive_trials(spark: SparkSession, sf_dir: str, design: Design = Design()) -> DataFrame:
