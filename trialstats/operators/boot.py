@@ -20,37 +20,36 @@ from trialstats.plans.scale import broadcast_if_small, positions
 from trialstats.rules import Rules
 from trialstats.session import parallelism
 
-CHUNK = 4096
 
 
 def resample_index(
     sizes: DataFrame, draws: int, snapshot_id: str, statistics: Sequence[str]
 ) -> DataFrame:
     """(model_id, size, statistic, draw, j, pos) for every draw; ``sizes`` has one row per model
-    and population size. Work is split by draw and by chunk of positions, never by group."""
+    and population size. Draws are spread over the tasks, so one model never sits in one task."""
     spark = sizes.sparkSession
-    last = F.floor((F.col("size") - 1) / CHUNK)
-    chunks = (
+    keys = ("model_id", "size", "statistic", "draw")
+    drawn = (
         sizes.select("model_id", "size", F.explode(F.lit(list(statistics))).alias("statistic"))
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .repartition(parallelism(spark), "model_id", "size", "statistic", "draw", "_chunk")
+        .repartition(parallelism(spark), *keys)
     )
-    first = F.col("_chunk") * CHUNK
-    rows = chunks.withColumn(
-        "j", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("size")) - 1))
-    )
-    hashed = D.u32(
-        "boot", snapshot_id, D.json_string("model_id"), D.token("statistic"), D.number("draw"),
-        D.number("j"),
-    )
-    return rows.select(
-        "model_id", "size", "statistic", "draw", "j", (hashed % F.col("size")).alias("pos")
+    # the payload up to the index is the same for a whole draw, so it is built once per draw
+    head = F.concat(
+        F.lit('["boot",'), D.json_string(F.lit(snapshot_id)), F.lit(","), D.json_string("model_id"),
+        F.lit(","), D.json_string("statistic"), F.lit(","), D.number("draw"), F.lit(","),
     )
+    rows = drawn.withColumn("_head", head).withColumn(
+        "j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+    hashed = D.u32_of(F.sha2(F.concat("_head", D.number("j"), F.lit("]")), 256))
+    # never null: without the default the join would filter on the hash and compute it twice
+    pos = F.coalesce(hashed, F.lit(0).cast("bigint")) % F.col("size")
+    return rows.select(*keys, "j", F.coalesce(pos, F.lit(0).cast("bigint")).alias("pos"))
 
 
 def multiplicities(index: DataFrame) -> DataFrame:
-    """How often each document appears in each draw."""
+    """How often each document appears in each draw. The index is already spread by draw, so this
+    counts inside the tasks without another shuffle."""
     return index.groupBy("model_id", "size", "statistic", "draw", "pos").agg(
         F.count(F.lit(1)).alias("w")
     )
@@ -72,15 +71,17 @@ def draw_sums(
     """Sums of ``values`` over the documents of every draw, per group and statistic.
 
     Groups of one model and size share their indices, so those are hashed once. A document table
-    of proven small size is broadcast; a larger one is joined on its position.
+    of proven small size is broadcast; then every draw starts and ends in one task and nothing is
+    shuffled. A larger table is joined on its position.
     """
     sizes = placed.select("model_id", "size").distinct()
-    index = resample_index(sizes, draws, snapshot_id, statistics)
+    weights = multiplicities(resample_index(sizes, draws, snapshot_id, statistics))
     lookup = broadcast_if_small(placed.select(*g, "size", "pos", *values))
     return (
-        index.join(lookup, ["model_id", "size", "pos"])
-        .groupBy(*g, "statistic", "draw")
-        .agg(*[F.sum(v).alias(v) for v in values])
+        weights.join(lookup, ["model_id", "size", "pos"])
+        .groupBy(*g, "size", "statistic", "draw")
+        .agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values])
+        .drop("size")
     )
 
 

@@ -33,16 +33,20 @@ def first_decision(
     runs: DataFrame, snapshot_id: str, g: Sequence[str] = C.G, rules: Rules = Rules(),
     design: Design = Design(), statistic: str = "p1",
 ) -> P1:
-    """Counts once, then fit, bootstrap and decision from the counts alone."""
+    """Counts once, then fit, bootstrap and decision from the counts alone.
+
+    The three result tables have one row per cell or group; they are written so that the decision,
+    the statements and the snapshot read them instead of running the bootstrap again.
+    """
     grid = K.grid(rules, design)
-    cells = C.cell_table(runs, rules, g)
+    cells = cut(C.cell_table(runs, rules, g))
     placed = B.placed_documents(K.wide_counts(K.document_counts(runs, rules, g), grid, g), g)
     fit = cut(FT.fit_groups(placed, grid, g, rules))
     estimable = fit.where(F.col("status") != "not_estimable").withColumn(
         "drop_column", drop_column("peak", *rules.peak_range)
     )
     draws = B.regression_draws(placed, grid, snapshot_id, g, rules, statistic)
-    boot = B.regression_bootstrap(draws, estimable, g, rules)
+    boot = cut(B.regression_bootstrap(draws, estimable, g, rules))
     return P1(cells, fit, boot, V.verdict_p1(fit, boot, cells, g, rules))
 
 
@@ -92,8 +96,9 @@ def analyze(
     g = C.G
     p1 = first_decision(runs, snapshot_id, g, rules, design)
     recovery = cut(R.recovery_table(runs, snapshot_id, g, rules, pairing))
+    p1.verdict = cut(p1.verdict)
     p2 = V.verdict_p2(recovery, g, rules)
-    counts = C.run_counts(runs, rules, g)
+    counts = cut(C.run_counts(runs, rules, g))
     instrument = C.instrument_check(counts.select(*g), p1.cells, rules, g)
     return {
         "cells": p1.cells,

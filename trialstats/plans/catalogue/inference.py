@@ -14,6 +14,7 @@ from trialstats.plans import analysis as A
 from trialstats.plans.catalogue import sqltext as S
 from trialstats.plans.catalogue.cells import rounded
 from trialstats.plans.catalogue.newtonsql import newton
+from trialstats.session import cut
 from trialstats.sources.adapters import trials
 
 SNAPSHOT = "s1"
@@ -52,11 +53,11 @@ def boot_cell_counts(spark, sf_dir):
                  F.col(f"n_{i}").alias("n"))
         for i, (t, f) in enumerate(cells)
     ]
-    return sums.select(*C.G, "draw", F.inline(F.array(*label)))
+    return sums.select(*C.G, "draw", F.inline(F.array(*label))).where(F.col("n") > 0)
 
 
 def p1_fit(spark, sf_dir):
-    docs = K.wide_counts(K.document_counts(trials(spark, sf_dir)), K.grid())
+    docs = cut(K.wide_counts(K.document_counts(trials(spark, sf_dir)), K.grid()))
     fit = FT.fit_groups(docs, K.grid()).drop("reason")
     return rounded(fit, *[c for c in fit.columns if c.split("_")[0] in (*FT.COEFS, "peak")], places=6)
 
@@ -64,7 +65,7 @@ def p1_fit(spark, sf_dir):
 def fractional_logit(spark, sf_dir):
     counts = K.document_counts(trials(spark, sf_dir)).withColumn(
         "score_sum", F.col("score_sum").cast("double"))
-    docs = K.wide_counts(counts, K.grid(), s="score_sum", n="score_n")
+    docs = cut(K.wide_counts(counts, K.grid(), s="score_sum", n="score_n"))
     fit = FT.fractional_logit(docs, K.grid()).drop("reason")
     return rounded(fit, *[c for c in fit.columns if c.split("_")[0] in (*FT.COEFS, "peak")], places=6)
 

@@ -56,7 +56,7 @@ def ascii_json(col: str) -> str:
     return f"coalesce(array_to_string(list_transform({chars}, lambda c: {one}), ''), '')"
 
 
-IDENT = "cast(l_orderkey as varchar) || ',' || cast(l_linenumber as varchar) || ',' || cast(l_partkey as varchar) || ',' || cast(l_suppkey as varchar) || ']'"
+IDENT = "cast(l_orderkey as varchar) || ',' || cast(l_linenumber as varchar) || ',' || cast(l_partkey as varchar) || ',' || cast(l_suppkey as varchar) || ',' || cast(cast(l_quantity as integer) as varchar) || ',' || cast(date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as varchar) || ']'"
 
 
 def _call(scope: str, i: int) -> str:

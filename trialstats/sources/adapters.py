@@ -58,6 +58,10 @@ def derive_trials(spark: SparkSession, sf_dir: str, design: Design = Design()) -
     """Analysis-ready trial rows (one per line item) with a known outcome surface."""
     li = spread(table(spark, sf_dir, "lineitem"))
     ident = [draws.number(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    ident += [
+        draws.number(F.col("l_quantity").cast("int")),
+        draws.number(F.unix_date(F.col("l_shipdate").cast("date"))),
+    ]
     base = li.select(
         draws.digest("run", *ident).alias("run_id"),
         F.concat(F.lit("m"), (F.col("l_partkey") % 3).cast("string")).alias("model_id"),
