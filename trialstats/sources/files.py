@@ -24,7 +24,7 @@ def read_gold(spark: SparkSession, path) -> DataFrame:
 
 def read_documents(spark: SparkSession, path) -> DataFrame:
     """(doc_id, text): one file per document, Unix line ends, the id is the file stem."""
-    rows = spark.read.option("wholetext", True).text(path)
+    rows = spark.read.text(path, wholetext=True)
     stem = F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "")
     out = rows.select(stem.alias("doc_id"), unix_lines(F.col("value")).alias("text"))
     if out.isEmpty():
