@@ -54,16 +54,19 @@ def ledger(priced: DataFrame, cap_usd: float, bucket: Column, order: Sequence[st
 
 
 def spend_cutoff(priced: DataFrame, cap_usd: float, bucket: Column, order: str) -> DataFrame:
-    """Per model: runs that start before the first one the stop line would refuse."""
+    """Per model: runs that start before the first one the stop line would refuse.
+
+    The first refused row already carries the count and the spend of everything before it.
+    """
     t = ledger(priced, cap_usd, bucket, [order])
-    first = t.groupBy("model_id").agg(
-        F.min(F.when(F.col("over"), F.col(order))).alias("stopped_at"), F.count(F.lit(1)).alias("runs"))
-    started = t.join(first, "model_id").where(
-        F.col("stopped_at").isNull() | (F.col(order) < F.col("stopped_at")))
-    done = started.groupBy("model_id").agg(
-        F.count(F.lit(1)).alias("started"), F.sum("cost_usd").cast("double").alias("spent_usd"))
-    return first.join(done, "model_id", "left").withColumn(
-        "started", F.coalesce("started", F.lit(0)))
+    stop = F.min(F.when(F.col("over"), F.struct(order, "runs_before", "spent_before")))
+    agg = t.groupBy("model_id").agg(
+        stop.alias("_stop"), F.count(F.lit(1)).alias("runs"), F.sum("cost_usd").alias("_all"))
+    return agg.select(
+        "model_id", F.col(f"_stop.{order}").alias("stopped_at"), "runs",
+        F.coalesce("_stop.runs_before", "runs").alias("started"),
+        F.coalesce("_stop.spent_before", "_all").cast("double").alias("spent_usd"),
+    )
 
 
 def transport_streaks(

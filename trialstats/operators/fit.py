@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from trialstats.functions.intervals import peak
 from trialstats.operators.cells import G
 from trialstats.operators.counts import count_columns
+from trialstats.plans.scale import broadcast_if_small
 from trialstats.rules import Rules, z_value
+from trialstats.session import cut
 
 COEFS = ("const", "tc", "tc2", "f")
 PAIRS = [(i, j) for i in range(4) for j in range(i, 4)]
@@ -180,7 +182,8 @@ def estimate(totals: DataFrame, cells, g: Sequence[str] = G, rules: Rules = Rule
 def score_products(docs: DataFrame, fitted: DataFrame, cells, g: Sequence[str] = G) -> DataFrame:
     """Per group: sums over documents of the products of score components (the meat)."""
     x, c = covariates(cells), len(cells)
-    joined = docs.join(fitted.select(*g, *[f"p_{i}" for i in range(c)]), list(g))
+    rates = broadcast_if_small(fitted.select(*g, *[f"p_{i}" for i in range(c)]))
+    joined = docs.join(rates, list(g))
     residual = [F.col(f"s_{i}") - F.col(f"n_{i}") * F.col(f"p_{i}") for i in range(c)]
     parts = joined.select(*g, *[e.alias(f"r_{i}") for i, e in enumerate(residual)])
     scores = []
@@ -241,7 +244,8 @@ def clustered(
 def fit_groups(docs: DataFrame, cells, g: Sequence[str] = G, rules: Rules = Rules()) -> DataFrame:
     """The whole primary fit of every group from its wide document counts."""
     totals = group_totals(docs, cells, g)
-    fitted = estimate(totals, cells, g, rules)
+    # one row per group, used three times below: written so that it is computed once
+    fitted = cut(estimate(totals, cells, g, rules))
     return clustered(docs, totals, fitted, cells, g, rules)
 
 

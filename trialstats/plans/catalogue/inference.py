@@ -130,7 +130,7 @@ def drop_reading(spark, sf_dir):
 
 # ---- SQL ---------------------------------------------------------------------------------------
 
-SCOPE = "tools >= 2 and success is not null"
+SCOPE = "tools >= 2 and success is not null and outcome <> 'aborted_transport'"
 # ``trials_r`` is the trial table fanned out over readings; most statements use one reading.
 COUNTS = f"""
 cnt as (select {GK}, doc_id, tools, fault_pct, count(*) filter (where success) as s, count(*) as n
@@ -142,12 +142,12 @@ tot as (select {GK}, tools - 4.0::double as tc, fault_pct/100.0::double as f, su
         from cnt group by all)"""
 
 
-def _index(statistics: str, source: str) -> str:
+def _index(statistics: str, source: str, name: str = "idx") -> str:
     payload = S.u32(
         f"'[\"boot\",\"{SNAPSHOT}\",\"' || model_id || '\",\"' || statistic || '\",' || cast(draw as varchar) || ',' || cast(j as varchar) || ']'"
     )
     return f"""
-idx as (select model_id, size, statistic, draw, j, {payload} % size as pos
+{name} as (select model_id, size, statistic, draw, j, {payload} % size as pos
         from (select *, unnest(range(size)) as j from
              (select *, unnest(range({DRAWS})) as draw from
              (select *, unnest({statistics}) as statistic from
@@ -268,6 +268,36 @@ verdict as (select *, case when not cap_ok then 'blocked' when c1 and c2 and c3
 
 P1_CTES = f"with recursive {S.TRIALS}, {COUNTS}, {FIT}, {_robust()}, {BOOT_COUNTS}, {BOOT_TABLE}, {_verdict_tables()}"
 
+# The same decision under other readings of success: the trial table is replaced, nothing else.
+_READINGS = {
+    "registered": ("success", "score"),
+    "tau-0.1": ("case when score is null then success else score >= 0.7 end", "score"),
+    "tau+0.1": ("case when score is null then success else score >= 0.9 end", "score"),
+    "unparseable_as_failure": (
+        "case when abort_cause = 'unparseable_model_output' then false else success end",
+        "case when abort_cause = 'unparseable_model_output' then 0.0::double else score end",
+    ),
+}
+
+
+def _reading_sql(name: str) -> str:
+    success, score = _READINGS[name]
+    base = S.TRIALS.replace("trials as (", "trials_base as (")
+    ctes = P1_CTES.replace(
+        S.TRIALS,
+        f"{base},\ntrials as (select * replace ({success} as success, {score} as score) from trials_base)",
+    )
+    return f"""select '{name}' as reading, * from ({ctes}
+select model_id, mix, verdict, 'mle' as estimator, round(case when cap_ok then peak end, 6) as peak,
+       case when cap_ok then boot_peak_lo end as boot_peak_lo, case when cap_ok then boot_peak_hi end as boot_peak_hi,
+       round(case when cap_ok then drop_points end, 6) as drop_points from verdict)"""
+
+
+SENSITIVITY = f"""with v as ({" union all ".join(_reading_sql(n) for n in _READINGS)})
+select v.*, r.verdict as registered, v.verdict <> r.verdict as differs
+from v join v r on r.model_id = v.model_id and r.mix = v.mix and r.reading = 'registered'"""
+
+
 PAIRS = f"""
 ctl as (select {GK}, tools, doc_id, epoch, max(run_id) as control_id, arg_max(turns, run_id) as control_turns,
                arg_max(seconds, run_id) as control_seconds
@@ -284,10 +314,10 @@ dsum as (select {GK}, doc_id, count(*) as pairs, sum(extra_turns) as extra, sum(
          from pairs group by all),
 dpos as (select *, row_number() over (partition by {GK} order by doc_id) - 1 as pos,
                 count(*) over (partition by {GK}) as size from dsum),
-{_index("['p2','p2_net']", "dpos")},
+{_index("['p2','p2_net']", "dpos", "idx2")},
 bs as (select d.model_id, d.mix, i.statistic, i.draw,
          case when i.statistic = 'p2' then sum(extra)::double/sum(pairs) else sum(net)::double/sum(pairs) end as v
-       from idx i join dpos d on i.model_id = d.model_id and i.size = d.size and i.pos = d.pos
+       from idx2 i join dpos d on i.model_id = d.model_id and i.size = d.size and i.pos = d.pos
        group by d.model_id, d.mix, i.statistic, i.draw),
 bo as (select model_id, mix, statistic, v, row_number() over (partition by model_id, mix, statistic order by v) as rn,
               count(*) over (partition by model_id, mix, statistic) as b from bs),
@@ -351,6 +381,20 @@ select model_id, mix, verdict, round(drop_points, 6) as drop_points, round(drop_
             when drop_hi < 15 then 'the drop is smaller than the 15-point margin'
             else 'the drop cannot be told apart from the 15-point margin' end as reading
 from verdict""",
+    "sensitivity_verdicts": SENSITIVITY,
+    "statement_lines": f"""{P1_CTES}, {PAIRS}, {P2_BOOT},
+m as (select {GK}, avg(extra_turns) as r from pairs group by all),
+dt as (select {GK}, cast(max(request_date) as varchar) as d from trials group by all),
+w as (select v.*, m.r, p2b.lo, p2b.hi, dt.d, case when p2b.lo > 0 then 'survives' when p2b.hi < 1 then 'restricted' else 'below resolution' end as v2,
+        a.p between 0.15 - (a.hi - a.lo)/2 and 0.95 + (a.hi - a.lo)/2 as ok
+      from verdict v join m on v.model_id = m.model_id and v.mix = m.mix join p2b on v.model_id = p2b.model_id and v.mix = p2b.mix
+      join dt on v.model_id = dt.model_id and v.mix = dt.mix
+      join cells a on v.model_id = a.model_id and v.mix = a.mix and a.tools = 2 and a.fault_pct = 0)
+select model_id, mix, d || ' | s1 | ' || model_id || ' | mix ' || mix || ' | ' || case when not ok then 'instrument_out_of_calibration: neither proposition moves' else
+  'P1: ' || replace(verdict, '_', ' ') || case when verdict = 'blocked' then '' else ' (' ||
+  case when peak is null then 'peak undefined' else printf('peak %.1f tools [%.1f, %.1f]', peak, boot_peak_lo, boot_peak_hi) end || '; ' ||
+  case when drop_points is null then 'drop undefined' else printf('drop %.0f points [%.0f, %.0f]', drop_points, drop_lo, drop_hi) end || ')' end ||
+  ' | P2: ' || v2 || printf(' (%+.1f turns [%.1f, %.1f])', r, lo, hi) end as statement, ok as moves from w""",
     "population_counts": f"""with {S.TRIALS}, {POP}
 select {GK}, faulted, recovered, faulted - recovered as unrecovered from pop""",
     "control_pairs": f"""with {S.TRIALS}, {PAIRS}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from trialstats.functions import draws as D
 from trialstats.functions import text as T
 from trialstats.functions import values as V
+from trialstats.functions.arguments import args_sha256, matches_schema
 from trialstats.operators import grade as G
 from trialstats.operators import transcripts as X
 from trialstats.plans.catalogue import sqltext as S
@@ -252,6 +253,25 @@ def call_quality(spark, sf_dir):
         F.sum(usage["cache_read_tokens"]).alias("cache_read_tokens"))
 
 
+ARGUMENTS = {
+    "type": "object", "required": ["k"],
+    "properties": {"k": {"type": "integer"}, "tags": {"type": "array", "items": {"type": "string"}}},
+}
+
+
+def argument_checks(spark, sf_dir):
+    """Fingerprint of every event's arguments, and their check against a schema; some are made
+    wrong: a text for the number, no key, a number among the tags."""
+    e = spread(table(spark, sf_dir, "events"))
+    k, n = F.col("event_id") % 4, F.get_json_object("props", "$.k")
+    body = F.when(k == 0, F.concat(F.lit('{"tags": ["a"], "k": '), n, F.lit("}"))).when(
+        k == 1, F.concat(F.lit('{"k": "'), n, F.lit('"}'))).when(k == 2, F.lit('{"tags": []}')).otherwise(
+        F.concat(F.lit('{"k": '), n, F.lit(', "tags": [1]}')))
+    t = e.select("event_id", body.alias("body"))
+    return t.select("event_id", args_sha256(F.col("body")).alias("sha256"),
+                    matches_schema(F.parse_json("body"), ARGUMENTS).alias("valid"))
+
+
 # ---- SQL ---------------------------------------------------------------------------------------
 
 DIGEST = f"sha256('[\"' || role || '\",\"' || {S.ascii_json('text')} || '\"]')"
@@ -298,6 +318,7 @@ QUERIES = {
     "accepted_submissions": accepted_submissions,
     "text_submissions": text_submissions,
     "call_quality": call_quality,
+    "argument_checks": argument_checks,
 }
 
 ORACLES = {
@@ -361,6 +382,9 @@ select model_id, count(*) as specs, sum(n)::bigint as executions, count(*) filte
     "determinism_variants": f"""with {EXEC},
 v as (select run_id, h, string_agg(regime || '/r' || cast(replay as varchar), ',' order by regime || '/r' || cast(replay as varchar)) as p from ex group by all)
 select run_id, count(*) as distinct_transcripts, string_agg(p, ';' order by p) as places from v group by run_id having count(*) > 1""",
+    "argument_checks": """select event_id, event_id % 4 = 0 as valid, sha256(case event_id % 4
+   when 0 then '{"k":' || (props->>'$.k') || ',"tags":["a"]}' when 1 then '{"k":"' || (props->>'$.k') || '"}'
+   when 2 then '{"tags":[]}' else '{"k":' || (props->>'$.k') || ',"tags":[1]}' end) as sha256 from events""",
     "accepted_submissions": """select o_orderkey, o_orderkey % 3 = 0 or o_orderkey % 5 <> 0 as found,
   case when o_orderkey % 3 = 0 then o_orderkey when o_orderkey % 5 <> 0 then o_orderkey + 1 end as invoice_number from orders""",
     # the nested object also counts: the scan starts again at its own brace

@@ -38,7 +38,7 @@ def abort_cause(outcome: Column, events: Column) -> Column:
     return F.when(outcome == "aborted_transport", F.coalesce(cause, F.lit("unrecorded")))
 
 
-def classify_abort(error: Column, marker: str = "Failed to parse") -> Column:
+def classify_abort(error: Column, marker: str = "does not match the expected") -> Column:
     """Abort text to cause: the marker means the output could not be parsed."""
     return F.when(F.contains(error, F.lit(marker)), "unparseable_model_output").otherwise("transport")
 
