@@ -31,12 +31,12 @@ def call_key(design: Design = Design()) -> tuple:
 def assign_faults(calls: DataFrame, design: Design = Design(), exempt: str | None = None) -> DataFrame:
     """Add ``fires`` and ``kind`` to calls (model, mix, document, epoch, call index, fault rate)."""
     key = call_key(design)
-    fires = D.unit("fault", *key) < F.col("fault_pct") / F.lit(100.0)
-    fires = (F.col("fault_pct") > 0) & fires
+    drawn = calls.withColumns({"_u1": D.unit("fault", *key), "_u2": D.unit("kind", *key)})
+    fires = (F.col("fault_pct") > 0) & (F.col("_u1") < F.col("fault_pct") / F.lit(100.0))
     if exempt is not None:
         fires = fires & (F.col("tool") != exempt)
-    kind = D.choice_weighted(D.unit("kind", *key), design.fault_kinds, design.fault_weights)
-    return calls.withColumn("fires", fires).withColumn("kind", F.when(F.col("fires"), kind))
+    kind = D.choice_weighted(F.col("_u2"), design.fault_kinds, design.fault_weights)
+    return drawn.withColumn("fires", fires).withColumn("kind", F.when(F.col("fires"), kind)).drop("_u1", "_u2")
 
 
 def nesting_violations(calls: DataFrame, design: Design = Design()) -> DataFrame:

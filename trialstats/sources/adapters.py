@@ -90,12 +90,14 @@ def derive_trials(spark: SparkSession, sf_dir: str, design: Design = Design()) -
         {f"_hit_{i}": draws.unit("fault", *call_key, i) < rate for i in range(CALLS)}
     )
     hits = [F.col(f"_hit_{i}") for i in range(CALLS)]
-    first_kind = F.lit(None).cast("string")
+    # one kind draw per row: that of the first call that was hit
+    first_call = F.lit(None).cast("int")
     for i in reversed(range(CALLS)):
-        kind = draws.choice_weighted(
-            draws.unit("kind", *call_key, i), design.fault_kinds, design.fault_weights
-        )
-        first_kind = F.when(hits[i], kind).otherwise(first_kind)
+        first_call = F.when(hits[i], F.lit(i)).otherwise(first_call)
+    base = base.withColumn("_first", first_call).withColumn(
+        "_kind_u", draws.unit("kind", *call_key, draws.number("_first")))
+    first_kind = draws.choice_weighted(F.col("_kind_u"), design.fault_kinds, design.fault_weights)
+    first_kind = F.when(F.col("_first").isNotNull(), first_kind)
     tc = F.col("tools") - F.lit(4.0)
     eta = (
         F.lit(1.6) - F.lit(0.6) * tc - F.lit(0.6) * tc * tc
@@ -129,5 +131,5 @@ def derive_trials(spark: SparkSession, sf_dir: str, design: Design = Design()) -
         .withColumn("output_tokens", F.col("_order") % 300 + 20)
         .withColumn("cache_read_tokens", F.col("_order") % 4000)
         .withColumn("cache_write_tokens", F.col("_order") % 800)
-        .drop("_quality", "l_tax", "_order", *[f"_hit_{i}" for i in range(CALLS)])
+        .drop("_quality", "l_tax", "_order", "_first", "_kind_u", *[f"_hit_{i}" for i in range(CALLS)])
     )
