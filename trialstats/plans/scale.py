@@ -10,14 +10,16 @@ from pyspark.sql.window import Window
 
 from trialstats.session import cut
 
-BROADCAST_ROWS = 200_000
+BROADCAST_VALUES = 8_000_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Broadcast hint only when a count proves the side is small; otherwise the planner chooses.
 
-    Call it on a written (cut) table, so the count does not recompute anything.
+    The limit is on rows times columns (8 million numbers are 64 MB). Call it on a written (cut)
+    table, so the count does not recompute anything.
     """
+    rows = rows or BROADCAST_VALUES // len(df.columns)
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 

@@ -40,7 +40,8 @@ def trials_path(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, os.path.normpath(sf_dir))
     if key not in _WRITTEN:
         path = f"{checkpoint_dir(spark).rstrip('/')}/trials-{uuid.uuid4().hex}"
-        derive_trials(spark, sf_dir).write.partitionBy("model_id", "mix").parquet(path)
+        rows = derive_trials(spark, sf_dir).drop("u", "u_abort")
+        rows.write.partitionBy("model_id", "mix").parquet(path)
         _WRITTEN[key] = path
     return _WRITTEN[key]
 
