@@ -17,8 +17,8 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
-        # let the JIT compile the long generated methods of wide aggregations
-        .config("spark.driver.extraJavaOptions", "-XX:-DontCompileHugeMethods")
+        # longer generated methods are never compiled by the JIT; Spark then splits them instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
