@@ -310,5 +310,4 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         sha256_hex(F.array_join(F.array_sort("items"), ",")).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
-        F.expr("concat_ws(',', transform(spans, s -> concat(s.start, ':', s.end)))").alias("removal_spans"),
     )

@@ -3,12 +3,55 @@
 from __future__ import annotations
 
 from trialstats.llm.decontamination import op1_decontamination
+from trialstats.llm.neardup import op3_neardup
 from trialstats.llm.personal import op10_personal
 from trialstats.llm.sharding import op6_sharding
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_neardup": op3_neardup,
     "op6_sharding": op6_sharding,
     "op10_personal": op10_personal,
 }
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_DECONTAMINATION = f"""
+with recursive docs as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from documents),
+items as (
+  select item_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') w from benchmark),
+windows as (
+  select distinct item_id, least(len(w), 10) m, array_to_string(w[i:i + 9], ' ') win
+  from (select item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) i from items where len(w) > 0)),
+lengths as (select distinct m from windows),
+places as (
+  select doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') win
+  from (select doc_id, w, m, unnest(range(1, len(w) - m + 2)) i from docs, lengths where len(w) >= m)),
+found as (select doc_id, i, p.m, item_id from places p join windows x on p.m = x.m and p.win = x.win),
+hit as (select doc_id, count(distinct i + k) n from (select doc_id, i, unnest(range(m)) k from found) group by doc_id),
+own as (
+  select doc_id, count(distinct item_id) n, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) l
+  from found group by doc_id)
+select d.doc_id, len(w) n_words, coalesce(hit.n, 0) n_hit, coalesce(own.n, 0) n_items,
+       sha256(coalesce(own.l, '')) items_sha256, coalesce(hit.n, 0) > 0 contaminated
+from docs d left join hit using (doc_id) left join own using (doc_id)"""
+
+_NEARDUP = f"""
+with recursive docs as (
+  select doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') w from documents),
+sets as (
+  select distinct doc_id, case when len(w) < 5 then array_to_string(w, ' ') else array_to_string(w[i:i + 4], ' ') end sh
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i from docs where len(w) > 0)),
+sizes as (select doc_id, count(*) n from sets group by doc_id),
+pairs as (
+  select a.doc_id x, b.doc_id y, count(*) c from sets a join sets b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+links as (
+  select x, y from pairs join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 75 * (a.n + b.n - c)),
+reach as (select doc_id x, doc_id y from docs union select r.x, l.y from reach r join links l on l.x = r.y)
+select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept
+from docs d left join sizes using (doc_id) join (select x doc_id, min(y) component_id from reach group by x) using (doc_id)"""
+
+ORACLES: dict[str, str] = {
+    "op1_decontamination": _DECONTAMINATION,
+    "op3_neardup": _NEARDUP,
+}
