@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-Each language gets a zstandard raw-content dictionary made of a bounded sample of its labelled texts. A text is cut
+Each language gets a zstandard raw-content dictionary made of a bounded sample of its labelled texts. A text is
+reduced to its lower-case letters (shouting, tables and symbols would blur the sizes) and cut
 into blocks of ``BLOCK`` bytes, every block is encoded with the dictionary of every language, and the language with
 the smallest total wins. Blocks keep the dictionary in charge: within one long frame a text would soon predict itself.
 A prediction whose margin over the second is below ``MARGIN`` of its own size is marked as rejected.
@@ -26,14 +27,17 @@ from pyspark.sql import types as T
 
 from trialstats.llm.common import held_out, table
 
-SAMPLES = 128
-PIECE = 1000
+SAMPLES = 256
+PIECE = 400
 BLOCK = 4096
-LEVEL = 3
+LEVEL = 9
+#: all dictionaries are cut to the shortest one's size, but not below this
+LEAST_DICTIONARY = 16_384
 #: share of the smallest size by which the second must be larger
 MARGIN = 0.01
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
+_OTHER = re.compile(r"[\W\d_]+")
 _PREDICTION = T.StructType([
     T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()),
     T.StructField("margin", T.DoubleType()), T.StructField("rejected", T.BooleanType()),
@@ -56,7 +60,14 @@ def fit(docs: DataFrame, samples: int = SAMPLES, piece: int = PIECE) -> dict[str
     for r in chosen.collect():  # at most ``samples`` short pieces a language
         pieces.setdefault(r.lang, []).append((r._hash, r.piece))
     order = sorted(pieces, key=lambda x: (-rows[x], x))
-    return {x: "\n".join(p for _, p in sorted(pieces[x])).encode("utf-8", "replace") for x in order}
+    data = {x: letters(" ".join(p for _, p in sorted(pieces[x]))) for x in order}
+    size = max(LEAST_DICTIONARY, min(map(len, data.values()), default=0))  # equal sizes make equal offsets
+    return {x: d[-size:] for x, d in data.items()}
+
+
+def letters(text: str) -> bytes:
+    """Lower-case letters of a text, with one space for whatever stands between."""
+    return _OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 class Compressors:
@@ -79,7 +90,7 @@ class Compressors:
     def predict(self, text: str | None) -> dict:
         if text is None or not self.names or not _LETTER.search(text):
             return {"lang": UNKNOWN, "score": 0.0, "margin": 0.0, "rejected": True}
-        sizes = self.sizes(text.encode("utf-8", "replace"))
+        sizes = self.sizes(letters(text))
         best = int(np.argmin(sizes))
         second = min((s for k, s in enumerate(sizes) if k != best), default=2 * sizes[best])
         margin = float(second - sizes[best]) / float(sizes[best])

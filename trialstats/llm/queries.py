@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from trialstats.llm.decontamination import op1_decontamination
+from trialstats.llm.language import op8_language
 from trialstats.llm.neardup import op3_neardup
 from trialstats.llm.personal import op10_personal
 from trialstats.llm.sharding import op6_sharding
+from trialstats.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op3_neardup": op3_neardup,
+    "op4_toxicity": op4_toxicity,
     "op6_sharding": op6_sharding,
+    "op8_language": op8_language,
     "op10_personal": op10_personal,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

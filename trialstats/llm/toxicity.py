@@ -29,13 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialstats.llm.common import held_out, table
+from trialstats.llm.neardup import WordHashes, shingles
 from trialstats.session import cut
 
 #: labelled rows that the model is fitted on, at most
 FIT_TOXIC, FIT_CLEAN = 3000, 6000
 #: terms of the lexicon, at most; the strongest are kept
 TERMS = 20_000
-LEAST_TOXIC, LEAST_RATIO, LEAST_SUPPORT = 3, 25.0, 8.0
+LEAST_TOXIC, LEAST_RATIO, LEAST_SUPPORT = 3, 18.0, 30.0
 PREFIXES = range(3, 9)
 THRESHOLD = 0.7
 #: characters on each side of a hit
@@ -210,6 +211,11 @@ def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) ->
         g2, odds = _evidence(pos, neg, n_pos, n_neg)
         if pos / n_pos > neg / n_neg and g2 >= LEAST_RATIO and odds >= math.log(LEAST_SUPPORT):
             strong[token] = (pos, odds)
+    below: dict[str, list[str]] = {}
+    for token in strong:
+        bare = token.rstrip("*")
+        for k in range(1, len(bare) + 1):
+            below.setdefault(bare[:k], []).append(token)
     out: dict[str, float] = {}
     for token in sorted(strong, key=lambda t: (len(t), t)):
         bare = token.rstrip("*")
@@ -217,10 +223,8 @@ def choose_terms(counts: list[tuple[str, int, int]], n_pos: int, n_neg: int) ->
             continue
         pos, odds = strong[token]
         if token.endswith("*"):
-            same = [t for t in strong if t != token and t.startswith(bare) and len(t.rstrip("*")) >= len(bare)
-                    and strong[t][0] == pos]
-            if same:
-                continue  # a longer stem or the word itself says the same
+            if any(strong[t][0] >= 0.6 * pos and strong[t][1] >= odds for t in below[bare] if t != token):
+                continue  # a longer stem or the word itself says as much
         out[token] = odds
     return out
 
@@ -261,6 +265,14 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield out()
 
 
+@F.arrow_udf(T.LongType())
+def least_shingle(texts: pa.Array) -> pa.Array:
+    """Least shingle hash of each text: equal for most near copies."""
+    hashes = WordHashes()
+    sets = [shingles((t.as_py() or "").encode("utf-8", "replace"), hashes) for t in texts]
+    return pa.array([int(s[0] >> np.uint64(1)) if len(s) else None for s in sets], pa.int64())
+
+
 def _feature_column(shared):
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def column(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -280,7 +292,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], np.ndarra
     chosen = known.where("toxic = 1").orderBy(mixed, "doc_id").limit(FIT_TOXIC).unionAll(
         known.where("toxic = 0").orderBy(mixed, "doc_id").limit(FIT_CLEAN))
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # FIT_TOXIC + FIT_CLEAN rows at most
-    rows = cut(rows.dropDuplicates(["doc_id"]).select("text", "toxic"))
+    rows = rows.withColumn("_least", least_shingle("text")).dropDuplicates(["toxic", "_least"])  # copies teach once
+    rows = cut(rows.select("text", "toxic"))
     size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not (size.get(0) and size.get(1)):
         return {}, None
