@@ -223,7 +223,7 @@ def _blockwise(percent: int):
 
         for batch in batches:
             for row in batch.to_pylist():
-                if held and (row["block"], row["key"], row["band"]) != (held[0]["block"], held[0]["key"], held[0]["band"]):
+                if held and (row["block"], row["key"]) != (held[0]["block"], held[0]["key"]):
                     yield emit()
                     held = []
                 held.append(row)
@@ -234,12 +234,12 @@ def _blockwise(percent: int):
 
 
 def _buckets(classes: DataFrame, registers: int, bands: int) -> DataFrame:
-    """band, key, digest of every class that shares a bucket with another."""
+    """key and digest of every class that shares a bucket (band and its registers) with another."""
     width = registers // bands
-    keys = F.array(*(F.xxhash64(F.substring("sketch", 1 + width * b, width)) for b in range(bands)))
-    rows = classes.select("digest", F.posexplode(keys).alias("band", "key")).repartition("band", "key")
-    shared = rows.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
-    return rows.join(shared, ["band", "key"], "left_semi")
+    keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 1 + width * b, width)) for b in range(bands)))
+    rows = classes.select("digest", F.explode(keys).alias("key")).repartition("key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    return rows.join(shared, "key", "left_semi")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -260,8 +260,8 @@ def _rooted(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Each class with the hub of its bucket's largest component, if it is in another component."""
-    hubs = _largest(members).select("band", "key", F.col("big.root").alias("_root"), F.col("big.hub").alias("hub"))
-    return members.join(hubs, ["band", "key"]).where("root <> _root").select(
+    hubs = _largest(members).select("key", F.col("big.root").alias("_root"), F.col("big.hub").alias("hub"))
+    return members.join(hubs, "key").where("root <> _root").select(
         F.greatest("digest", "hub.digest").alias("a"), F.least("digest", "hub.digest").alias("b"),
         F.when(F.col("digest") > F.col("hub.digest"), F.struct("sketch", "n")).otherwise(F.struct("hub.sketch", "hub.n")).alias("x"),
         F.when(F.col("digest") > F.col("hub.digest"), F.struct("hub.sketch", "hub.n")).otherwise(F.struct("sketch", "n")).alias("y"),
@@ -270,46 +270,48 @@ def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 def _largest(members: DataFrame) -> DataFrame:
     """Per bucket: its rows, and its largest component with that one's first class by hash."""
-    parts = members.groupBy("band", "key", "root").agg(
+    parts = members.groupBy("key", "root").agg(
         F.count("*").alias("rows"),
         F.min(F.struct(F.xxhash64("digest").alias("h"), "digest", "sketch", "n")).alias("hub"))
-    return parts.groupBy("band", "key").agg(
+    return parts.groupBy("key").agg(
         F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("rows", "root", "hub")).alias("big"))
 
 
 def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
     """Classes outside their bucket's largest component with all of other components that look near."""
     big = _largest(members).where("parts > 1").select(
-        "band", "key", F.col("big.root").alias("_root"),
+        "key", F.col("big.root").alias("_root"),
         F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("big.rows")) * F.col("rows") / F.lit(BLOCK_PAIRS)))
         .cast("int").alias("blocks"))
-    rows = members.join(big, ["band", "key"]).withColumn("outside", F.col("root") != F.col("_root"))
+    rows = members.join(big, "key").withColumn("outside", F.col("root") != F.col("_root"))
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     rows = rows.select(
-        "band", "key", "digest", "root", "sketch", "n", "outside", own.alias("own"),
+        "key", "digest", "root", "sketch", "n", "outside", own.alias("own"),
         F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = rows.select("band", "key", "block", "digest", "root", "sketch", "n",
+    rows = rows.select("key", "block", "digest", "root", "sketch", "n",
                        (F.col("outside") & (F.col("own") == F.col("block"))).alias("left"))
-    sorted_ = rows.repartition("band", "key", "block").sortWithinPartitions("band", "key", "block", "digest")
+    sorted_ = rows.repartition("key", "block").sortWithinPartitions("key", "block", "digest")
     found = sorted_.mapInArrow(_blockwise(percent), "a binary, b binary")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, component_id and kept of each row of ``docs``."""
+    """doc_id, n_shingles, digest of the set, root (a digest, null for an empty set), component_id and kept of each row."""
     rows = docs.select("doc_id", summaries(utf8(F.col("text"))).alias("_s"))
     rows = cut(rows.select("doc_id", "_s.n", "_s.digest", "_s.sketch"))
     classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("sketch", "n")).alias("one"))
     classes = classes.select("digest", "one.sketch", "one.n")
     buckets = _buckets(classes, REGISTERS, BANDS)
-    members = cut(buckets.join(classes, "digest").select("band", "key", "digest", "sketch", "n"))
+    members = cut(buckets.join(classes, "digest").select("key", "digest", "sketch", "n"))
     wanted = members.select("digest").distinct()
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
     ids = rows.where("n > 0").select(key, "digest").join(wanted, "digest", "left_semi")
     ids = ids.groupBy("digest").agg(F.min("_id").alias("_id")).select("_id").distinct()
     sets = docs.select(key, "text").join(ids, "_id", "left_semi")
     sets = sets.select(full_sets(utf8(F.col("text"))).alias("_s")).select("_s.digest", "_s.elements")
-    sets = cut(sets.dropDuplicates(["digest"]).join(wanted, "digest", "left_semi"))
+    # an explicit number of partitions stays known after the cut: confirming moves pairs, not all sets again
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sets = cut(sets.repartition(parts, "digest").dropDuplicates(["digest"]))
     links, roots = None, None
     for turn in range(HUB_ROUNDS + 1):
         make = _hub_pairs if turn < HUB_ROUNDS else _rest_pairs
@@ -320,10 +322,36 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
     return named.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), "digest",
+        "doc_id", F.col("n").alias("n_shingles"), "digest", "root",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+@F.arrow_udf(T.BinaryType())
+def set_digests(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Digest of each text's shingle set."""
+    hashes = WordHashes()
+    for texts in batches:
+        yield pa.array(_sets(texts, hashes)[1], pa.binary())
+
+
+def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """One row of ``docs`` per component, that of the smallest doc_id; rows without words all stay."""
+    found = cut(near_duplicates(docs, percent).select("doc_id", "digest", "root"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    best = found.where("root is not null").groupBy("root").agg(F.min(order).alias("one"))
+    best = best.select(F.col("one.doc_id").alias("_id"), F.col("one.digest").alias("_best"))
+    empty = found.where("root is null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_best")).distinct()
+    rows = docs.withColumn("_set", set_digests(utf8(F.col("text"))))
+    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_set") == F.col("_best")]
+    kept = rows.join(best.unionAll(empty), same[0] & same[1], "left_semi")
+    again = found.where("root is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
+    again = cut(again.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_best")))
+    if again.isEmpty():
+        return kept.drop("_set")
+    once = kept.join(again, same[0] & same[1], "left_semi").dropDuplicates(["doc_id", "_set"])
+    return kept.join(again, same[0] & same[1], "left_anti").unionAll(once).drop("_set")
+
+
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "root")

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from trialstats.llm.decontamination import op1_decontamination
+from trialstats.llm.extraction import op2_extraction
 from trialstats.llm.language import op8_language
+from trialstats.llm.licenses import op9_licenses
+from trialstats.llm.mixing import op5_mixing
 from trialstats.llm.neardup import op3_neardup
 from trialstats.llm.personal import op10_personal
+from trialstats.llm.search import op7_search
 from trialstats.llm.sharding import op6_sharding
 from trialstats.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_extraction": op2_extraction,
     "op3_neardup": op3_neardup,
     "op4_toxicity": op4_toxicity,
+    "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
+    "op7_search": op7_search,
     "op8_language": op8_language,
+    "op9_licenses": op9_licenses,
     "op10_personal": op10_personal,
+    "pipeline": corpus_pipeline.run,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -55,7 +65,19 @@ reach as (select doc_id x, doc_id y from docs union select r.x, l.y from reach r
 select d.doc_id, coalesce(n, 0) n_shingles, component_id, d.doc_id = component_id kept
 from docs d left join sizes using (doc_id) join (select x doc_id, min(y) component_id from reach group by x) using (doc_id)"""
 
+_SEARCH = """
+with v as (
+  select vec_id, min(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) e from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  group by vec_id),
+scored as (
+  select q.vec_id query_id, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) as bigint) score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from scored)
+select query_id, rank, vec_id, score from ranked where rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": _DECONTAMINATION,
     "op3_neardup": _NEARDUP,
+    "op7_search": _SEARCH,
 }
