@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialstats.session import checkpoint_dir
+
 #: columns of the documents table, in order
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,5 +34,21 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def small(frame: DataFrame, rows: int) -> DataFrame:
+    """``frame`` to be broadcast if it has at most ``rows`` rows, as it is beyond."""
+    return F.broadcast(frame) if frame.count() <= rows else frame
+
+
 def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
+
+
+@contextmanager
+def work_tables(spark: SparkSession) -> Iterator[str]:
+    """A database in the shared checkpoint folder for written tables; it goes with them at the end."""
+    name = f"work_{uuid.uuid4().hex}"
+    spark.sql(f"create database {name} location '{checkpoint_dir(spark)}/{name}'")
+    try:
+        yield name
+    finally:
+        spark.sql(f"drop database {name} cascade")

@@ -78,6 +78,11 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def plain(text: str) -> bytes:
+    """What is compressed: lower case, single spaces."""
+    return " ".join(text.lower().split()).encode("utf-8", "replace")
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         import zstandard as z
@@ -86,7 +91,7 @@ class Scanner:
         self.alone = z.ZstdCompressor(**options)
         self.templates = []
         for name, wording in templates:
-            d = z.ZstdCompressionDict(wording.encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+            d = z.ZstdCompressionDict(plain(wording), dict_type=z.DICT_TYPE_RAWCONTENT)
             words = [w.lower() for w in _WORD.findall(wording)]
             self.templates.append((name, words, z.ZstdCompressor(dict_data=d, **options)))
         self.seen: dict[str, list[tuple[float, int]]] = {}
@@ -96,7 +101,7 @@ class Scanner:
         if block not in self.seen:
             if len(self.seen) > 10_000:
                 self.seen.clear()
-            data = block.encode("utf-8", "replace")
+            data = plain(block)
             size = len(self.alone.compress(data))
             gains = [(1 - len(c.compress(data)) / size, k) for k, (_, _, c) in enumerate(self.templates)]
             self.seen[block] = sorted((g for g in gains if g[0] >= LEAST_GAIN), key=lambda g: (-g[0], g[1]))

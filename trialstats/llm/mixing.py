@@ -92,7 +92,7 @@ def rake(cells: np.ndarray, targets: list[np.ndarray]) -> list[np.ndarray]:
             margin = now.sum(tuple(a for a in range(now.ndim) if a != axis))
             gap = max(gap, float(np.abs(margin - target).max()))
             step = np.divide(target, margin, out=np.ones_like(target), where=margin > 0)
-            factors[axis] *= step
+            factors[axis] = np.clip(factors[axis] * step, 1e-12, 1e12)  # targets may contradict empty cells
             now = now * step.reshape([-1 if a == axis else 1 for a in range(now.ndim)])
         if gap < CLOSE:
             break
