@@ -113,11 +113,11 @@ class Lexicon:
         """Term, weight and edits of the best match."""
         node = self.trie
         best = None
-        for c in word:
+        for k, c in enumerate(word, 1):
             node = node.get(c)
             if node is None:
                 break
-            if "*" in node:
+            if "*" in node and k < len(word):
                 best = node["*"]
         else:
             best = node.get("", best)
