@@ -35,3 +35,11 @@ def test_argument_fingerprint(spark):
     got = [r[0] for r in df.select(args_sha256(F.col("t"))).collect()]
     want = hashlib.sha256(json.dumps({"a": [1, "é"], "b": 1}, separators=(",", ":")).encode()).hexdigest()
     assert got[0] == got[2] == want and got[1] == hashlib.sha256(b'"not json"').hexdigest()
+
+
+def test_large_integers_and_quoted_keys(spark):
+    schema = {"type": "object", "required": ["a.b"], "properties": {"a.b": {"type": "integer"}, 'q"': {"type": ["null", "string"]}}}
+    cases = {'{"a.b": 12345678901234567890}': True, '{"a.b": 1.5}': False, '{"a": {"b": 1}}': False,
+             '{"a.b": 1, "q\\"": 2}': False, '{"a.b": 1, "q\\"": null}': True}
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r.t: r.ok for r in df.select("t", matches_schema(F.parse_json("t"), schema).alias("ok")).collect()} == cases

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -30,42 +32,64 @@ def args_sha256(text: Column) -> Column:
     return F.sha2(_canonical(text), 256)
 
 
-def _is(kind: Column, name: str) -> Column:
-    number = kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT|DECIMAL|FLOAT|DOUBLE)")
-    return {
-        "string": kind == "STRING",
-        "number": number,
-        "integer": kind.rlike("^(TINYINT|SMALLINT|INT|BIGINT)"),
-        "boolean": kind == "BOOLEAN",
-        "array": kind.startswith("ARRAY"),
-        "object": kind.startswith("OBJECT"),
-        "null": kind == "VOID",
-    }.get(name, F.lit(False))
-
-
-def matches_schema(value: Column, schema: dict, depth: int = 0) -> Column:
-    """Predicate generated from a small JSON schema: types, required keys and declared properties
-    of objects at depth 0 and 1, element types of arrays there, and nothing deeper."""
-    declared = schema.get("type")
-    names = declared if isinstance(declared, list) else [declared] if declared else []
+# The variant types that each declared type accepts.
+KINDS = {
+    "string": "STRING", "boolean": "BOOLEAN", "null": "VOID", "array": "ARRAY<.*", "object": "OBJECT<.*",
+    "integer": r"(TINYINT|SMALLINT|INT|BIGINT|DECIMAL\((19|[23][0-9]),0\))",
+    "number": r"(TINYINT|SMALLINT|INT|BIGINT|DECIMAL\([0-9]+,[0-9]+\)|FLOAT|DOUBLE)",
+}
+#: step of a path that stands for every element of an array
+EACH = object()
+DEPTH = 1
+
+
+@dataclass(frozen=True)
+class Check:
+    """At ``path``: the value is of one of ``kinds``, or an object there holds ``key``."""
+
+    path: tuple
+    kinds: tuple[str, ...] | None = None
+    key: str | None = None
+
+
+def compile_schema(schema: dict) -> list[Check]:
+    """Checks of a small JSON schema: types down to the values of depth 1's members, required keys down to depth 1."""
+    checks, open_ = [], [((), schema)]
+    while open_:
+        path, part = open_.pop()
+        kinds = part.get("type")
+        if kinds:
+            checks.append(Check(path, kinds=(kinds,) if isinstance(kinds, str) else tuple(kinds)))
+        if len(path) > DEPTH:
+            continue
+        checks += [Check(path, key=k) for k in part.get("required", ())]
+        open_ += [((*path, k), p) for k, p in part.get("properties", {}).items()]
+        if isinstance(part.get("items"), dict):
+            open_.append(((*path, EACH), part["items"]))
+    return checks
+
+
+def _member(value: Column, key: str) -> Column:
+    quote = "'" if '"' in key else '"'
+    return F.try_variant_get(value, f"$[{quote}{key}{quote}]", "variant")
+
+
+def _holds(value: Column, path: tuple, check: Check) -> Column:
     kind = F.schema_of_variant(value)
-    ok = F.lit(True)
-    if names:
-        ok = F.lit(False)
-        for n in names:
-            ok = ok | _is(kind, n)
-    if depth > 1:
-        return F.coalesce(ok, F.lit(False))
-    field = lambda k: F.try_variant_get(value, f"$.{k}", "variant")
-    is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
-    inside = F.lit(True)
-    for k in schema.get("required", []):
-        inside = inside & field(k).isNotNull()
-    for k, sub in schema.get("properties", {}).items():
-        inside = inside & (field(k).isNull() | matches_schema(field(k), sub, depth + 1))
-    ok = ok & (~is_object | inside)
-    if isinstance(schema.get("items"), dict):
+    if not path:
+        if check.key is not None:
+            return F.coalesce(~kind.startswith("OBJECT") | _member(value, check.key).isNotNull(), F.lit(True))
+        accepted = "|".join(KINDS[k] for k in check.kinds if k in KINDS)
+        return F.coalesce(kind.rlike(f"^({accepted})$"), F.lit(False)) if accepted else F.lit(False)
+    step, rest = path[0], path[1:]
+    if step is EACH:
         elements = F.try_variant_get(value, "$", "array<variant>")
-        each = F.forall(elements, lambda x: matches_schema(x, schema["items"], depth + 1))
-        ok = ok & (~is_array | F.coalesce(each, F.lit(False)))
-    return F.coalesce(ok, F.lit(False))
+        return F.coalesce(~kind.startswith("ARRAY") | F.forall(elements, lambda x: _holds(x, rest, check)), F.lit(False))
+    member = _member(value, step)
+    return F.coalesce(~kind.startswith("OBJECT"), F.lit(True)) | member.isNull() | _holds(member, rest, check)
+
+
+def matches_schema(value: Column, schema: dict) -> Column:
+    """Predicate of a variant: all compiled checks of the schema hold; false for a null value."""
+    checks = (_holds(value, c.path, c) for c in compile_schema(schema))
+    return F.coalesce(reduce(lambda a, b: a & b, checks, value.isNotNull()), F.lit(False))

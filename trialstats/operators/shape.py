@@ -16,99 +16,77 @@ from pyspark.sql import functions as F
 
 from trialstats.operators.cells import G
 
-# Start grids, parameter bounds and the clip of the fitted rate.
-LIN_STARTS = [(a, b) for a in (0.5, 0.9, 1.0) for b in (-2.0, -1.0, 0.0)]
-STEP_STARTS = [
-    (a, s, m) for a in (0.5, 0.9, 1.0) for s in (5.0, 10.0, 20.0, 40.0) for m in (0.1, 0.2, 0.3, 0.4)
-]
-LIN_BOUNDS = ((-1.0, -20.0), (2.0, 20.0))
-STEP_BOUNDS = ((0.0, -200.0, -0.5), (1.0, 200.0, 1.0))
+# Parameter bounds, the clip of the fitted rate, the least number of levels, the label margin.
+LINE_BOX = ((-1.0, 2.0), (-20.0, 20.0))
+STEP_BOX = ((-200.0, 200.0), (-0.5, 1.0))
 CLIP = 1e-6
 MIN_LEVELS = 4
 MARGIN = 2.0
 
+#: points per side of the search grid; each round keeps the cells around its best point
+GRID = 61
+RESOLUTION = 1e-9
 
-def line(theta, f):
-    return theta[:, :1] + theta[:, 1:2] * f
-
-
-def step(theta, f):
-    x = np.clip(theta[:, 1:2] * (f - theta[:, 2:3]), -700, 700)
-    return theta[:, :1] / (1.0 + np.exp(x))
-
-
-def minimize(value, starts, low, high, rounds=1500):
-    """Downhill simplex inside a box for many starts at once: (points, values)."""
-    low, high = np.asarray(low), np.asarray(high)
-    x0 = np.clip(np.asarray(starts, float), low, high)
-    b, d = x0.shape
-    sim = np.repeat(x0[:, None, :], d + 1, axis=1)
-    for i in range(d):
-        col = sim[:, i + 1, i]
-        col = np.where(col != 0, col * 1.05, 0.00025)
-        over = col > high[i]
-        sim[:, i + 1, i] = np.clip(np.where(over, 2 * high[i] - col, col), low[i], high[i])
-    val = np.stack([value(sim[:, i]) for i in range(d + 1)], axis=1)
-    rows = np.arange(b)
-    for _ in range(rounds):
-        order = np.argsort(val, axis=1, kind="stable")
-        sim = np.take_along_axis(sim, order[:, :, None], axis=1)
-        val = np.take_along_axis(val, order, axis=1)
-        flat = np.abs(val[:, 1:] - val[:, :1]).max(axis=1) <= 1e-9
-        near = np.abs(sim[:, 1:] - sim[:, :1]).max(axis=(1, 2)) <= 1e-7
-        if (flat & near).all():
-            break
-        centre, worst = sim[:, :-1].mean(axis=1), sim[:, -1]
-        box = lambda p: np.clip(p, low, high)
-        reflect = box(2 * centre - worst)
-        fr = value(reflect)
-        expand = box(3 * centre - 2 * worst)
-        outside, inside = box(1.5 * centre - 0.5 * worst), box(0.5 * centre + 0.5 * worst)
-        fe, fo, fi = value(expand), value(outside), value(inside)
-        best, second, last = val[:, 0], val[:, -2], val[:, -1]
-        grow = (fr < best) & (fe < fr)
-        take = ~grow & ((fr < best) | (fr < second))
-        out = ~grow & ~take & (fr < last) & (fo <= fr)
-        inn = ~grow & ~take & ~(fr < last) & (fi < last)
-        new = np.where(grow[:, None], expand, np.where(take[:, None], reflect, np.where(out[:, None], outside, inside)))
-        fn = np.where(grow, fe, np.where(take, fr, np.where(out, fo, fi)))
-        moved = grow | take | out | inn
-        sim[moved, -1], val[moved, -1] = new[moved], fn[moved]
-        if not moved.all():
-            s = rows[~moved]
-            sim[s, 1:] = box(sim[s, :1] + 0.5 * (sim[s, 1:] - sim[s, :1]))
-            for i in range(1, d + 1):
-                shrunk = value(sim[:, i])
-                val[s, i] = shrunk[s]
-    order = np.argsort(val, axis=1, kind="stable")[:, 0]
-    return sim[rows, order], val[rows, order]
-
-
-def best_fit(curve, starts, bounds, f, k, n):
-    """Maximum likelihood from every start; the first start with the lowest value wins."""
-    const = sum(lgamma(a + 1) - lgamma(c + 1) - lgamma(a - c + 1) for a, c in zip(n, k))
-
-    def loss(theta):
-        p = np.clip(curve(theta, f), CLIP, 1.0 - CLIP)
-        return -(const + (k * np.log(p) + (n - k) * np.log1p(-p)).sum(axis=1))
-
-    x, v = minimize(loss, starts, *bounds)
-    pick = 0
-    for i in range(1, len(v)):
-        if v[i] < v[pick] - 1e-12:
-            pick = i
-    return x[pick], v[pick]
+
+def zoom(loss, box: np.ndarray) -> tuple[np.ndarray, float]:
+    """Lowest point of ``loss`` in a box by grids that shrink around the best point until they are below ``RESOLUTION``."""
+    low, high = box[:, 0].copy(), box[:, 1].copy()
+    best, value = None, np.inf
+    while True:
+        axes = np.meshgrid(*(np.linspace(a, b, GRID) for a, b in zip(low, high)), indexing="ij")
+        points = np.stack([x.ravel() for x in axes], axis=1)
+        if best is not None:
+            points = np.vstack([points, best])
+        values = loss(points)
+        at = int(np.argmin(values))
+        best, value = points[at], float(values[at])
+        reach = 3 * (high - low) / (GRID - 1)
+        if (reach <= RESOLUTION * (1 + np.abs(best))).all():
+            return best, value
+        low, high = np.maximum(box[:, 0], best - reach), np.minimum(box[:, 1], best + reach)
+
+
+def negative_likelihood(p: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    p = np.clip(p, CLIP, 1 - CLIP)
+    ways = sum(lgamma(t + 1) - lgamma(c + 1) - lgamma(t - c + 1) for t, c in zip(n, k))
+    return -(ways + (k * np.log(p) + (n - k) * np.log1p(-p)).sum(axis=-1))
+
+
+def best_height(shape: np.ndarray, k: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Height in 0..1 that makes height * shape most likely, one per row: the score falls, so its root is bisected."""
+    low, high = np.zeros(len(shape)), np.ones(len(shape))
+    for _ in range(50):
+        a = (low + high) / 2
+        p = a[:, None] * shape
+        score = (k - (n - k) * p / np.maximum(1 - p, CLIP)).sum(axis=1)
+        low, high = np.where(score > 0, a, low), np.where(score > 0, high, a)
+    return high
+
+
+def fall(point: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Logistic step from 1 to 0 with steepness and midpoint, one row per point."""
+    return 1 / (1 + np.exp(np.clip(point[:, :1] * (f - point[:, 1:]), -700, 700)))
 
 
 def shape_one(f, k, n) -> dict:
-    slope, intercept = np.polyfit(f, k / n, 1, w=np.sqrt(n))
-    lin, lin_loss = best_fit(line, [(intercept, slope), *LIN_STARTS], LIN_BOUNDS, f, k, n)
-    log, log_loss = best_fit(step, STEP_STARTS, STEP_BOUNDS, f, k, n)
-    aic_lin, aic_log3 = 4 + 2 * lin_loss, 6 + 2 * log_loss
-    gap = aic_lin - aic_log3
-    label = "cliff" if gap >= MARGIN else "slope" if gap <= -MARGIN else "indistinguishable"
-    return dict(aic_lin=aic_lin, aic_log3=aic_log3, a=log[0], s=log[1], f0=log[2],
-                lin_intercept=lin[0], lin_slope=lin[1], label=label)
+    """Maximum likelihood of a line and of a step (its height profiled out), compared by AIC."""
+    line, line_loss = zoom(lambda x: negative_likelihood(x[:, :1] + x[:, 1:] * f, k, n), np.array(LINE_BOX))
+
+    def profile(x):
+        # steepness on a cubic scale, so that the grid is dense near zero
+        shape = fall(np.column_stack([200 * x[:, 0] ** 3, x[:, 1]]), f)
+        return negative_likelihood(best_height(shape, k, n)[:, None] * shape, k, n)
+
+    point, step_loss = zoom(profile, np.array([(-1.0, 1.0), STEP_BOX[1]]))
+    steepness = 200 * point[0] ** 3
+    height = best_height(fall(np.array([[steepness, point[1]]]), f), k, n)[0]
+    by_line, by_step = 2 * (2 + line_loss), 2 * (3 + step_loss)
+    if abs(by_line - by_step) < MARGIN:
+        label = "indistinguishable"
+    else:
+        label = "cliff" if by_step < by_line else "slope"
+    return dict(aic_lin=by_line, aic_log3=by_step, a=height, s=steepness, f0=point[1],
+                lin_intercept=line[0], lin_slope=line[1], label=label)
 
 
 def shape_fit(cells: DataFrame, g: Sequence[str] = G) -> DataFrame:
