@@ -13,7 +13,7 @@ HEADLINE = (
     "plan_grid plan_missing document_order_exact fault_assignment hash_draws "
     "amount_parse date_parse graded_scores normalized_texts transcript_hash_groups first_divergence "
     "noise_floor spend_cutoff forecast session_gaps json_diff manifest_diff tolerant_diff "
-    "coverage_table coverage_experiment invoice_totals totals_reconciliation stream_cell_counts"
+    "totals_reconciliation stream_cell_counts sensitivity_verdicts statement_lines fractional_logit"
 ).split()
 
 

@@ -119,3 +119,33 @@ def test_mixed_snapshots_are_refused(spark):
     with pytest.raises(ValueError, match="more than one snapshot"):
         SN.require_one(df, "snapshot")
     SN.require_one(df.limit(1), "snapshot")
+
+
+def test_a_row_without_its_newline_is_not_known(spark, tmp_path):
+    p = str(tmp_path / "runs.jsonl")
+    write(p, run("aaaa") + "\n" + run("bbbb"))
+    assert [r.run_id for r in RL.known_ids(spark, p).collect()] == ["aaaa"]
+    write(p, run("aaaa") + '\n{"run_id":"cc\n' + run("bbbb") + "\n")
+    with pytest.raises(ValueError, match="not valid JSON"):
+        RL.known_ids(spark, p)
+
+
+def test_damaged_lines_are_kept_beside_the_stream(spark, tmp_path):
+    from trialstats.streaming import jobs as J
+
+    (tmp_path / "log").mkdir()
+    write(str(tmp_path / "log" / "a.jsonl"), run("aaaa") + '\nno json\n\n{"run_id": null}\n' + run("bbbb") + "\n")
+    paths = {n: str(tmp_path / n) for n in ("log", "rows", "bad", "s1", "s2")}
+    J.ingest(spark, paths["log"], paths["rows"], paths["s1"]).awaitTermination()
+    J.keep_damaged(spark, paths["log"], paths["bad"], paths["s2"]).awaitTermination()
+    assert sorted(r.run_id for r in spark.read.parquet(paths["rows"]).collect()) == ["aaaa", "bbbb"]
+    assert sorted(r.value for r in spark.read.parquet(paths["bad"]).collect()) == ["no json", '{"run_id": null}']
+
+
+def test_rates_between_percents_stop(spark):
+    from trialstats.schema import whole_percent
+
+    rates = spark.createDataFrame([(0.07,), (0.3,), (None,)], "r double")
+    assert [r.p for r in rates.select(whole_percent(F.col("r")).alias("p")).collect()] == [7, 30, None]
+    with pytest.raises(Exception, match="not a whole percent"):
+        spark.createDataFrame([(0.125,)], "r double").select(whole_percent(F.col("r"))).collect()

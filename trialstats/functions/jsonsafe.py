@@ -38,10 +38,14 @@ def json_rows(df: DataFrame) -> DataFrame:
 
 
 def significant(c: Column, digits: int = 10) -> Column:
-    """Shortest decimal text with at most ``digits`` significant digits."""
+    """Shortest decimal text with at most ``digits`` significant digits; with an exponent below 1e-4 and from
+    10^digits on."""
     sci = F.format_string(f"%.{digits - 1}e", c.cast("double"))
+    exponent = F.regexp_extract(sci, "e([-+][0-9]+)$", 1).try_cast("int")
     plain = F.regexp_replace(sci.try_cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
-    tiny = F.regexp_replace(sci, r"\.?0+e", "e")
-    zero = c == 0
-    return F.when(zero, "0").when(F.abs(c) < 1e-4, tiny).otherwise(
-        F.when(sci.try_cast("decimal(38,20)") % 1 == 0, sci.try_cast("decimal(38,0)").cast("string")).otherwise(plain))
+    whole = sci.try_cast("decimal(38,0)").cast("string")
+    return (
+        F.when(c == 0, "0").when(exponent.isNull(), c.cast("string"))
+        .when((exponent < -4) | (exponent >= digits), F.regexp_replace(sci, r"\.?0+e", "e"))
+        .when(sci.try_cast("decimal(38,20)") % 1 == 0, whole).otherwise(plain)
+    )

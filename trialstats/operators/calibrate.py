@@ -69,6 +69,3 @@ def rank_options(rates: DataFrame, levels: DataFrame, rules: Rules = Rules()) ->
 
 def recommend(rates: DataFrame, levels: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return rank_options(rates, levels, rules).where(F.col("rank") == 1)
-
-
-__all__ = ["rate_table", "level_summary", "rank_options", "recommend", "Design"]

@@ -31,6 +31,13 @@ def covariates(cells: Sequence[tuple[int, int]]) -> np.ndarray:
     return np.column_stack([np.ones(len(cells)), tc, tc * tc, f])
 
 
+def _inverse(matrix):
+    try:
+        return np.linalg.inv(matrix)
+    except np.linalg.LinAlgError:
+        return np.linalg.pinv(matrix)
+
+
 def newton(x, s, n, firth=False, steps=100, tol=1e-8, longest=5.0):
     """Newton's method for a batch of grouped binomial data sets: (coefficients, converged).
 
@@ -48,10 +55,8 @@ def newton(x, s, n, firth=False, steps=100, tol=1e-8, longest=5.0):
             p = 1.0 / (1.0 + np.exp(-(b @ x.T)))
         w = nn * p * (1.0 - p)
         info = np.tensordot(w, outer, axes=(1, 0))
-        try:
-            inverse = np.linalg.inv(info)
-        except np.linalg.LinAlgError:
-            inverse = np.linalg.pinv(info)
+        # per matrix, so that a group's digits never depend on what else is in its batch
+        inverse = np.stack([_inverse(m) for m in info])
         residual = ss - nn * p
         if firth:
             leverage = w * np.einsum("ci,bij,cj->bc", x, inverse, x)

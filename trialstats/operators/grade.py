@@ -196,14 +196,19 @@ def score(df: DataFrame) -> DataFrame:
 
 def grade_runs(runs: DataFrame, gold: DataFrame, rules: Rules = Rules(),
                small: bool = False) -> DataFrame:
-    """Score every run against the gold record of its document; aborted runs stay ungraded."""
+    """Score every run against the gold record of its document; aborted runs stay ungraded.
+
+    A run whose document has no gold record stays, with ``grading`` missing_gold and no score.
+    """
     lookup = F.broadcast(gold) if small else gold
-    scored = score(runs.drop("score", "per_field", "success").join(lookup, "doc_id"))
-    aborted = F.col("outcome") == ABORTED
-    return scored.withColumns({
-        "success": F.when(~aborted, F.col("score") >= rules.tau),
-        "score": F.when(~aborted, F.col("score")),
-        "per_field": F.when(~aborted, F.col("per_field")),
+    scored = score(runs.drop("score", "per_field", "success").join(lookup, "doc_id", "left"))
+    grading = (
+        F.when(F.col("outcome") == ABORTED, "aborted").when(F.col("gold").isNull(), "missing_gold").otherwise("graded"))
+    graded = F.col("grading") == "graded"
+    return scored.withColumn("grading", grading).withColumns({
+        "success": F.when(graded, F.col("score") >= rules.tau),
+        "score": F.when(graded, F.col("score")),
+        "per_field": F.when(graded, F.col("per_field")),
     }).drop("gold")
 
 
@@ -223,14 +228,14 @@ def regrade_audit(runs: DataFrame, transcripts: DataFrame, gold: DataFrame,
         "_record": F.to_json(record),
         "_kept": F.to_json(F.col("submission")),
     }).drop("score", "success", "per_field", "_acc", "_there")
-    again = score(flat.join(gold, "doc_id"))
+    again = score(flat.join(gold, "doc_id", "left"))
     near = F.abs(F.col("score") - F.col("_stored")) <= F.greatest(
         F.lit(1e-9) * F.greatest(F.abs("score"), F.abs("_stored")), F.lit(1e-12))
     status = (
-        F.when(F.col("_missing"), "missing_transcript")
+        F.when(F.col("_missing"), "missing_transcript").when(F.col("gold").isNull(), "missing_gold")
         .when(~F.col("_record").eqNullSafe(F.col("_kept")), "submission_mismatch")
         .when(~near | ((F.col("score") >= rules.tau) != F.col("_success")), "score_mismatch")
         .otherwise("ok")
     )
     return again.select("run_id", status.alias("status"), F.col("_stored").alias("recorded"),
-                        F.col("score").alias("regraded"))
+                        F.when(F.col("gold").isNotNull(), F.col("score")).alias("regraded"))

@@ -76,12 +76,14 @@ def tree_digest(
         out = (
             out.groupBy(*key, F.floor(F.col("_o") / FANOUT).alias("_up")).agg(parts.alias("_p"))
             .withColumn("_p", F.when(
-                F.size("_p") > FANOUT, F.raise_error(F.lit("a message number repeats")).cast(
+                F.size("_p") > F.size(F.array_distinct(F.transform("_p", lambda x: x["_o"]))), F.raise_error(F.lit("a message number repeats")).cast(
                     "array<struct<_o:bigint,_d:string>>")).otherwise(F.col("_p")))
             .select(*key, F.col("_up").alias("_o"),
                     F.sha2(F.array_join(F.transform("_p", lambda x: x["_d"]), ""), 256).alias("_d"))
         )
-    return out.where(F.col("_o") == 0).select(*key, F.col("_d").alias("transcript_hash"))
+    whole = F.when(F.col("_o") == 0, F.col("_d")).otherwise(
+        F.raise_error(F.lit("a message number is beyond the levels of the tree")).cast("string"))
+    return out.select(*key, whole.alias("transcript_hash"))
 
 
 def hash_groups(hashes: DataFrame, key: str) -> DataFrame:

@@ -42,13 +42,13 @@ def drop_contrast(
     )
 
 
-def _condition(name: str, passed: Column, detail: str, **values) -> Column:
+def _condition(name: str, passed: Column, detail: str | Column, **values) -> Column:
     shown = F.create_map(
         *[e for k, v in values.items() for e in (F.lit(k), v.cast("double"))]
     ) if values else F.create_map().cast("map<string,double>")
     return F.struct(
         F.lit(name).alias("name"), shown.alias("value"), passed.alias("passed"),
-        F.lit(detail).alias("detail"),
+        (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"),
     )
 
 
@@ -111,7 +111,7 @@ def verdict_p1(
         .otherwise(F.array(_condition("residual_branch", unknown, "no named branch matched")))
     )
     conditions = (
-        F.when(~estimable, F.array(_condition("estimable", F.lit(False), "no variation in scope")))
+        F.when(~estimable, F.array(_condition("estimable", F.lit(False), F.coalesce("reason", F.lit("not estimable")))))
         .when(~cap_ok, F.array(read[0]))
         .otherwise(F.concat(F.array(*read), closing))
     )

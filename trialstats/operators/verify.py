@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from trialstats.functions.intervals import newcombe
 from trialstats.functions.text import names_user_folder, shorten_paths
 
 REL_TOL = 1e-9
 ABS_TOL = 1e-12
-MAX_SHOWN = 20
 
 
 def close(a: Column, b: Column) -> Column:
@@ -21,48 +24,56 @@ def close(a: Column, b: Column) -> Column:
     return (a == b) | (F.abs(a - b) <= spread)
 
 
-def flatten_json(df: DataFrame, key: Sequence[str], column: str, depth: int = 12) -> DataFrame:
-    """One row per leaf of a VARIANT column: (key, path, kind, value text).
-
-    Containers are unfolded level by level next to the row they came from. Their size is a leaf of
-    its own, so a missing element is found even where its siblings agree.
-    """
-    spark = df.sparkSession
-    front = df.select(*key, F.lit("$").alias("path"), F.col(column).alias("v"))
-    leaves = None
-    for level in range(depth + 1):
-        kind = F.schema_of_variant("v")
-        t = front.withColumn("_kind", kind)
-        is_list, is_map = F.col("_kind").startswith("ARRAY"), F.col("_kind").startswith("OBJECT")
-        number = F.col("_kind").rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)")
-        short = (
-            F.when(F.col("v").isNull() | F.is_variant_null("v"), "null").when(is_list, "list").when(is_map, "map")
-            .when(number, "number").when(F.col("_kind") == "BOOLEAN", "boolean").otherwise("string")
-        )
-        size = F.when(is_list, F.size(F.try_variant_get("v", "$", "array<variant>")).cast("string"))
-        text = F.when(is_list | is_map, size).otherwise(F.try_variant_get("v", "$", "string"))
-        here = t.select(*key, "path", short.alias("kind"), text.alias("value"))
-        leaves = here if leaves is None else leaves.unionByName(here)
-        if level == depth:
-            deep = t.where(is_list | is_map).select(
-                *key, "path", F.raise_error(F.lit("JSON is nested too deeply")).cast("string").alias("kind"),
-                F.lit(None).cast("string").alias("value"))
-            return leaves.unionByName(deep)
-        nested = t.where(is_list | is_map)
-        child = spark.tvf.variant_explode(F.col("v").outer())
-        step = nested.lateralJoin(child.select(
-            F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value")))
-        name = F.when(F.col("_key").isNotNull(), F.concat(F.lit("."), F.col("_key"))).otherwise(
-            F.concat(F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
-        front = step.select(*key, F.concat("path", name).alias("path"), F.col("_value").alias("v"))
-
-
-def json_differences(a: DataFrame, b: DataFrame, key: Sequence[str], column: str, depth: int = 4) -> DataFrame:
+_LEAVES = types.ArrayType(types.StructType([
+    types.StructField(n, types.StringType()) for n in ("path", "kind", "value")]))
+_PLAIN_KEY = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
+class _Number(str):
+    """The text of a JSON number."""
+
+
+def json_leaves(text: str | None) -> list[dict]:
+    """Leaves of a JSON text at any depth; the size of a list is a leaf of its own, a map is one without a value."""
+    out = []
+    open_ = [("$", None if text is None else json.loads(
+        text, parse_int=_Number, parse_float=_Number, parse_constant=_Number))]
+    while open_:
+        path, v = open_.pop()
+        kind, value = "string", v
+        if v is None:
+            kind = "null"
+        elif isinstance(v, bool):
+            kind, value = "boolean", str(v).lower()
+        elif isinstance(v, _Number):
+            kind, value = "number", str(v)
+        elif isinstance(v, list):
+            kind, value = "list", str(len(v))
+            open_ += [(f"{path}[{n}]", x) for n, x in enumerate(v)]
+        elif isinstance(v, dict):
+            kind, value = "map", None
+            # a key that is no plain name is quoted, so two paths never share a text
+            open_ += [(f"{path}.{k}" if _PLAIN_KEY.fullmatch(k) else f"{path}[{json.dumps(k)}]", x) for k, x in v.items()]
+        out.append({"path": path, "kind": kind, "value": value})
+    return out
+
+
+@F.pandas_udf(_LEAVES)
+def _leaves(texts: pd.Series) -> pd.Series:
+    return texts.map(json_leaves)
+
+
+def flatten_json(df: DataFrame, key: Sequence[str], column: str) -> DataFrame:
+    """One row per leaf of a VARIANT column at any depth: (key, path, kind, value text)."""
+    return df.select(*key, F.inline(_leaves(F.to_json(column))))
+
+
+def json_differences(a: DataFrame, b: DataFrame, key: Sequence[str], column: str) -> DataFrame:
     """Paths at which two JSON tables differ; numbers within tolerance agree, a boolean is never a
     number."""
     key = list(key)
-    left = flatten_json(a, key, column, depth).withColumnsRenamed({"kind": "_ka", "value": "_va"})
-    right = flatten_json(b, key, column, depth).withColumnsRenamed({"kind": "_kb", "value": "_vb"})
+    left = flatten_json(a, key, column).withColumnsRenamed({"kind": "_ka", "value": "_va"})
+    right = flatten_json(b, key, column).withColumnsRenamed({"kind": "_kb", "value": "_vb"})
     both = left.join(right, [*key, "path"], "full_outer")
     numbers = (F.col("_ka") == "number") & (F.col("_kb") == "number")
     same = F.when(numbers, close(F.col("_va").cast("double"), F.col("_vb").cast("double"))).otherwise(
@@ -116,9 +127,9 @@ def exact_differences(a: DataFrame, b: DataFrame, key: Sequence[str], columns: S
     return left.join(right, key, "full_outer").where(~F.col("_a").eqNullSafe(F.col("_b"))).select(*key)
 
 
-def first_shown(differences: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The first differences for a report."""
-    return differences.orderBy(*order).limit(MAX_SHOWN)
+def first_shown(differences: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
+    """The first ``rows`` differences for a report."""
+    return differences.orderBy(*order).limit(rows)
 
 
 def manifest_differences(listed: DataFrame, found: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ def stream_cell_counts(spark, sf_dir):
     out = _folder(spark, "live")
     cells = J.live_cells(J.once_per_id(_trial_stream(spark, sf_dir)))
     J.write_latest(cells, out, out + "-state").awaitTermination()
-    return spark.read.parquet(out)
+    return J.latest(spark, out)
 
 
 def stream_sessions(spark, sf_dir):

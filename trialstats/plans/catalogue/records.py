@@ -149,7 +149,7 @@ def canonical_hashes(spark, sf_dir):
     message = F.struct(
         F.col("role"), F.col("text").alias("content"), F.lit(None).cast(f"array<{X.CALL}>").alias("tool_calls"),
         F.lit(None).cast(f"array<{X.RESULT}>").alias("tool_results"),
-        F.array(F.struct(F.lit("reasoning_content").alias("type"), F.substring("text", 1, 20).alias("text")))
+        F.array(F.struct(F.lit("reasoning_content").alias("type"), F.col("text").alias("text")))
         .alias("raw_blocks"))
     return talk.select("conv_id", "turn", X.canonical_hash(F.array(message)).alias("hash"))
 
@@ -363,7 +363,7 @@ select conv_id, turn, kind, round(((case when kind = 1 then 0 else 2 end) + (cas
 from conversations group by all""",
     "transcript_hash_groups": f"""select transcript_hash, count(*) as transcripts, min(conv_id) as first_conv_id from ({_tree()}) group by all""",
     "canonical_hashes": f"""select conv_id, turn, sha256('[["' || role || '","' || {S.ascii_json('text')} || '",[],[],["'
-   || {S.ascii_json('substr(text, 1, 20)')} || '"]]]') as hash from conversations""",
+   || {S.ascii_json('text')} || '"]]]') as hash from conversations""",
     "redacted_transcripts": """select conv_id, turn, role, case when role in ('system','assistant') then text end as content,
   case when role not in ('system','assistant') then sha256(text) end as sha256,
   case when role not in ('system','assistant') then length(text) end as length from conversations""",

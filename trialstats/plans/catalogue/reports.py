@@ -16,7 +16,7 @@ from trialstats.operators import synth as SY
 from trialstats.operators import verify as VF
 from trialstats.plans.catalogue import sqltext as S
 from trialstats.plans.catalogue.cells import rounded
-from trialstats.rules import TRUTHS, Design, Rules
+from trialstats.rules import Design, Rules
 from trialstats.sources.adapters import spread, table, trials
 
 # Prices per token of three models.
@@ -176,7 +176,7 @@ def json_diff(spark, sf_dir):
         F.when(k == 1, F.concat(text, F.lit(".0000000000001"))).when(k == 2, F.concat(text, F.lit(".5"))).otherwise(text),
         F.when(k == 3, F.lit("1")).otherwise(F.lit("true")),
         F.when(k == 4, F.concat_ws(",", text, text)).otherwise(three)).alias("v"))
-    return VF.json_differences(a, b, ["event_id"], "v", 2).select("event_id", "path", "status")
+    return VF.json_differences(a, b, ["event_id"], "v").select("event_id", "path", "status")
 
 
 def remeasurement(spark, sf_dir):
@@ -197,33 +197,6 @@ def path_redaction(spark, sf_dir):
     return clean.select("doc_id", F.sha2("text", 256).alias("sha256"))
 
 
-def _snapshots(spark, sf_dir):
-    """Twelve snapshots with every supplier as a document."""
-    d = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("d"))
-    return d.withColumn("scope", F.explode(F.lit([f"cov-{i}" for i in range(12)])))
-
-
-def true_rates(spark, sf_dir):
-    return rounded(SY.true_rates(_snapshots(spark, sf_dir), TRUTHS["band"]), "true_rate")
-
-
-def coverage_table(spark, sf_dir):
-    docs, truth = _snapshots(spark, sf_dir), TRUTHS["band"]
-    cells = C.cell_table(SY.simulate(docs, truth), g=SY.SNAP)
-    return rounded(SY.wilson_coverage(cells, SY.true_rates(docs, truth)), "coverage")
-
-
-def coverage_experiment(spark, sf_dir):
-    return SY.coverage_experiment(_snapshots(spark, sf_dir), TRUTHS["band"], "sim", rules=Rules(draws=500))
-
-
-def invoice_totals(spark, sf_dir):
-    o = spread(table(spark, sf_dir, "orders")).select(F.col("o_orderkey").alias("n"))
-    inv = SY.invoices(o, 7)
-    return inv.select("n", "invoice_number", F.col("invoice_date").cast("string").alias("invoice_date"), "currency",
-                      F.size("line_items").alias("items"), "subtotal", "tax", "shipping", "total_amount")
-
-
 def totals_reconciliation(spark, sf_dir):
     """Line items against order totals, in exact decimals."""
     li = table(spark, sf_dir, "lineitem").select(
@@ -263,35 +236,6 @@ _MU = S.unit("'[\"manifest\",' || cast(doc_id as varchar) || ']'")
 _DOCS = "(select *, sha256(replace(text, chr(13) || chr(10), chr(10))) as h from documents)"
 
 
-def _snap_u(u: str) -> str:
-    return S.unit(f"'[\"sim-doc\",\"' || scope || '\",\"band\",' || cast(d as varchar) || ',\"{u}\"]'")
-
-
-_RUN_U = S.unit("'[\"sim-run\",\"' || scope || '\",\"band\",' || cast(d as varchar) || ',0,' || cast(tools as varchar) || ',' || cast(fault_pct as varchar) || ']'")
-SIM = f"""
-sn as (select s_suppkey as d, scope, 0.8::double*(sqrt(-2.0::double*ln(1.0::double - {_snap_u('u1')}))*cos(2.0::double*pi()*{_snap_u('u2')})) as gamma
-  from (select * from supplier, (select 'cov-' || cast(unnest(range(12)) as varchar) as scope))),
-sg as (select *, case when tools < 2 then 0.0 else 1.0/(1.0+exp(-(1.6 - 0.6*(tools-4) - 0.6*(tools-4)*(tools-4) - 3.0*fault_pct/100.0 + gamma))) end as pr
-  from sn, (select unnest(range(1,7)) as tools), (select unnest(range(6))*10 as fault_pct)),
-tr as (select scope as snapshot, tools, fault_pct, avg(pr) as true_rate from sg group by all)"""
-_CLO, _CHI = S.wilson("k", "n")
-
-
-def _inv(*field: str) -> str:
-    tail = ",".join(field)
-    return S.unit(f"'[\"dataset\",7,4,' || cast(n as varchar) || ',{tail}]'")
-
-
-_ITEMS = ", ".join(
-    f"{{'u': {_inv(chr(34) + 'item-order' + chr(34), str(i))}, 'price': {p}::decimal(18,2), 'q': 1 + floor({_inv(chr(34) + 'quantity' + chr(34), str(i))}*12)}}"
-    for i, (_, p) in enumerate(SY.CATALOGUE))
-_NI = f"(2 + floor({_inv(chr(34) + 'n_items' + chr(34))}*5))::bigint"
-
-
-def _q(name: str) -> str:
-    return _inv(f'"{name}"')
-
-
 QUERIES = {
     "rate_table_by_tau": rate_table_by_tau,
     "level_summary": level_summary,
@@ -312,10 +256,6 @@ QUERIES = {
     "json_diff": json_diff,
     "remeasurement": remeasurement,
     "path_redaction": path_redaction,
-    "true_rates": true_rates,
-    "coverage_table": coverage_table,
-    "coverage_experiment": coverage_experiment,
-    "invoice_totals": invoice_totals,
     "totals_reconciliation": totals_reconciliation,
 }
 
@@ -397,27 +337,9 @@ c as (select model_id, mix, tools, fault_pct, count(*) filter (where success) as
 select model_id, mix, tools, fault_pct, pk as published_k, pn as published_n, k, n, same as identical_transcripts, cmp as compared_transcripts,
   {S.r(_RLO, "lo")}, {S.r(_RHI, "hi")}, {_RLO} <= 0 and {_RHI} >= 0 as consistent from c""",
     "path_redaction": r"""select doc_id, sha256('~\x.txt ~/' || source || ' ' || text) as sha256 from documents""",
-    "true_rates": f"with {SIM} select snapshot, tools::integer as tools, fault_pct::integer as fault_pct, {S.r('true_rate', 'true_rate')} from tr",
-    "coverage_table": f"""with {SIM},
-c as (select scope as snapshot, tools, fault_pct, count(*) as n, count(*) filter (where tools >= 2 and {_RUN_U} < pr) as k from sg group by all),
-w as (select *, {_CLO} as lo, {_CHI} as hi from c where tools >= 2)
-select tools::integer as tools, fault_pct::integer as fault_pct, count(*) as cells, count(*) filter (where true_rate between lo and hi) as covered,
-  {S.r("count(*) filter (where true_rate between lo and hi)::double/count(*)", "coverage")} from w join tr using (snapshot, tools, fault_pct) group by all""",
-    "invoice_totals": f"""with o as (select o_orderkey as n from orders),
-i as (select n, list_slice(list_sort([{_ITEMS}]), 1, {_NI}) as it, {_q("tax")} as tx, {_q("has_shipping")} as hs, {_q("shipping")} as sh,
-        {_q("currency")} as cu, {_q("date")} as da, {_q("number")} as nu from o),
-s as (select *, list_sum(list_transform(it, lambda x: x.price*x.q::integer))::decimal(18,2) as subtotal,
-        case when tx < 0.25 then 0.00 when tx < 0.5 then 0.07 when tx < 0.75 then 0.19 else 0.20 end::decimal(4,2) as rate,
-        case when hs < 0.4 then ((495 + floor(sh*2501))/100)::decimal(18,2) else 0::decimal(18,2) end as shipping from i),
-t as (select *, round(subtotal*rate, 2)::decimal(18,2) as tax from s)
-select n, 'INV-' || lpad(cast(n as varchar), 8, '0') || '-' || cast((1000 + floor(nu*9000))::bigint as varchar) as invoice_number,
-  cast(date '2025-01-01' + (floor(da*365))::integer as varchar)[1:10] as invoice_date,
-  case when cu < 1/3.0::double then 'USD' when cu < 2/3.0::double then 'EUR' else 'GBP' end as currency,
-  len(it)::integer as items, subtotal, tax, shipping, (subtotal + tax + shipping)::decimal(18,2) as total_amount from t""",
     "totals_reconciliation": """with s as (select l_orderkey, sum(cast(l_extendedprice as decimal(18,2))) as a, count(*) as c from lineitem group by all)
 select o_orderkey as l_orderkey, coalesce(c, 0) as items, coalesce(a, 0) as item_sum, cast(o_totalprice as decimal(18,2)) as subtotal,
   cast(o_totalprice as decimal(18,2)) as total_amount, coalesce(a, 0) <> cast(o_totalprice as decimal(18,2)) as subtotal_off, false as total_off
 from orders left join s on s.l_orderkey = o_orderkey""",
 }
 
-__all__ = ["QUERIES", "ORACLES", "Design"]

@@ -50,6 +50,13 @@ def last_request_date(events: Column) -> Column:
     return F.array_max(dates)
 
 
+def whole_percent(rate: Column) -> Column:
+    """A fault rate as its integer percent; a rate between two percents is an error, never rounded into a cell."""
+    percent = F.round(rate * 100)
+    return F.when(F.abs(rate * 100 - percent) < 1e-6, percent.cast("int")).when(
+        rate.isNotNull(), F.raise_error(F.concat(F.lit("not a whole percent: "), rate.cast("string"))).cast("int"))
+
+
 def normalize_runs(runs: DataFrame) -> DataFrame:
     """Analysis-ready columns of run rows, with the defaults for missing fields applied once."""
     events = F.coalesce(F.col("events"), F.array().cast(dict(RUN_FIELDS)["events"]))
@@ -57,7 +64,7 @@ def normalize_runs(runs: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return runs.select(
         "run_id", "model_id", "mix", F.coalesce("phase", F.lit("sweep")).alias("phase"), "tools",
-        F.round(F.col("fault_rate") * 100).cast("int").alias("fault_pct"), "index", "doc_id",
+        whole_percent(F.col("fault_rate")).alias("fault_pct"), "index", "doc_id",
         zero("epoch").alias("epoch"), "sample_seed", "outcome", "success", "score",
         (F.col("per_field")["total_amount"] == 1.0).alias("total_correct"),
         F.size(faults).alias("n_faults"),

@@ -26,9 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give every core a share when the input has fewer splits than the cluster has cores.
 
-    Large inputs have more splits than that and are left alone, so they are never shuffled here.
+    Such an input is at most one split per core; larger ones are left alone, so they are never shuffled here.
     """
-    wanted = parallelism(df.sparkSession)
+    wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 

@@ -43,7 +43,7 @@ def log_integrity(spark: SparkSession, path) -> DataFrame:
     )
     torn = F.col("open_end") & F.coalesce(F.col("_last") == F.col("_last_bad"), F.lit(False))
     return t.select("file", "lines", torn.cast("int").alias("torn"),
-                    (F.col("_n_bad") - torn.cast("int")).alias("damaged"))
+                    (F.col("_n_bad") - torn.cast("int")).alias("damaged"), "open_end", F.col("_last").alias("last"))
 
 
 def read_runs(spark: SparkSession, path, strict: bool = True) -> DataFrame:
@@ -57,8 +57,16 @@ def read_runs(spark: SparkSession, path, strict: bool = True) -> DataFrame:
 
 
 def known_ids(spark: SparkSession, path) -> DataFrame:
-    """Ids of the complete rows, for resuming a plan."""
-    return read_runs(spark, path, strict=False).select("run_id").where("run_id is not null").distinct()
+    """Ids of the complete rows, for resuming a plan. A last line without its newline is not complete, whether it
+    parses or not; any other bad line stops the read."""
+    checked = log_integrity(spark, path)
+    broken = checked.where("damaged > 0").select("file").limit(1).collect()
+    if broken:
+        raise ValueError(f"{broken[0].file}: a line is not valid JSON")
+    rows = _parsed(_lines(spark, path)).where(F.col(f"_r.{CORRUPT}").isNull())
+    ends = checked.where("open_end").select("file", F.col("last").alias("_place"))
+    complete = rows.join(ends, ["file", "_place"], "left_anti")
+    return complete.select("_r.run_id").where("run_id is not null").distinct()
 
 
 def append_runs(runs: DataFrame, path: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialstats.operators.cells import CELL, G
@@ -13,14 +13,26 @@ from trialstats.schema import CORRUPT, RUNS
 LATE = "1 hour"
 
 
-def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parsed rows of new log files; torn lines are dropped and arrive again when rewritten."""
+def _parsed(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
     row = F.from_json("value", f"{RUNS}, {CORRUPT} string", options)
-    parsed = lines.where(F.trim("value") != "").withColumn("_r", row)
-    good = F.col(f"_r.{CORRUPT}").isNull() & F.col("_r.run_id").isNotNull()
-    return parsed.where(good).select("_r.*").drop(CORRUPT)
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), row.alias("_r")).where(F.trim("value") != "")
+
+
+def _good() -> Column:
+    return F.col(f"_r.{CORRUPT}").isNull() & F.col("_r.run_id").isNotNull()
+
+
+def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Parsed rows of new log files. A file is read once, so writers close a file and start the next one; lines that
+    do not parse come out of ``damaged_lines``."""
+    return _parsed(spark, path, files_per_batch).where(_good()).select("_r.*").drop(CORRUPT)
+
+
+def damaged_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Lines of new log files that are no run rows, with their file: the other part of ``log_stream``."""
+    return _parsed(spark, path, files_per_batch).where(~_good()).select("file", "value")
 
 
 def once_per_id(rows: DataFrame, time: str | None = None, late: str = LATE) -> DataFrame:
@@ -30,8 +42,16 @@ def once_per_id(rows: DataFrame, time: str | None = None, late: str = LATE) -> D
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id"])
 
 
+def keep_damaged(spark: SparkSession, path: str, table: str, checkpoint: str):
+    """Append the lines that ``ingest`` leaves out to a table of their own, so that none is lost uncounted."""
+    return (
+        damaged_lines(spark, path).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table)
+    )
+
+
 def ingest(spark: SparkSession, path: str, table: str, checkpoint: str, continuous: bool = False):
-    """Exactly-once append of the log into a partitioned table."""
+    """Exactly-once append of the log into a partitioned table; run ``keep_damaged`` beside it."""
     writer = (
         once_per_id(log_stream(spark, path)).writeStream.format("parquet").outputMode("append")
         .partitionBy("model_id", "phase", "mix").option("checkpointLocation", checkpoint)
@@ -48,9 +68,10 @@ def live_cells(rows: DataFrame, g: Sequence[str] = G) -> DataFrame:
 
 
 def write_latest(stream: DataFrame, table: str, checkpoint: str):
-    """Keep the complete current aggregate of a stream in a table."""
-    def save(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    """Keep the complete current aggregate of a stream in a table, a folder per batch: a repeated batch replaces its
+    own folder, and readers of ``latest`` never see a gap."""
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return (
         stream.writeStream.outputMode("complete").foreachBatch(save)
@@ -58,6 +79,12 @@ def write_latest(stream: DataFrame, table: str, checkpoint: str):
     )
 
 
+def latest(spark: SparkSession, table: str) -> DataFrame:
+    """Rows of the last batch that ``write_latest`` finished."""
+    rows = spark.read.parquet(table)
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
+
+
 def activity_sessions(rows: DataFrame, key: Sequence[str], ts: str, gap: str = "20 minutes",
                       late: str = LATE) -> DataFrame:
     """Spans without a stall; the end of one span and the start of the next enclose a stall."""
@@ -69,12 +96,12 @@ def activity_sessions(rows: DataFrame, key: Sequence[str], ts: str, gap: str = "
 
 def spend_alerts(priced: DataFrame, cap_usd: float, table: str, checkpoint: str,
                  stop_at: float = 0.95):
-    """Append a row whenever a model's running spend stands above the stop line after a batch."""
+    """A row whenever a model's running spend stands above the stop line after a batch, in a folder per batch: a
+    repeated batch replaces its own."""
     totals = priced.groupBy("model_id").agg(F.sum("cost_usd").alias("spend_usd"))
 
     def alert(batch: DataFrame, number: int) -> None:
-        batch.where(F.col("spend_usd") > stop_at * cap_usd).withColumn(
-            "batch", F.lit(number)).write.mode("append").parquet(table)
+        batch.where(F.col("spend_usd") > stop_at * cap_usd).write.mode("overwrite").parquet(f"{table}/batch={number}")
 
     return (
         totals.writeStream.outputMode("update").foreachBatch(alert)
