@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("cells", "inference", "design", "records", "reports", "live")
+_MODULES = ("cells", "inference", "design", "records", "reports", "live", "storage")
 
 
 def _merged(attribute: str) -> dict:

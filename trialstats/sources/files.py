@@ -32,10 +32,10 @@ def read_documents(spark: SparkSession, path) -> DataFrame:
     return out
 
 
-def read_transcripts(spark: SparkSession, path) -> DataFrame:
-    """(run_id, messages): one JSON file per run."""
+def read_transcripts(spark: SparkSession, path, lines: bool = False) -> DataFrame:
+    """(run_id, messages): one JSON file per run, or with ``lines`` the shards of ``write_transcripts``."""
     return spark.read.schema(f"run_id string, messages array<{MESSAGE}>").option(
-        "multiLine", True).json(path)
+        "multiLine", not lines).json(path)
 
 
 def explode_messages(transcripts: DataFrame) -> DataFrame:
