@@ -21,7 +21,7 @@ def test_hot_key_join_equals_join(spark):
     facts = skewed(spark)
     lookup = facts.select("k").distinct().withColumn("name", F.upper("k"))
     want = rows(facts.join(lookup, "k").select("k", "o", "name"))
-    got = SC.hot_key_join(facts, lookup, ["k"], "o", share=10, salts=8)
+    got = SC.hot_key_join(facts, lookup, ["k"], "o", limit=50)
     assert rows(got.select("k", "o", "name")) == want
 
 

@@ -22,34 +22,48 @@ from trialstats.session import parallelism
 
 
 
-def resample_index(
+KEYS = ("model_id", "size", "statistic", "draw")
+#: positions that are drawn together; a longer draw is spread over several tasks
+BLOCK = 65_536
+
+
+def _index_blocks(
     sizes: DataFrame, draws: int, snapshot_id: str, statistics: Sequence[str]
 ) -> DataFrame:
-    """(model_id, size, statistic, draw, j, pos) for every draw; ``sizes`` has one row per model
-    and population size. Draws are spread over the tasks, so one model never sits in one task."""
+    """Drawn positions with the block of the draw that they were made in."""
     spark = sizes.sparkSession
-    keys = ("model_id", "size", "statistic", "draw")
+    last = F.floor((F.col("size") - 1) / BLOCK).cast("bigint")
     drawn = (
         sizes.select("model_id", "size", F.explode(F.lit(list(statistics))).alias("statistic"))
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .repartition(parallelism(spark), *keys)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .repartition(parallelism(spark), *KEYS, "_block")
     )
     # the payload up to the index is the same for a whole draw, so it is built once per draw
     head = F.concat(
         F.lit('["boot",'), D.json_string(F.lit(snapshot_id)), F.lit(","), D.json_string("model_id"),
         F.lit(","), D.json_string("statistic"), F.lit(","), D.number("draw"), F.lit(","),
     )
+    first = F.col("_block") * BLOCK
     rows = drawn.withColumn("_head", head).withColumn(
-        "j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("size") - 1)))
+        "j", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1)))
     hashed = D.u32_of(F.sha2(F.concat("_head", D.number("j"), F.lit("]")), 256))
     # never null: without the default the join would filter on the hash and compute it twice
     pos = F.coalesce(hashed, F.lit(0).cast("bigint")) % F.col("size")
-    return rows.select(*keys, "j", F.coalesce(pos, F.lit(0).cast("bigint")).alias("pos"))
+    return rows.select(*KEYS, "_block", "j", F.coalesce(pos, F.lit(0).cast("bigint")).alias("pos"))
+
+
+def resample_index(
+    sizes: DataFrame, draws: int, snapshot_id: str, statistics: Sequence[str]
+) -> DataFrame:
+    """(model_id, size, statistic, draw, j, pos) for every draw; ``sizes`` has one row per model
+    and population size. Draws and their blocks are spread over the tasks, so neither one model nor one
+    large population sits in one task."""
+    return _index_blocks(sizes, draws, snapshot_id, statistics).drop("_block")
 
 
 def multiplicities(index: DataFrame) -> DataFrame:
-    """How often each document appears in each draw. The index is already spread by draw, so this
-    counts inside the tasks without another shuffle."""
+    """How often each document appears in each draw."""
     return index.groupBy("model_id", "size", "statistic", "draw", "pos").agg(
         F.count(F.lit(1)).alias("w")
     )
@@ -71,11 +85,13 @@ def draw_sums(
     """Sums of ``values`` over the documents of every draw, per group and statistic.
 
     Groups of one model and size share their indices, so those are hashed once. A document table
-    of proven small size is broadcast; then every draw starts and ends in one task and nothing is
-    shuffled. A larger table is joined on its position.
+    of proven small size is broadcast; then each block of a draw is summed in its task and only those sums
+    move. A larger table is joined on its position.
     """
     sizes = placed.select("model_id", "size").distinct()
-    weights = multiplicities(resample_index(sizes, draws, snapshot_id, statistics))
+    # counts per block need no merging here: their sums add up
+    weights = _index_blocks(sizes, draws, snapshot_id, statistics).groupBy(*KEYS, "_block", "pos").agg(
+        F.count(F.lit(1)).alias("w"))
     lookup = broadcast_if_small(placed.select(*g, "size", "pos", *values))
     return (
         weights.join(lookup, ["model_id", "size", "pos"])

@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from trialstats.session import cut
 
 BROADCAST_VALUES = 8_000_000
+#: fact rows of one key that one task takes in a join
+TASK_ROWS = 1_000_000
 
 
 def broadcast_if_small(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -29,35 +31,31 @@ def hot_key_join(
     keys: Sequence[str],
     spread_by: str,
     how: str = "inner",
-    salts: int = 64,
-    share: int = 1000,
+    limit: int = TASK_ROWS,
 ) -> DataFrame:
     """Join a fact table with a table that is unique on ``keys``, splitting hot keys.
 
-    A key with more than 1/``share`` of all fact rows is hot, so at most ``share`` keys are: that
-    list is broadcast. Only hot keys get a salt on the fact side and copies on the lookup side.
+    A key with more than ``limit`` fact rows is hot and gets a salt for every ``limit`` of them, so no task
+    holds much more than that whatever a key's share; the lookup row is copied to each salt.
     """
     keys = list(keys)
     counts = facts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total = facts.agg(F.count(F.lit(1)).alias("_all")).scalar()
-    hot = F.broadcast(
-        counts.where(F.col("_rows") * F.lit(share) > total)
-        .where(F.col("_rows") > salts)
-        .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot"))
-    )
+    hot = counts.where(F.col("_rows") > limit).select(
+        *[F.col(k).alias(f"_hot_{k}") for k in keys], F.ceil(F.col("_rows") / limit).cast("bigint").alias("_salts"))
+    hot = broadcast_if_small(cut(hot))
 
     def marked(df: DataFrame) -> DataFrame:
         on = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
         return df.join(hot, on, "left").drop(*[f"_hot_{k}" for k in keys])
 
     salted = marked(facts).withColumn(
-        "_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0)
-    ).drop("_is_hot")
-    last = F.when(F.col("_is_hot"), F.lit(salts - 1).cast("bigint")).otherwise(F.lit(0))
+        "_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")), F.lit(0))
+    ).drop("_salts")
+    last = F.coalesce(F.col("_salts") - 1, F.lit(0)).cast("bigint")
     copies = (
         marked(lookup)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .drop("_is_hot")
+        .drop("_salts")
     )
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
