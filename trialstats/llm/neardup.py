@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialstats.llm.common import table, utf8
+from trialstats.llm.common import small, table, utf8, work_tables
 from trialstats.llm.graph import components
 from trialstats.session import cut
 
@@ -41,13 +41,19 @@ SHINGLE = 5
 PERCENT = 75
 REGISTERS = 128
 BANDS = 32
-BASE = 1.1
-#: registers hold 0..255; exponentials above this value truncate to 0
+#: close to 1, so that registers of unlike sets differ: at 1.1 two of them in 44 agree, and chance buckets grow with
+#: the square of the input
+BASE = 1.001
+#: registers hold 0..65535; exponentials above this value truncate to 0
 CEILING = 20.0
 HUB_ROUNDS = 2
 SIGMAS = 5.0
+#: pairs that are estimated at once
+TOGETHER = 20_000
 #: register comparisons of one block of the exhaustive round
 BLOCK_PAIRS = 4_000_000
+#: ids (16 bytes each) that are broadcast at most; more are joined by a shuffle
+SMALL_IDS = 1_000_000
 #: stands for a null doc_id where full sets are read
 NO_ID = -(1 << 63)
 #: words a task remembers the hash of
@@ -89,8 +95,8 @@ def _seeds(registers: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
-    """SetSketch registers (uint8) of each set, one row per set; an empty set has zeros."""
-    out = np.zeros((len(sets), registers), np.uint8)
+    """SetSketch registers (uint16) of each set, one row per set; an empty set has zeros."""
+    out = np.zeros((len(sets), registers), np.uint16)
     full = [k for k, s in enumerate(sets) if len(s)]
     if not full:
         return out
@@ -110,7 +116,7 @@ def sketches(sets: list[np.ndarray], registers: int = REGISTERS) -> np.ndarray:
         begin = end
     uniform = (least.astype(np.float64) + 0.5) / 2.0**32
     exponential = -np.log1p(-uniform) / CEILING
-    out[full] = np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, 255).astype(np.uint8)
+    out[full] = np.clip(np.floor(1 - np.log(exponential) / math.log(BASE)), 0, 65535).astype(np.uint16)
     return out
 
 
@@ -178,7 +184,7 @@ def full_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 
 def _registers(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def _likely(percent: int):
@@ -196,46 +202,57 @@ def _likely(percent: int):
 def _blockwise(percent: int):
     """Rows sorted by block to candidate pairs: each ``left`` row with every row of another component."""
 
-    def pairs(rows: list[dict]) -> Iterator[tuple[bytes, bytes]]:
-        sketch = np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
-        sizes = np.array([r["n"] for r in rows], float)
+    def indexes(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of rows of one block to be compared, a bounded number at a time."""
+        sizes = np.array([r["n"] for r in rows], np.int64)
         names = {c: k for k, c in enumerate(dict.fromkeys(r["root"] for r in rows))}
         root = np.array([names[r["root"]] for r in rows])
-        least = _least_estimate(percent, sketch.shape[1])
         left = np.array([r["left"] for r in rows])
-        for k in np.flatnonzero(left):
-            ratio = np.minimum(sizes, sizes[k]) * 100 >= percent * np.maximum(sizes, sizes[k])
+        number = np.arange(len(rows))
+        some = max(1, TOGETHER // len(rows))
+        lefts = np.flatnonzero(left)
+        for at in range(0, len(lefts), some):
+            own = lefts[at : at + some, None]
+            near = np.minimum(sizes, sizes[own]) * 100 >= percent * np.maximum(sizes, sizes[own])
             # of two left rows the pair is seen once
-            other = np.flatnonzero(ratio & (root != root[k]) & (~left | (np.arange(len(rows)) > k)))
-            if len(other):
-                mine = np.broadcast_to(sketch[k], (len(other), sketch.shape[1]))
-                j = joint_estimate(mine, sketch[other], np.full(len(other), sizes[k]), sizes[other])
-                for o in other[j >= least]:
-                    yield rows[k]["digest"], rows[o]["digest"]
+            k, o = np.nonzero(near & (root != root[own]) & (~left | (number > own)))
+            yield own[k, 0], o
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
-
-        def emit():
-            found = list(pairs(held))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+    def estimated(pairs: list[tuple]) -> pa.RecordBatch:
+        first, second = (np.frombuffer(b"".join(p[k]["sketch"] for p in pairs), np.uint16).reshape(len(pairs), -1) for k in (0, 1))
+        sizes = [np.array([p[k]["n"] for p in pairs], float) for k in (0, 1)]
+        good = joint_estimate(first, second, *sizes) >= _least_estimate(percent, first.shape[1])
+        kept = [p for p, g in zip(pairs, good, strict=True) if g]
+        return pa.RecordBatch.from_arrays([pa.array([p[k]["digest"] for p in kept], pa.binary()) for k in (0, 1)], ["a", "b"])
 
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+        held: list[dict] = []
         for batch in batches:
             for row in batch.to_pylist():
                 if held and (row["block"], row["key"]) != (held[0]["block"], held[0]["key"]):
-                    yield emit()
+                    yield held
                     held = []
                 held.append(row)
         if held:
-            yield emit()
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: list[tuple] = []
+        for rows in blocks(batches):
+            for first, second in indexes(rows):
+                pairs += [(rows[k], rows[o]) for k, o in zip(first.tolist(), second.tolist(), strict=True)]
+                while len(pairs) >= TOGETHER:
+                    yield estimated(pairs[:TOGETHER])
+                    del pairs[:TOGETHER]
+        if pairs:
+            yield estimated(pairs)
 
     return run
 
 
 def _buckets(classes: DataFrame, registers: int, bands: int) -> DataFrame:
     """key and digest of every class that shares a bucket (band and its registers) with another."""
-    width = registers // bands
+    width = 2 * registers // bands
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 1 + width * b, width)) for b in range(bands)))
     rows = classes.select("digest", F.explode(keys).alias("key")).repartition("key")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -295,6 +312,26 @@ def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _bucketed(sets: DataFrame, name: str) -> DataFrame:
+    """Full sets in buckets by digest, so that confirming moves candidate pairs and never all sets."""
+    spark = sets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    once = sets.repartition(parts, "digest").dropDuplicates(["digest"])
+    once.write.bucketBy(parts, "digest").saveAsTable(name)
+    return spark.table(name)
+
+
+def _roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node and root of every class with a confirmed link."""
+    links, roots = None, None
+    for turn in range(HUB_ROUNDS + 1):
+        make = _hub_pairs if turn < HUB_ROUNDS else _rest_pairs
+        new = cut(_confirm(make(_rooted(members, roots), percent), sets, percent))
+        links = new if links is None else links.unionAll(new)
+        roots = components(links)
+    return roots
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest of the set, root (a digest, null for an empty set), component_id and kept of each row."""
     rows = docs.select("doc_id", summaries(utf8(F.col("text"))).alias("_s"))
@@ -307,17 +344,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
     ids = rows.where("n > 0").select(key, "digest").join(wanted, "digest", "left_semi")
     ids = ids.groupBy("digest").agg(F.min("_id").alias("_id")).select("_id").distinct()
-    sets = docs.select(key, "text").join(ids, "_id", "left_semi")
+    sets = docs.select(key, "text").join(small(cut(ids), SMALL_IDS), "_id", "left_semi")
     sets = sets.select(full_sets(utf8(F.col("text"))).alias("_s")).select("_s.digest", "_s.elements")
-    # an explicit number of partitions stays known after the cut: confirming moves pairs, not all sets again
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sets = cut(sets.repartition(parts, "digest").dropDuplicates(["digest"]))
-    links, roots = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        make = _hub_pairs if turn < HUB_ROUNDS else _rest_pairs
-        new = cut(_confirm(make(_rooted(members, roots), percent), sets, percent))
-        links = new if links is None else links.unionAll(new)
-        roots = components(links)
+    with work_tables(docs.sparkSession) as database:
+        roots = _roots(members, _bucketed(sets, f"{database}.sets"), percent)
     named = _rooted(rows.select("doc_id", "n", "digest"), roots)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
@@ -339,18 +369,20 @@ def one_of_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row of ``docs`` per component, that of the smallest doc_id; rows without words all stay."""
     found = cut(near_duplicates(docs, percent).select("doc_id", "digest", "root"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
-    best = found.where("root is not null").groupBy("root").agg(F.min(order).alias("one"))
-    best = best.select(F.col("one.doc_id").alias("_id"), F.col("one.digest").alias("_best"))
-    empty = found.where("root is null").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_best")).distinct()
+    worded = found.where("root is not null")
+    best = worded.groupBy("root").agg(F.min(order).alias("best"))
+    sizes = worded.groupBy("root", "doc_id", "digest").agg(F.count("*").alias("n")).join(best, "root")
+    first = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
+    key = [F.col("doc_id").alias("_id"), F.col("digest").alias("_out")]
+    out = small(cut(sizes.where(~first).select(*key).distinct()), SMALL_IDS)
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_set") == F.col("_out"))
     rows = docs.withColumn("_set", set_digests(utf8(F.col("text"))))
-    same = [F.col("doc_id").eqNullSafe(F.col("_id")), F.col("_set") == F.col("_best")]
-    kept = rows.join(best.unionAll(empty), same[0] & same[1], "left_semi")
-    again = found.where("root is not null").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
-    again = cut(again.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_best")))
+    kept = rows.join(out, same, "left_anti")
+    again = cut(sizes.where(first & (F.col("n") > 1)).select(*key))
     if again.isEmpty():
         return kept.drop("_set")
-    once = kept.join(again, same[0] & same[1], "left_semi").dropDuplicates(["doc_id", "_set"])
-    return kept.join(again, same[0] & same[1], "left_anti").unionAll(once).drop("_set")
+    once = kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "_set"])  # repeated rows of a kept document
+    return kept.join(again, same, "left_anti").unionAll(once).drop("_set")
 
 
 def op3_neardup(spark, sf_dir: str) -> DataFrame:
