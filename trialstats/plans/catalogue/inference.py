@@ -62,6 +62,21 @@ def p1_fit(spark, sf_dir):
     return rounded(fit, *[c for c in fit.columns if c.split("_")[0] in (*FT.COEFS, "peak")], places=6)
 
 
+def fit_refusals(spark, sf_dir):
+    """Status and reason of groups that cannot be estimated: one outcome, one document, too few cells."""
+    t = trials(spark, sf_dir)
+    first = F.lit(t.agg(F.min("doc_id")).scalar())
+    cuts = {
+        "successes": F.col("success"), "failures": ~F.col("success"), "one-document": F.col("doc_id") == first,
+        "two-cells": F.col("tools").isin(2, 3) & (F.col("fault_pct") == 0),
+        "one-column": (F.col("tools") == 4),
+    }
+    label = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in cuts.items()))))
+    runs = t.withColumn("_cut", label).withColumn("mix", F.concat_ws("/", "mix", "_cut"))
+    docs = cut(K.wide_counts(K.document_counts(runs), K.grid()))
+    return FT.estimate(FT.group_totals(docs, K.grid()), K.grid()).select("model_id", "mix", "n_documents", "n_runs", "status", "reason")
+
+
 def fractional_logit(spark, sf_dir):
     counts = K.document_counts(trials(spark, sf_dir)).withColumn(
         "score_sum", F.col("score_sum").cast("double"))
@@ -332,6 +347,7 @@ QUERIES = {
     "boot_multiplicities": boot_multiplicities,
     "boot_cell_counts": boot_cell_counts,
     "p1_fit": p1_fit,
+    "fit_refusals": fit_refusals,
     "fractional_logit": fractional_logit,
     "p1_bootstrap": p1_bootstrap,
     "p1_verdict": p1_verdict,
@@ -362,6 +378,16 @@ from (select model_id, size, draw, pos, count(*) as w from idx group by all) gro
     "boot_cell_counts": f"""with {S.TRIALS}, {COUNTS}, {BOOT_COUNTS}
 select {GK}, draw, tools, fault_pct, s::bigint as s, n::bigint as n from boot""",
     "p1_fit": f"with recursive {S.TRIALS}, {COUNTS}, {FIT}, {_robust()} {_fit_select('mle')}",
+    "fit_refusals": f"""with {S.TRIALS}, c as (select unnest(['successes', 'failures', 'one-document', 'two-cells', 'one-column']) as cut),
+r as (select model_id, mix || '/' || cut as mix, doc_id, tools, fault_pct, success from trials, c where {SCOPE} and case cut
+  when 'successes' then success when 'failures' then not success when 'one-document' then doc_id = (select min(doc_id) from trials)
+  when 'two-cells' then tools in (2, 3) and fault_pct = 0 else tools = 4 end),
+s as (select model_id, mix, count(distinct doc_id) as n_documents, count(*) as n_runs, count(*) filter (where success) as hits,
+  least(3, count(distinct tools)) + least(1, count(distinct fault_pct) - 1) as rank from r group by all)
+select model_id, mix, n_documents, n_runs, 'not_estimable' as status,
+  case when hits = 0 then 'no variation in scope: every run is a failure' when hits = n_runs then 'no variation in scope: every run is a success'
+    when n_documents < 2 then 'one document: a clustered covariance needs two or more'
+    else 'the in-scope cells identify ' || rank || ' of 4 coefficients' end as reason from s""",
     "fractional_logit": f"with recursive {S.TRIALS}, "
     + COUNTS.replace("count(*) filter (where success) as s", "sum(score) as s")
     + f", {FIT}, {_robust()} {_fit_select('fitted')}",

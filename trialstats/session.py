@@ -17,6 +17,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # files of a cut go with their table
         # longer generated methods are never compiled by the JIT; Spark then splits them instead
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .getOrCreate()
