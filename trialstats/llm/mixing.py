@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.llm.common import table
+from trialstats.session import cut
 
 VALUES = 256
 OTHER, NULL = "(other)", "(null)"
@@ -118,7 +119,8 @@ def mix(docs: DataFrame, targets: dict = TARGETS, keep: float = KEEP, topics: Co
     """Raked weights for the documents' cells."""
     values = dimension_values(docs, topics)
     cells = docs.select(*(v.alias(d) for d, v in values.items()), token_count(docs["text"]).alias("tokens"))
-    cells = cells.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
+    # read several times below, so the texts are read once
+    cells = cut(cells.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).where("tokens > 0"))
     names = {}
     for d in DIMENSIONS:
         heavy = cells.groupBy(d).agg(F.sum("tokens").alias("t")).orderBy(F.desc("t"), d).limit(VALUES).collect()
