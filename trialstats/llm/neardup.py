@@ -8,7 +8,8 @@
    probability of at least the similarity J, so a pair of similarity 0.75 shares no bucket with probability
    below (1 - 0.75^4)^32 = 6e-6.
 4. Classes of one bucket are linked by hubs, never by all pairs: in each of ``HUB_ROUNDS`` rounds every class is
-   compared with one class of its bucket's largest component, if it is not in that component yet. Then an exhaustive
+   compared with one class (another one in every round) of its bucket's largest component, if it is not in that
+   component yet. Then an exhaustive
    round compares, block by block and on registers only, each class outside its bucket's largest component with all
    classes of other components, so no link between components is lost to the hubs.
 5. Every candidate pair is estimated jointly by maximum likelihood from its register comparison and the two set
@@ -149,7 +150,7 @@ def _least_estimate(percent: int, registers: int) -> float:
 _SUMMARY = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.BinaryType()),
 ])
-_CLASS = T.StructType([*_SUMMARY.fields[:2], T.StructField("elements", T.ArrayType(T.LongType()))])
+_CLASS = T.StructType([*_SUMMARY.fields, T.StructField("elements", T.ArrayType(T.LongType()))])
 
 
 def _sets(texts: pa.Array, hashes: WordHashes) -> tuple[list[np.ndarray], list[bytes]]:
@@ -171,7 +172,7 @@ def summaries(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 @F.arrow_udf(_CLASS)
 def full_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Set size, set digest and all shingles of each text."""
+    """Set size, set digest, sketch and all shingles of each text."""
     hashes = WordHashes()
     for texts in batches:
         sets, digests = _sets(texts, hashes)
@@ -179,8 +180,9 @@ def full_sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
         yield pa.StructArray.from_arrays([
             pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+            pa.array([r.tobytes() for r in sketches(sets)], pa.binary()),
             pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))),
-        ], ["n", "digest", "elements"])
+        ], ["n", "digest", "sketch", "elements"])
 
 
 def _registers(column: pa.Array) -> np.ndarray:
@@ -260,12 +262,17 @@ def _buckets(classes: DataFrame, registers: int, bands: int) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
-    one = sets.select(F.col("digest").alias("a"), F.col("elements").alias("x"))
+    """Pairs whose sketches make the threshold likely and whose full sets reach it."""
+    one = sets.select(F.col("digest").alias("a"), F.col("sketch").alias("s"), F.col("n").alias("m"))
+    two = sets.select(F.col("digest").alias("b"), F.col("sketch").alias("t"), F.col("n").alias("o"))
+    close = F.least("m", "o") * 100 >= F.greatest("m", "o") * percent
+    likely = pairs.join(one, "a").join(two, "b").where(close).where(_likely(percent)("s", "t", "m", "o")).select("a", "b")
+    # the pairs lie by b now, so that side's elements come first and only they move
     two = sets.select(F.col("digest").alias("b"), F.col("elements").alias("y"))
+    one = sets.select(F.col("digest").alias("a"), F.col("elements").alias("x"))
     both = F.size(F.array_intersect("x", "y"))
     near = both * 100 >= (F.size("x") + F.size("y") - both) * percent
-    return pairs.join(one, "a").join(two, "b").where(near).select("a", "b")
+    return likely.join(two, "b").join(one, "a").where(near).select("a", "b")
 
 
 def _rooted(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -275,45 +282,39 @@ def _rooted(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
     return frame.join(named, "digest", "left").withColumn("root", F.coalesce("_root", "digest")).drop("_root")
 
 
-def _hub_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
     """Each class with the hub of its bucket's largest component, if it is in another component."""
-    hubs = _largest(members).select("key", F.col("big.root").alias("_root"), F.col("big.hub").alias("hub"))
+    hubs = _largest(members, turn).select("key", F.col("big.root").alias("_root"), F.col("big.hub.digest").alias("_hub"))
     return members.join(hubs, "key").where("root <> _root").select(
-        F.greatest("digest", "hub.digest").alias("a"), F.least("digest", "hub.digest").alias("b"),
-        F.when(F.col("digest") > F.col("hub.digest"), F.struct("sketch", "n")).otherwise(F.struct("hub.sketch", "hub.n")).alias("x"),
-        F.when(F.col("digest") > F.col("hub.digest"), F.struct("hub.sketch", "hub.n")).otherwise(F.struct("sketch", "n")).alias("y"),
-    ).dropDuplicates(["a", "b"]).where(_likely(percent)("x.sketch", "y.sketch", "x.n", "y.n")).select("a", "b")
+        F.greatest("digest", "_hub").alias("a"), F.least("digest", "_hub").alias("b")).distinct()
 
 
-def _largest(members: DataFrame) -> DataFrame:
-    """Per bucket: its rows, and its largest component with that one's first class by hash."""
-    parts = members.groupBy("key", "root").agg(
-        F.count("*").alias("rows"),
-        F.min(F.struct(F.xxhash64("digest").alias("h"), "digest", "sketch", "n")).alias("hub"))
+def _largest(members: DataFrame, turn: int = 0) -> DataFrame:
+    """Per bucket: its rows, and its largest component with that one's first class by the turn's hash."""
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "digest").alias("h"), "digest"))
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("rows"), first.alias("hub"))
     return parts.groupBy("key").agg(
         F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("rows", "root", "hub")).alias("big"))
 
 
-def _rest_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Classes outside their bucket's largest component with all of other components that look near."""
     big = _largest(members).where("parts > 1").select(
         "key", F.col("big.root").alias("_root"),
         F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("big.rows")) * F.col("rows") / F.lit(BLOCK_PAIRS)))
         .cast("int").alias("blocks"))
-    rows = members.join(big, "key").withColumn("outside", F.col("root") != F.col("_root"))
+    rows = members.join(big, "key").join(sets.select("digest", "sketch", "n"), "digest")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    rows = rows.select(
-        "key", "digest", "root", "sketch", "n", "outside", own.alias("own"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     rows = rows.select("key", "block", "digest", "root", "sketch", "n",
-                       (F.col("outside") & (F.col("own") == F.col("block"))).alias("left"))
+                       ((F.col("root") != F.col("_root")) & (own == F.col("block"))).alias("left"))
     sorted_ = rows.repartition("key", "block").sortWithinPartitions("key", "block", "digest")
     found = sorted_.mapInArrow(_blockwise(percent), "a binary, b binary")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _bucketed(sets: DataFrame, name: str) -> DataFrame:
-    """Full sets in buckets by digest, so that confirming moves candidate pairs and never all sets."""
+    """Sketches and full sets in buckets by digest, so that confirming moves candidate pairs and never all sets."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = sets.repartition(parts, "digest").dropDuplicates(["digest"])
@@ -325,8 +326,9 @@ def _roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node and root of every class with a confirmed link."""
     links, roots = None, None
     for turn in range(HUB_ROUNDS + 1):
-        make = _hub_pairs if turn < HUB_ROUNDS else _rest_pairs
-        new = cut(_confirm(make(_rooted(members, roots), percent), sets, percent))
+        rooted = _rooted(members, roots)
+        pairs = _hub_pairs(rooted, turn) if turn < HUB_ROUNDS else _rest_pairs(rooted, sets, percent)
+        new = cut(_confirm(pairs, sets, percent))
         links = new if links is None else links.unionAll(new)
         roots = components(links)
     return roots
@@ -336,16 +338,15 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest of the set, root (a digest, null for an empty set), component_id and kept of each row."""
     rows = docs.select("doc_id", summaries(utf8(F.col("text"))).alias("_s"))
     rows = cut(rows.select("doc_id", "_s.n", "_s.digest", "_s.sketch"))
-    classes = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("sketch", "n")).alias("one"))
-    classes = classes.select("digest", "one.sketch", "one.n")
+    classes = rows.where("n > 0").select("digest", "sketch").dropDuplicates(["digest"])
     buckets = _buckets(classes, REGISTERS, BANDS)
-    members = cut(buckets.join(classes, "digest").select("key", "digest", "sketch", "n"))
+    members = cut(buckets.select("key", "digest"))
     wanted = members.select("digest").distinct()
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
     ids = rows.where("n > 0").select(key, "digest").join(wanted, "digest", "left_semi")
     ids = ids.groupBy("digest").agg(F.min("_id").alias("_id")).select("_id").distinct()
     sets = docs.select(key, "text").join(small(cut(ids), SMALL_IDS), "_id", "left_semi")
-    sets = sets.select(full_sets(utf8(F.col("text"))).alias("_s")).select("_s.digest", "_s.elements")
+    sets = sets.select(full_sets(utf8(F.col("text"))).alias("_s")).select("_s.*")
     with work_tables(docs.sparkSession) as database:
         roots = _roots(members, _bucketed(sets, f"{database}.sets"), percent)
     named = _rooted(rows.select("doc_id", "n", "digest"), roots)
