@@ -7,11 +7,10 @@
 3. ``BANDS`` bands of ``REGISTERS // BANDS`` registers each put classes into buckets. Two registers agree with a
    probability of at least the similarity J, so a pair of similarity 0.75 shares no bucket with probability
    below (1 - 0.75^4)^32 = 6e-6.
-4. Classes of one bucket are linked by hubs, never by all pairs: in each of ``HUB_ROUNDS`` rounds every class is
-   compared with one class (another one in every round) of its bucket's largest component, if it is not in that
-   component yet. Then an exhaustive
-   round compares, block by block and on registers only, each class outside its bucket's largest component with all
-   classes of other components, so no link between components is lost to the hubs.
+4. Classes of one bucket are linked by hubs, never by all pairs: every class is compared with ``HUBS`` classes of its
+   bucket, picked by hash. Then an exhaustive round compares, block by block and on registers only, each class
+   outside its bucket's largest component with all classes of other components, so no link between components is
+   lost to the hubs.
 5. Every candidate pair is estimated jointly by maximum likelihood from its register comparison and the two set
    sizes; pairs ``SIGMAS`` standard deviations below the threshold are left out, all others are confirmed on the
    full sets by 100 * intersection >= 75 * union.
@@ -47,7 +46,7 @@ BANDS = 32
 BASE = 1.001
 #: registers hold 0..65535; exponentials above this value truncate to 0
 CEILING = 20.0
-HUB_ROUNDS = 2
+HUBS = 4
 SIGMAS = 5.0
 #: pairs that are estimated at once
 TOGETHER = 20_000
@@ -223,7 +222,10 @@ def _blockwise(percent: int):
     def estimated(pairs: list[tuple]) -> pa.RecordBatch:
         first, second = (np.frombuffer(b"".join(p[k]["sketch"] for p in pairs), np.uint16).reshape(len(pairs), -1) for k in (0, 1))
         sizes = [np.array([p[k]["n"] for p in pairs], float) for k in (0, 1)]
-        good = joint_estimate(first, second, *sizes) >= _least_estimate(percent, first.shape[1])
+        # a pair is looked at in the first band that it shares, and in no other bucket
+        shared = (first == second).reshape(len(pairs), BANDS, -1).all(axis=2).argmax(axis=1)
+        own = shared == np.array([p[0]["band"] for p in pairs])
+        good = own & (joint_estimate(first, second, *sizes) >= _least_estimate(percent, first.shape[1]))
         kept = [p for p, g in zip(pairs, good, strict=True) if g]
         return pa.RecordBatch.from_arrays([pa.array([p[k]["digest"] for p in kept], pa.binary()) for k in (0, 1)], ["a", "b"])
 
@@ -253,10 +255,10 @@ def _blockwise(percent: int):
 
 
 def _buckets(classes: DataFrame, registers: int, bands: int) -> DataFrame:
-    """key and digest of every class that shares a bucket (band and its registers) with another."""
+    """key, band and digest of every class that shares a bucket (band and its registers) with another."""
     width = 2 * registers // bands
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 1 + width * b, width)) for b in range(bands)))
-    rows = classes.select("digest", F.explode(keys).alias("key")).repartition("key")
+    rows = classes.select("digest", F.posexplode(keys).alias("band", "key")).repartition("key")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return rows.join(shared, "key", "left_semi")
 
@@ -275,26 +277,24 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return likely.join(two, "b").join(one, "a").where(near).select("a", "b")
 
 
-def _rooted(frame: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return frame.withColumn("root", F.col("digest"))
+def _rooted(frame: DataFrame, roots: DataFrame) -> DataFrame:
     named = roots.select(F.col("node").alias("digest"), F.col("root").alias("_root"))
     return frame.join(named, "digest", "left").withColumn("root", F.coalesce("_root", "digest")).drop("_root")
 
 
-def _hub_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each class with the hub of its bucket's largest component, if it is in another component."""
-    hubs = _largest(members, turn).select("key", F.col("big.root").alias("_root"), F.col("big.hub.digest").alias("_hub"))
-    return members.join(hubs, "key").where("root <> _root").select(
-        F.greatest("digest", "_hub").alias("a"), F.least("digest", "_hub").alias("b")).distinct()
+def _hub_pairs(members: DataFrame) -> DataFrame:
+    """Each class with the hubs of its bucket: the first classes by ``HUBS`` different hashes."""
+    first = [F.min(F.struct(F.xxhash64(F.lit(k), "digest").alias("h"), "digest")) for k in range(HUBS)]
+    hubs = members.groupBy("key").agg(F.array_distinct(F.array(*(f["digest"] for f in first))).alias("_hubs"))
+    pairs = members.join(hubs, "key").select("digest", F.explode("_hubs").alias("_hub")).where("digest <> _hub")
+    return pairs.select(F.greatest("digest", "_hub").alias("a"), F.least("digest", "_hub").alias("b")).distinct()
 
 
-def _largest(members: DataFrame, turn: int = 0) -> DataFrame:
-    """Per bucket: its rows, and its largest component with that one's first class by the turn's hash."""
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "digest").alias("h"), "digest"))
-    parts = members.groupBy("key", "root").agg(F.count("*").alias("rows"), first.alias("hub"))
+def _largest(members: DataFrame) -> DataFrame:
+    """Per bucket: its rows, its components and the largest of them."""
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("rows"))
     return parts.groupBy("key").agg(
-        F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("rows", "root", "hub")).alias("big"))
+        F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("rows", "root")).alias("big"))
 
 
 def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -306,7 +306,7 @@ def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = members.join(big, "key").join(sets.select("digest", "sketch", "n"), "digest")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = rows.select("key", "block", "digest", "root", "sketch", "n",
+    rows = rows.select("key", "band", "block", "digest", "root", "sketch", "n",
                        ((F.col("root") != F.col("_root")) & (own == F.col("block"))).alias("left"))
     sorted_ = rows.repartition("key", "block").sortWithinPartitions("key", "block", "digest")
     found = sorted_.mapInArrow(_blockwise(percent), "a binary, b binary")
@@ -324,14 +324,9 @@ def _bucketed(sets: DataFrame, name: str) -> DataFrame:
 
 def _roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node and root of every class with a confirmed link."""
-    links, roots = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        rooted = _rooted(members, roots)
-        pairs = _hub_pairs(rooted, turn) if turn < HUB_ROUNDS else _rest_pairs(rooted, sets, percent)
-        new = cut(_confirm(pairs, sets, percent))
-        links = new if links is None else links.unionAll(new)
-        roots = components(links)
-    return roots
+    links = cut(_confirm(_hub_pairs(members), sets, percent))
+    rest = _rest_pairs(_rooted(members, components(links)), sets, percent)
+    return components(links.unionAll(cut(_confirm(rest, sets, percent))))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -340,7 +335,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = cut(rows.select("doc_id", "_s.n", "_s.digest", "_s.sketch"))
     classes = rows.where("n > 0").select("digest", "sketch").dropDuplicates(["digest"])
     buckets = _buckets(classes, REGISTERS, BANDS)
-    members = cut(buckets.select("key", "digest"))
+    members = cut(buckets.select("key", "band", "digest"))
     wanted = members.select("digest").distinct()
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
     ids = rows.where("n > 0").select(key, "digest").join(wanted, "digest", "left_semi")
