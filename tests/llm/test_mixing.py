@@ -49,3 +49,29 @@ def test_raking_against_a_plain_loop():
     now = cells / cells.sum() * f[0][:, None, None] * f[1][None, :, None] * f[2]
     for axis in range(3):
         assert np.allclose(now.sum(tuple(a for a in range(3) if a != axis)), targets[axis], atol=1e-8)
+
+
+def test_every_source_is_raked_to_its_own_target(spark, monkeypatch):
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.lit("a b c d").alias("text"), F.when(F.expr("id div 1000") % 3 == 0, "en").otherwise("de").alias("lang"),
+        F.concat(F.lit("s"), F.col("id") % 1000).alias("source"), F.lit(7).alias("n_chars"))
+    rows = M.weighted(docs, targets={"source": 0.7}).toPandas()
+    assert len(rows) == 6000 and np.allclose(rows.weight, 1)
+    asked = {f"s{k}": 1.0 + k % 3 for k in range(1000)}
+    rows = M.weighted(docs, targets={"source": asked}).toPandas()
+    got = (rows.tokens * rows.weight).groupby(rows.source).sum() / (rows.tokens * rows.weight).sum()
+    assert np.allclose(got, [asked[v] / sum(asked.values()) for v in got.index], rtol=1e-6)
+    few = docs.where("id % 1000 < 12")
+    asked = {f"s{k}": 1.0 + k % 3 for k in range(12)}
+    options = {"targets": {"source": asked, "lang": 0.5}, "keep": 0.3}
+    want = M.weighted(few, **options).toPandas().sort_values("doc_id")
+    monkeypatch.setattr(M, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(M, "VALUES", 3)
+    got = M.weighted(few, **options).toPandas().sort_values("doc_id")
+    assert np.allclose(got.weight, want.weight) and np.allclose(got.probability, want.probability)
+    assert {r.doc_id for r in M.sample(few, **options).collect()} == set(want[want.sampled].doc_id)
+
+
+def test_blanks_are_no_tokens(spark):
+    rows = spark.createDataFrame([("a  b\n\n\n  c\n",), ("\n x",), (" \t ",), (None,)], "text string")
+    assert [r[0] for r in rows.select(M.token_count(F.col("text"))).collect()] == [3, 1, 0, 0]
