@@ -44,3 +44,14 @@ def test_tables(spark, documents, odd_documents, no_documents):
         assert [n.license for n in r.notices] == want
     assert {r.candidates for r in L.scan(odd_documents).collect()} == {0}
     assert L.scan(no_documents).count() == 0
+
+
+PROSE = ("in the early days of the village the river ran past the mill and nobody kept a record of it so what we know "
+         "comes from letters that were found under the floor of the old school when it was sold ").split()
+
+
+def test_notices_inside_running_prose():
+    for around in (3, 8, 30, 200):
+        for name, wording in L.TEMPLATES:
+            words = (PROSE * 7)[:around]
+            assert names(f"{' '.join(words)} {wording} {' '.join(reversed(words))}") == [name], (around, wording)

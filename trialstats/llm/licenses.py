@@ -1,10 +1,11 @@
 """License scan by conditional compression.
 
-A candidate block is a line that holds a licensing word; longer lines are cut to the neighbourhood of those words.
-Each block is compressed alone and with every template as a zstandard raw-content dictionary, and the templates are
-ranked by how much smaller the block became. A winner is confirmed on its wording: template and block are aligned word
-by word; numbers must agree, and at most ``DIFFERENT`` of the template's words may be missing or added. The rest of a
-block is searched again, so a line may hold several notices.
+A candidate block is a line that holds a licensing word; longer lines are cut to the neighbourhood of those words. In a block, each licensing word is laid on
+the same word of each template, which gives a window of the template's length and the words that may differ. A window
+is compressed alone and with its template as a zstandard raw-content dictionary, so what stands around a notice does
+not matter; templates that make it smaller are confirmed on their wording: template and window are aligned word by
+word; numbers must agree, and at most ``DIFFERENT`` of the template's words may be missing or
+added. Of overlapping notices the best one stays, so a block may hold several.
 
 Cases: a null or empty text has no block; a block that no template explains stays unconfirmed and is counted;
 repeated rows are handled row by row.
@@ -12,6 +13,7 @@ repeated rows are handled row by row.
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
 from collections.abc import Iterator
@@ -24,7 +26,7 @@ from pyspark.sql import types as T
 from trialstats.llm.common import table
 
 LEVEL = 19
-#: a template explains a block if it saves this share of its size
+#: a template explains a window if it saves this share of its size
 LEAST_GAIN = 0.2
 DIFFERENT = 0.2
 #: longer lines are cut to this many characters around a cue
@@ -78,9 +80,18 @@ def blocks(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def plain(text: str) -> bytes:
-    """What is compressed: lower case, single spaces."""
-    return " ".join(text.lower().split()).encode("utf-8", "replace")
+def word_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """Spans of the words between start and end."""
+    return [m.span() for m in _WORD.finditer(text, start, end)]
+
+
+def cues(text: str, spans: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[str, int]]:
+    """Kind of each cue and the number of the word it stands in."""
+    starts = [a for a, _ in spans]
+    for cue in _CUE.finditer(text, start, end):
+        k = bisect.bisect_right(starts, cue.start()) - 1
+        if k >= 0 and cue.start() < spans[k][1]:
+            yield cue[0][:5].lower(), k
 
 
 class Scanner:
@@ -90,53 +101,75 @@ class Scanner:
         options = {"level": LEVEL, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
         self.alone = z.ZstdCompressor(**options)
         self.templates = []
-        for name, wording in templates:
-            d = z.ZstdCompressionDict(plain(wording), dict_type=z.DICT_TYPE_RAWCONTENT)
-            words = [w.lower() for w in _WORD.findall(wording)]
+        #: kind of cue to template and the cue's place in it
+        self.places: dict[str, list[tuple[int, int]]] = {}
+        for k, (name, wording) in enumerate(templates):
+            spans = word_spans(wording, 0, len(wording))
+            words = [wording[a:b].lower() for a, b in spans]
+            d = z.ZstdCompressionDict(" ".join(words).encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
             self.templates.append((name, words, z.ZstdCompressor(dict_data=d, **options)))
-        self.seen: dict[str, list[tuple[float, int]]] = {}
-
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Gain and number of the templates that make the block smaller, best first."""
-        if block not in self.seen:
+            for kind, place in cues(wording, spans, 0, len(wording)):
+                self.places.setdefault(kind, []).append((k, place))
+        self.seen: dict[tuple[int, str], tuple | None] = {}
+
+    def tried(self, k: int, window: list[str]) -> tuple[float, tuple[int, int, int, int]] | None:
+        """Gain of a template on a window and what ``confirm`` says, if the template makes the window smaller."""
+        key = k, " ".join(window)
+        if key not in self.seen:
             if len(self.seen) > 10_000:
                 self.seen.clear()
-            data = plain(block)
-            size = len(self.alone.compress(data))
-            gains = [(1 - len(c.compress(data)) / size, k) for k, (_, _, c) in enumerate(self.templates)]
-            self.seen[block] = sorted((g for g in gains if g[0] >= LEAST_GAIN), key=lambda g: (-g[0], g[1]))
-        return self.seen[block]
+            data, (_, words, compressor) = key[1].encode("utf-8", "replace"), self.templates[k]
+            gain = 1 - len(compressor.compress(data)) / len(self.alone.compress(data))
+            got = self.confirm(words, window) if gain >= LEAST_GAIN else None
+            self.seen[key] = (gain, got) if got else None
+        return self.seen[key]
 
     def confirm(self, words: list[str], block: list[str]) -> tuple[int, int, int, int] | None:
         """First and last matched block word, template words missing, words added between them."""
         pairs = [m for m in difflib.SequenceMatcher(None, words, block, autojunk=False).get_matching_blocks() if m.size]
-        if not pairs:
+        best = None
+        # common words beside a notice match too, so the run of matches that differs least counts
+        for i in range(len(pairs)):
+            same = 0
+            for m in pairs[i:]:
+                same += m.size
+                first, last = pairs[i].b, m.b + m.size
+                missing, added = len(words) - same, last - first - same
+                if best is None or missing + added < best[2] + best[3]:
+                    best = first, last, missing, added, pairs[i : pairs.index(m) + 1]
+        if best is None or best[2] + best[3] > DIFFERENT * len(words):
+            return None
+        first, last, missing, added, run = best
+        ours, theirs = list(words), block[first:last]
+        for m in reversed(run):
+            del ours[m.a : m.a + m.size], theirs[m.b - first : m.b - first + m.size]
+        if any(w[0].isdigit() for w in ours + theirs):
             return None
-        same = sum(m.size for m in pairs)
-        first, last = pairs[0].b, pairs[-1].b + pairs[-1].size
-        missing, added = len(words) - same, last - first - same
-        numbers = [w for w in words if w[0].isdigit()] == [w for w in block[first:last] if w[0].isdigit()]
-        return (first, last, missing, added) if numbers and missing + added <= DIFFERENT * len(words) else None
+        return first, last, missing, added
 
     def scan(self, text: str) -> tuple[int, list[dict]]:
-        found, open_ = [], blocks(text)
-        candidates = len(open_)
-        while open_:
-            start, end = open_.pop()
-            spans = [m.span() for m in _WORD.finditer(text, start, end)]
+        found, spans_of = [], blocks(text)
+        for start, end in spans_of:
+            spans = word_spans(text, start, end)
             words = [text[a:b].lower() for a, b in spans]
-            best = None
-            for gain, k in self.ranked(text[start:end]):
-                if got := self.confirm(self.templates[k][1], words):
-                    # of equally fitting wordings the longer one says more
-                    rank = (got[2] + got[3] == 0, len(self.templates[k][1]), gain)
-                    best = max(best or (rank, k, gain, got), (rank, k, gain, got))
-            if best:
-                _, k, gain, (first, last, missing, added) = best
-                a, b = spans[first][0], spans[last - 1][1]
-                found.append({"license": self.templates[k][0], "start": a, "end": b, "gain": gain, "missing": missing, "added": added})
-                open_ += [(x, y) for x, y in ((start, a), (b, end)) if _CUE.search(text, x, y)]
-        return candidates, sorted(found, key=lambda n: n["start"])
+            fits = {}
+            for kind, at in cues(text, spans, start, end):
+                for k, place in self.places.get(kind, ()):
+                    n = len(self.templates[k][1])
+                    room = int(DIFFERENT * n)
+                    low = max(0, at - place - room)
+                    if got := self.tried(k, words[low : max(0, at - place + n + room)]):
+                        gain, (first, last, missing, added) = got
+                        # of equally fitting wordings the longer one says more
+                        rank = (missing + added == 0, n, -missing - added, gain)
+                        fits[low + first, low + last, k] = max(fits.get((low + first, low + last, k), (rank, missing, added)), (rank, missing, added))
+            taken = bytearray(len(words))
+            for (first, last, k), (rank, missing, added) in sorted(fits.items(), key=lambda f: (f[1][0], -f[0][0], -f[0][2]), reverse=True):
+                if not any(taken[first:last]):
+                    taken[first:last] = b"\1" * (last - first)
+                    found.append({"license": self.templates[k][0], "start": spans[first][0], "end": spans[last - 1][1],
+                                  "gain": rank[-1], "missing": missing, "added": added})
+        return len(spans_of), sorted(found, key=lambda n: n["start"])
 
 
 @F.arrow_udf(_RESULT)
