@@ -1,3 +1,5 @@
+import textwrap
+
 from trialstats.llm import licenses as L
 
 SCANNER = L.Scanner()
@@ -55,3 +57,26 @@ def test_notices_inside_running_prose():
         for name, wording in L.TEMPLATES:
             words = (PROSE * 7)[:around]
             assert names(f"{' '.join(words)} {wording} {' '.join(reversed(words))}") == [name], (around, wording)
+
+
+def test_one_word_added_inside_prose():
+    for name, wording in L.TEMPLATES:
+        words = wording.split()
+        if len(words) >= 10:
+            changed = " ".join([*words[: len(words) // 2], "indeed", *words[len(words) // 2 :]])
+            assert names(f"{' '.join(PROSE)} {changed} {' '.join(PROSE)}") == [name], changed
+
+
+def test_wrapped_notices_with_comment_signs():
+    for name, wording in L.TEMPLATES:
+        for width in (30, 72):
+            for sign in ("", " * ", "# ", "// ", "dnl "):
+                text = "\n".join(sign + line for line in textwrap.wrap(wording, width))
+                assert names(f"first line\n{text}\n\nint main") == [name], text
+
+
+def test_naming_words_decide():
+    for word in ("Affero", "Lesser"):
+        assert names(f"This work is licensed under the GNU {word} General Public License, version 3.") == []
+    assert names("Licensed under the License") == []
+    assert names("Licensed under CC BY-ND 4.0.") == []

@@ -1,10 +1,10 @@
 """License scan by conditional compression.
 
-A candidate block is a line that holds a licensing word; longer lines are cut to the neighbourhood of those words. In a block, each licensing word is laid on
+A candidate block is the neighbourhood of licensing words, across line ends. In a block, each licensing word is laid on
 the same word of each template, which gives a window of the template's length and the words that may differ. A window
 is compressed alone and with its template as a zstandard raw-content dictionary, so what stands around a notice does
 not matter; templates that make it smaller are confirmed on their wording: template and window are aligned word by
-word; numbers must agree, and at most ``DIFFERENT`` of the template's words may be missing or
+word; numbers and license-naming words must agree, and at most ``DIFFERENT`` of the template's words may be missing or
 added. Of overlapping notices the best one stays, so a block may hold several.
 
 Cases: a null or empty text has no block; a block that no template explains stays unconfirmed and is counted;
@@ -29,10 +29,18 @@ LEVEL = 19
 #: a template explains a window if it saves this share of its size
 LEAST_GAIN = 0.2
 DIFFERENT = 0.2
-#: longer lines are cut to this many characters around a cue
+#: a block reaches this many characters around a cue
 NEAR = 600
-_CUE = re.compile(r"licen[sc]|copyright|rights reserved|permission|redistribut|warrant|public domain|spdx|©", re.I)
+_CUE = re.compile(
+    r"licen[sc]|copyright|rights[\W_]+(?:(?:dnl|rem)\s+)?reserved|permission|redistribut|warrant"
+    r"|public[\W_]+(?:(?:dnl|rem)\s+)?domain|spdx|©", re.I)
 _WORD = re.compile(r"[0-9]+(?:\.[0-9]+)*|[^\W\d_]+")
+#: words that mark a comment line; other comment signs are no words
+_COMMENT = re.compile(r"^[ \t]*(?:dnl|rem)(?=[ \t])", re.I | re.M)
+#: words that tell one license from another
+NAMING = frozenset(
+    "affero agpl apache artistic attribution boost bsd cc eclipse eupl gnu gpl isc lesser lgpl library mit mozilla mpl nc "
+    "nd noncommercial noderivatives noderivs sa sharealike unlicense zlib".split())
 
 # fixed values: public license notices by identifier
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -66,23 +74,21 @@ _RESULT = T.StructType([T.StructField("candidates", T.IntegerType()), T.StructFi
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate blocks of a text as spans."""
+    """Candidate blocks of a text as spans: the neighbourhoods of cues, merged where they meet."""
     out: list[tuple[int, int]] = []
     for cue in _CUE.finditer(text):
-        start = text.rfind("\n", 0, cue.start()) + 1
-        end = text.find("\n", cue.end())
-        end = len(text) if end < 0 else end
-        start, end = max(start, cue.start() - NEAR), min(end, cue.end() + NEAR)
+        start, end = max(0, cue.start() - NEAR), min(len(text), cue.end() + NEAR)
         if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
+            out[-1] = (out[-1][0], end)
         else:
             out.append((start, end))
     return out
 
 
 def word_spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    """Spans of the words between start and end."""
-    return [m.span() for m in _WORD.finditer(text, start, end)]
+    """Spans of the words between start and end, without words that mark comment lines."""
+    marks = {m.end() for m in _COMMENT.finditer(text, start, end)}
+    return [m.span() for m in _WORD.finditer(text, start, end) if m.end() not in marks]
 
 
 def cues(text: str, spans: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[str, int]]:
@@ -143,7 +149,7 @@ class Scanner:
         ours, theirs = list(words), block[first:last]
         for m in reversed(run):
             del ours[m.a : m.a + m.size], theirs[m.b - first : m.b - first + m.size]
-        if any(w[0].isdigit() for w in ours + theirs):
+        if any(w in NAMING or w[0].isdigit() for w in ours + theirs):
             return None
         return first, last, missing, added
 
