@@ -149,3 +149,15 @@ def test_rates_between_percents_stop(spark):
     assert [r.p for r in rates.select(whole_percent(F.col("r")).alias("p")).collect()] == [7, 30, None]
     with pytest.raises(Exception, match="not a whole percent"):
         spark.createDataFrame([(0.125,)], "r double").select(whole_percent(F.col("r"))).collect()
+
+
+def test_no_activity_span_is_lost(spark):
+    from trialstats.plans.catalogue.live import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["stream_sessions_all"](spark, sf).collect()
+    assert sum(r.runs for r in rows) == spark.read.parquet(f"{sf}/events.parquet").count()
+    assert {r.closed for r in rows} == {True, False}
+    closed = {(r.user_id, r.first_us, r.closes_us, r.runs) for r in QUERIES["stream_sessions"](spark, sf).collect()}
+    assert closed == {(r.user_id, r.first_us, r.closes_us, r.runs) for r in rows if r.closed}
+    print("SPANS", len(rows), len(closed))

@@ -32,8 +32,8 @@ def stream_cell_counts(spark, sf_dir):
     return J.latest(spark, out)
 
 
-def stream_sessions(spark, sf_dir):
-    """Closed activity spans per user. The source is a one-file copy of the events table."""
+def _closed_sessions(spark, sf_dir):
+    """Events and the closed activity spans per user that a stream of them wrote. The source is a copy of the events table."""
     source, out = _folder(spark, "events"), _folder(spark, "spans")
     events = table(spark, sf_dir, "events").select("user_id", "ts")
     events.write.parquet(source)
@@ -42,8 +42,24 @@ def stream_sessions(spark, sf_dir):
     J_out = spans.writeStream.format("parquet").outputMode("append").option(
         "checkpointLocation", out + "-state").trigger(availableNow=True).start(out)
     J_out.awaitTermination()
-    return spark.read.parquet(out).select(
-        "user_id", F.unix_micros("first").alias("first_us"), F.unix_micros("closes").alias("closes_us"), "runs")
+    return spark.read.parquet(source), spark.read.parquet(out)
+
+
+_SPAN = ("user_id", "unix_micros(first) as first_us", "unix_micros(closes) as closes_us", "runs")
+
+
+def stream_sessions(spark, sf_dir):
+    """Closed activity spans per user; ``stream_sessions_all`` has the open ones too."""
+    return _closed_sessions(spark, sf_dir)[1].selectExpr(*_SPAN)
+
+
+def stream_sessions_all(spark, sf_dir):
+    """All activity spans per user: the closed ones of the stream and, as a second output, those still open at its end."""
+    events, closed = _closed_sessions(spark, sf_dir)
+    out = _folder(spark, "open-spans")
+    J.open_sessions(events, closed, ["user_id"], "ts").write.parquet(out)
+    return closed.selectExpr(*_SPAN, "true as closed").unionByName(
+        spark.read.parquet(out).selectExpr(*_SPAN, "false as closed"))
 
 
 def stream_spend_alerts(spark, sf_dir):
@@ -65,6 +81,7 @@ from trialstats.plans.catalogue.reports import COST  # noqa: E402
 QUERIES = {
     "stream_cell_counts": stream_cell_counts,
     "stream_sessions": stream_sessions,
+    "stream_sessions_all": stream_sessions_all,
     "stream_spend_alerts": stream_spend_alerts,
     "snapshot_entries": snapshot_entries,
 }
@@ -80,6 +97,12 @@ s as (select *, sum(brk) over (partition by user_id order by ts) as sid from g),
 p as (select user_id, sid, min(ts) as f, max(ts) + interval 20 minutes as c, count(*) as runs from s group by all)
 select user_id, epoch_us(f) as first_us, epoch_us(c) as closes_us, runs from p
 where c <= (select max(ts) - interval 1 hour from events)""",
+    "stream_sessions_all": """with g as (select user_id, ts, case when ts - lag(ts) over w >= interval 20 minutes then 1 else 0 end as brk
+   from events window w as (partition by user_id order by ts)),
+s as (select *, sum(brk) over (partition by user_id order by ts) as sid from g),
+p as (select user_id, sid, min(ts) as f, max(ts) + interval 20 minutes as c, count(*) as runs from s group by all)
+select user_id, epoch_us(f) as first_us, epoch_us(c) as closes_us, runs,
+       c <= (select max(ts) - interval 1 hour from events) as closed from p""",
     "stream_spend_alerts": f"""with {S.TRIALS}, {COST}
 select model_id, round(sum(cost)::double, 6) as spend_usd from priced group by all having sum(cost) > 0.95""",
 }

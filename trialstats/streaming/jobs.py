@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trialstats.operators.cells import CELL, G
 from trialstats.schema import CORRUPT, RUNS
+from trialstats.session import cut
 
 LATE = "1 hour"
 
@@ -94,6 +95,15 @@ def activity_sessions(rows: DataFrame, key: Sequence[str], ts: str, gap: str = "
     ).select(*key, F.col("_w.start").alias("first"), F.col("_w.end").alias("closes"), "runs")
 
 
+def open_sessions(rows: DataFrame, closed: DataFrame, key: Sequence[str], ts: str, gap: str = "20 minutes") -> DataFrame:
+    """Spans of the rows so far that the stream of ``activity_sessions`` has not written to ``closed``: the ones that
+    its watermark has not passed."""
+    # Spark pushes an anti join on the windows below their merging, so the spans are written first
+    spans, same = cut(activity_sessions(rows, key, ts, gap)), [*key, "first", "closes"]
+    done = closed.select(*(F.col(c).alias(f"_{c}") for c in same))
+    return spans.join(done, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in same], "left_anti")
+
+
 def spend_alerts(priced: DataFrame, cap_usd: float, table: str, checkpoint: str,
                  stop_at: float = 0.95):
     """A row whenever a model's running spend stands above the stop line after a batch, in a folder per batch: a
