@@ -34,9 +34,9 @@ def cells_of(spark, table):
 
 def decide(spark, table, b1, b2, b2_iv, peak_iv, b3=-4.0, status="mle", b3_iv=(-5.0, -3.0)):
     peak = 4 - b1 / (2 * b2) if b2 < 0 else None
-    fit = spark.createDataFrame([Row(model_id="m", mix="A", status=status, tc=b1, tc2=b2, f=b3, peak=peak,
+    fit = spark.createDataFrame([Row(model_id="m", mix="A", status=status, reason=None, tc=b1, tc2=b2, f=b3, peak=peak,
                                      tc2_lo=b2_iv[0], tc2_hi=b2_iv[1], f_lo=b3_iv[0], f_hi=b3_iv[1])],
-                                "model_id string, mix string, status string, tc double, tc2 double, f double, peak double,"
+                                "model_id string, mix string, status string, reason string, tc double, tc2 double, f double, peak double,"
                                 "tc2_lo double, tc2_hi double, f_lo double, f_hi double")
     boot = spark.createDataFrame([("m", "A", peak_iv[0], peak_iv[1], b2_iv[0], b2_iv[1], *b3_iv)],
                                  "model_id string, mix string, boot_peak_lo double, boot_peak_hi double,"
