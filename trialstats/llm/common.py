@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trialstats.session import checkpoint_dir
+from trialstats.plans.scale import TASK_ROWS
+from trialstats.session import checkpoint_dir, cut
 
 #: columns of the documents table, in order
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,3 +53,19 @@ def work_tables(spark: SparkSession) -> Iterator[str]:
         yield name
     finally:
         spark.sql(f"drop database {name} cascade")
+
+
+def spread_join(facts: DataFrame, lookup: DataFrame, keys: list[str], rows: str, by: list[str], limit: int = TASK_ROWS) -> DataFrame:
+    """Inner join of ``facts`` with a written table, unique on ``keys``, whose column ``rows`` counts the facts of a key.
+
+    Facts of a key with more than ``limit`` rows are dealt over several tasks by the hash of ``by``; there are fewer
+    such keys than rows / ``limit``, so their list is broadcast.
+    """
+    hot = cut(lookup.where(F.col(rows) > limit).select(*keys, F.ceil(F.col(rows) / limit).cast("bigint").alias("_salts")))
+    if hot.isEmpty():
+        return facts.join(lookup, keys)
+    salt = F.coalesce(F.pmod(F.xxhash64(*by), F.col("_salts")), F.lit(0).cast("bigint"))
+    dealt = facts.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    last = F.greatest(F.lit(0), F.ceil(F.col(rows) / limit) - 1).cast("bigint")
+    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return dealt.join(copies, [*keys, "_salt"]).drop("_salt")

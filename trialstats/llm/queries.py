@@ -7,6 +7,7 @@ from trialstats.llm.decontamination import op1_decontamination
 from trialstats.llm.extraction import op2_extraction
 from trialstats.llm.language import op8_language
 from trialstats.llm.licenses import op9_licenses
+from trialstats.llm.manifest import op13_manifest
 from trialstats.llm.mixing import op5_mixing
 from trialstats.llm.neardup import op3_neardup
 from trialstats.llm.personal import op10_personal
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_personal": op10_personal,
+    "op13_manifest": op13_manifest,
     "pipeline": corpus_pipeline.run,
 }
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -76,8 +78,57 @@ scored as (
 ranked as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) rank from scored)
 select query_id, rank, vec_id, score from ranked where rank <= 10"""
 
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
+        for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: crc32, bit by bit
+_CRC = """xor(list_reduce(list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint)),
+  lambda c, b: list_reduce(range(8), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295), 4294967295)"""
+
+_MANIFEST = f"""
+with recursive leaf as (
+  select *, case when {_CRC} % 5 = 0 then {_leaf(_LOWER.replace("coalesce(text, '')", "text"))} else leaf end other,
+         row_number() over (partition by source order by doc_id nulls first, leaf) - 1 pos, count(*) over (partition by source) n
+  from (select doc_id, source, lang, n_chars, text, {_leaf("text")} leaf from documents)),
+nodes as (
+  select source, 0 lvl, pos, n, leaf h from leaf union all
+  select source, lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos))
+  from nodes where n > 1 group by source, lvl, pos // 16, n),
+subroots as (
+  select source, h subroot, row_number() over (order by source nulls first) - 1 pos, count(*) over () n from nodes where n = 1),
+tops as (
+  select 1000 lvl, pos, n, subroot h from subroots union all
+  select lvl + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by lvl, pos // 16, n),
+runs as (
+  select true own, source, lvl, pos, h from nodes where n > 1 union all
+  select false, null, lvl, pos, h from tops where n > 1),
+steps as (
+  select a.own, a.source, a.lvl, a.pos, coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos < a.pos), '') before,
+         coalesce(string_agg(b.h, '' order by b.pos) filter (b.pos > a.pos), '') behind
+  from runs a join runs b on a.own = b.own and a.source is not distinct from b.source and a.lvl = b.lvl and a.pos // 16 = b.pos // 16
+  group by all),
+paths as (
+  select l.source, l.pos, row_number() over (partition by l.source, l.pos order by s.lvl) k, before, behind
+  from leaf l join subroots r on l.source is not distinct from r.source
+  join steps s on case when s.own then s.source is not distinct from l.source and s.pos = l.pos >> (4 * s.lvl)
+                  else s.pos = r.pos >> (4 * (s.lvl - 1000)) end),
+folds as (
+  select source, pos, 0::bigint k, other h from leaf union all
+  select f.source, f.pos, p.k, sha256(before || h || behind) from folds f
+  join paths p on f.source is not distinct from p.source and f.pos = p.pos and p.k = f.k + 1),
+proofs as (select source, pos, max(k) k, string_agg(before || behind, '' order by k) siblings from paths group by all)
+select l.doc_id, l.leaf, r.subroot, t.h root, sha256(coalesce(p.siblings, '')) proof_sha256, f.h folded_root, f.h = t.h verified
+from leaf l join subroots r on l.source is not distinct from r.source join tops t on t.n = 1
+left join proofs p on p.source is not distinct from l.source and p.pos = l.pos
+join folds f on f.source is not distinct from l.source and f.pos = l.pos and f.k = coalesce(p.k, 0)"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": _DECONTAMINATION,
     "op3_neardup": _NEARDUP,
     "op7_search": _SEARCH,
+    "op13_manifest": _MANIFEST,
 }
