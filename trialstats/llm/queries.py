@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from trialstats.llm.alignment import op12_alignment
 from trialstats.llm.decontamination import op1_decontamination
 from trialstats.llm.extraction import op2_extraction
 from trialstats.llm.language import op8_language
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_personal": op10_personal,
+    "op12_alignment": op12_alignment,
     "op13_manifest": op13_manifest,
     "pipeline": corpus_pipeline.run,
 }
