@@ -12,6 +12,7 @@ from trialstats.llm.manifest import op13_manifest
 from trialstats.llm.mixing import op5_mixing
 from trialstats.llm.neardup import op3_neardup
 from trialstats.llm.personal import op10_personal
+from trialstats.llm.repeats import op11_repeats
 from trialstats.llm.search import op7_search
 from trialstats.llm.sharding import op6_sharding
 from trialstats.llm.toxicity import op4_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_personal": op10_personal,
+    "op11_repeats": op11_repeats,
     "op12_alignment": op12_alignment,
     "op13_manifest": op13_manifest,
     "pipeline": corpus_pipeline.run,
