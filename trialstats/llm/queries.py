@@ -130,9 +130,31 @@ from leaf l join subroots r on l.source is not distinct from r.source join tops
 left join proofs p on p.source is not distinct from l.source and p.pos = l.pos
 join folds f on f.source is not distinct from l.source and f.pos = l.pos and f.k = coalesce(p.k, 0)"""
 
+_REPEATS = """
+with docs as (select row_number() over () r, doc_id, hex(encode(coalesce(text, ''))) x from documents),
+parts as (  -- a substring near the start of a short string is found faster
+  select r, p, substr(x, 2 * p + 1, 1798) x from (select r, x, unnest(range(0, len(x) // 2 - 399, 500)) p from docs where len(x) >= 800)),
+starts as (
+  select r, p + k s, hash(substr(x, 2 * k + 1, 800)) h
+  from (select r, p, x, unnest(range(0, least(500, len(x) // 2 - 399))) k from parts)),
+marked as (select r, s from starts join (select h from starts group by h having count(*) > 1) using (h)),
+islands as (
+  select r, s, sum(case when s - before <= 400 then 0 else 1 end) over (partition by r order by s) g
+  from (select *, lag(s) over (partition by r order by s) before from marked)),
+spans as (select r, min(s) b, max(s) + 400 e from islands group by r, g),
+gaps as (
+  select r, b, e, substr(x, 2 * coalesce(lag(e) over (partition by r order by b), 0) + 1,
+                         2 * (b - coalesce(lag(e) over (partition by r order by b), 0))) y
+  from spans join docs using (r)),
+kept as (select r, string_agg(y, '' order by b) y, sum(e - b) n, count(*) spans, max(e) e from gaps group by r)
+select doc_id, len(x) // 2 n_bytes, coalesce(n, 0) n_removed, coalesce(spans, 0) n_spans,
+       sha256(unhex(case when n is null then x else y || substr(x, 2 * e + 1) end)) kept_sha256
+from docs left join kept using (r)"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": _DECONTAMINATION,
     "op3_neardup": _NEARDUP,
     "op7_search": _SEARCH,
+    "op11_repeats": _REPEATS,
     "op13_manifest": _MANIFEST,
 }
