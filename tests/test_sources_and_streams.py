@@ -10,6 +10,7 @@ from trialstats.operators import logs as L
 from trialstats.operators import transcripts as X
 from trialstats.plans import snapshot as SN
 from trialstats.schema import normalize_runs
+from trialstats.sources import committed as CT
 from trialstats.sources import files as FS
 from trialstats.sources import runlog as RL
 from trialstats.streaming import jobs as J
@@ -60,9 +61,9 @@ def test_normalized_rows(spark, tmp_path):
 def test_append_is_once_per_id(spark, tmp_path):
     p, out = str(tmp_path / "runs.jsonl"), str(tmp_path / "table")
     write(p, run("a") + "\n" + run("b") + "\n" + run("a") + "\n")
-    RL.append_runs(RL.read_runs(spark, p), out)
+    CT.append_runs(RL.read_runs(spark, p), out)
     write(p, run("b") + "\n" + run("c") + "\n")
-    got = RL.append_runs(RL.read_runs(spark, p), out)
+    got = CT.append_runs(RL.read_runs(spark, p), out)
     assert sorted(r.run_id for r in got.collect()) == ["a", "b", "c"]
     log = str(tmp_path / "log")
     RL.write_log(got, log)

@@ -11,7 +11,11 @@ from trialstats.plans import analysis as A
 from trialstats.plans import snapshot as SN
 from trialstats.plans.catalogue import sqltext as S
 from trialstats.plans.catalogue.reports import prices
-from trialstats.session import checkpoint_dir
+from trialstats.plans.catalogue.storage import run_rows
+from trialstats.schema import RUN_FIELDS
+from trialstats.session import checkpoint_dir, cut
+from trialstats.sources import committed as CT
+from trialstats.sources import tail as TL
 from trialstats.sources.adapters import table, trials, trials_path
 from trialstats.streaming import jobs as J
 
@@ -32,6 +36,37 @@ def stream_cell_counts(spark, sf_dir):
     return J.latest(spark, out)
 
 
+def stream_ingest(spark, sf_dir):
+    """Orders as run rows in logs of seven writers, ingested twice: the logs grow between, each first part ends in a torn
+    line, a third of the ids is logged in both parts with other scores, and every tenth order adds a damaged line."""
+    log, out = _folder(spark, "growing"), _folder(spark, "ingested")
+    key = F.col("o_orderkey")
+    names = [n for n, _ in RUN_FIELDS if n != "score"]
+    orders = run_rows(spark, sf_dir, "o_orderkey", (F.col("o_custkey") % 7).alias("file"))
+
+    def part(number: int, kept):
+        scored = orders.where(kept).select(*names, F.lit(number / 4).alias("score"), "o_orderkey", "file")
+        line = F.concat(F.to_json(F.struct(*(n for n, _ in RUN_FIELDS))), F.lit("\n"))
+        extra = F.when(key % 10 == 0, F.concat(F.lit("damaged "), key.cast("string"), F.lit("\n"))).otherwise("")
+        return scored.select("file", key.alias("place"), F.concat(extra, line).alias("text"))
+
+    def run(source: str) -> None:
+        J.ingest(spark, source, out, out + "-state").awaitTermination()
+        J.keep_damaged(spark, source, out + "-damaged", out + "-damaged-state").awaitTermination()
+
+    first, second = part(1, key % 3 <= 1), cut(part(2, key % 3 >= 1))
+    torn = second.groupBy("file").agg(F.min("place").alias("place"))
+    head = second.join(torn, ["file", "place"]).select("file", F.lit(1 << 60).alias("place"), F.substring("text", 1, 30).alias("text"))
+    TL.append_lines(first.unionByName(head), log)
+    run(log)
+    rest = second.join(torn.withColumn("_torn", F.lit(True)), ["file", "place"], "left")
+    TL.append_lines(rest.select("file", "place", F.when(F.col("_torn"), F.expr("substring(text, 31)")).otherwise(F.col("text")).alias("text")), log)
+    run(log)
+    good = CT.read_table(spark, out).select("run_id", "model_id", "tools", "score", F.lit(False).alias("damaged"))
+    bad = spark.read.parquet(out + "-damaged").select(F.col("value").alias("run_id"), F.lit(True).alias("damaged"))
+    return good.unionByName(bad, allowMissingColumns=True)
+
+
 def _closed_sessions(spark, sf_dir):
     """Events and the closed activity spans per user that a stream of them wrote. The source is a copy of the events table."""
     source, out = _folder(spark, "events"), _folder(spark, "spans")
@@ -80,6 +115,7 @@ from trialstats.plans.catalogue.reports import COST  # noqa: E402
 
 QUERIES = {
     "stream_cell_counts": stream_cell_counts,
+    "stream_ingest": stream_ingest,
     "stream_sessions": stream_sessions,
     "stream_sessions_all": stream_sessions_all,
     "stream_spend_alerts": stream_spend_alerts,
@@ -90,6 +126,12 @@ ORACLES = {
     "stream_cell_counts": f"""with {S.TRIALS}
 select model_id, mix, tools, fault_pct, count(success) as n, count(*) filter (where success) as k,
        count(*) filter (where success is null) as aborted from trials group by all""",
+    "stream_ingest": """
+select 'r' || o_orderkey as run_id, o_orderpriority as model_id, cast(o_orderkey % 6 + 1 as int) as tools,
+  case when o_orderkey % 3 = 2 then 0.5 else 0.25 end::double as score, false as damaged from orders
+union all
+select 'damaged ' || o_orderkey, null, null, null, true from orders, range(2) t(part)
+where o_orderkey % 10 = 0 and (o_orderkey % 3 = 1 or (o_orderkey % 3 = 0 and part = 0) or (o_orderkey % 3 = 2 and part = 1))""",
     # a span is final once the watermark (last event minus one hour) has passed its end
     "stream_sessions": """with g as (select user_id, ts, case when ts - lag(ts) over w >= interval 20 minutes then 1 else 0 end as brk
    from events window w as (partition by user_id order by ts)),

@@ -11,6 +11,7 @@ from trialstats.operators import transcripts as X
 from trialstats.operators import verify as VF
 from trialstats.schema import RUN_FIELDS, normalize_runs, project_runs
 from trialstats.session import checkpoint_dir
+from trialstats.sources import committed as CT
 from trialstats.sources import files as FS
 from trialstats.sources import runlog as RL
 from trialstats.sources.adapters import table
@@ -20,7 +21,7 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _run_rows(spark, sf_dir):
+def run_rows(spark, sf_dir, *more):
     """Orders as run rows; fields that an order has no value for are null."""
     key = F.col("o_orderkey")
     values = {
@@ -30,27 +31,27 @@ def _run_rows(spark, sf_dir):
         "success": F.col("o_totalprice") > 100000, "turns": key % 9, "score": (key % 4) / 4.0,
     }
     rows = table(spark, sf_dir, "orders")
-    return rows.select(*(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in RUN_FIELDS))
+    return rows.select(*(values.get(n, F.lit(None)).cast(t).alias(n) for n, t in RUN_FIELDS), *more)
 
 
 def runlog_round_trip(spark, sf_dir):
     path = _folder(spark, "log")
-    RL.write_log(_run_rows(spark, sf_dir), path)
+    RL.write_log(run_rows(spark, sf_dir), path)
     return normalize_runs(RL.read_runs(spark, path)).select(
         "run_id", "model_id", "mix", "phase", "tools", "fault_pct", "doc_id", "success", "turns", F.round("score", 6).alias("score"))
 
 
 def known_run_ids(spark, sf_dir):
     path = _folder(spark, "log")
-    RL.write_log(_run_rows(spark, sf_dir), path)
+    RL.write_log(run_rows(spark, sf_dir), path)
     return RL.known_ids(spark, path)
 
 
 def append_once(spark, sf_dir):
     """Two overlapping appends leave each id once."""
-    path, rows = _folder(spark, "runs"), _run_rows(spark, sf_dir)
-    RL.append_runs(rows.where(F.col("tools") <= 3), path)
-    out = RL.append_runs(rows.where((F.col("tools") >= 2) & (F.col("tools") <= 5)), path)
+    path, rows = _folder(spark, "runs"), run_rows(spark, sf_dir)
+    CT.append_runs(rows.where(F.col("tools") <= 3), path)
+    out = CT.append_runs(rows.where((F.col("tools") >= 2) & (F.col("tools") <= 5)), path)
     return project_runs(out).groupBy("model_id", "mix").agg(
         F.count("*").alias("n_rows"), F.countDistinct("run_id").alias("ids"), F.sum("tools").alias("tools"))
 

@@ -167,3 +167,29 @@ def previous(
         .withColumn(name, F.when(F.col("_inner").isNotNull(), F.col("_inner._value")).otherwise(F.col("_edge")))
         .drop("_bucket", "_value", "_inner", "_edge")
     )
+
+
+#: ids for each 64-bit word of a Bloom filter; each id sets two bits of one word, so one foreign id in 16 passes
+IDS_PER_WORD = 8
+
+
+def _bloom_place(key: str, words: int) -> tuple[Column, Column]:
+    h = F.xxhash64(F.lit("bloom"), key)
+    bits = [F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftrightunsigned(h, n).bitwiseAND(63).cast("int")) for n in (58, 52)]
+    return F.pmod(h, F.lit(words)), bits[0].bitwiseOR(bits[1])
+
+
+def small_filter(df: DataFrame, key: str) -> tuple[DataFrame | None, int]:
+    """Bloom filter of a written table's key as rows (word, bits), and its number of words; None if it is too large to broadcast."""
+    words = max(1, -(-df.count() // IDS_PER_WORD))
+    if words > BROADCAST_VALUES // 2:
+        return None, words
+    word, mask = _bloom_place(key, words)
+    return df.groupBy(word.alias("_word")).agg(F.bit_or(mask).alias("_bits")), words
+
+
+def may_hold(df: DataFrame, key: str, bits: DataFrame, words: int) -> DataFrame:
+    """Rows whose key the Bloom filter may hold: none that it holds is missing."""
+    word, mask = _bloom_place(key, words)
+    met = df.withColumn("_word", word).join(F.broadcast(bits), "_word")
+    return met.where(mask.bitwiseAND(F.col("_bits")) == mask).drop("_word", "_bits")

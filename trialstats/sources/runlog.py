@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from trialstats.functions.jsonsafe import json_rows
 from trialstats.schema import CORRUPT, RUNS, project_runs
+from trialstats.sources.committed import append_runs  # noqa: F401
 
 
 def _lines(spark: SparkSession, path) -> DataFrame:
@@ -69,18 +70,6 @@ def known_ids(spark: SparkSession, path) -> DataFrame:
     return complete.select("_r.run_id").where("run_id is not null").distinct()
 
 
-def append_runs(runs: DataFrame, path: str) -> DataFrame:
-    """Append rows whose id the table does not hold yet, partitioned for pruning; returns them."""
-    spark = runs.sparkSession
-    fresh = project_runs(runs).dropDuplicates(["run_id"])
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        fresh = fresh.join(spark.read.parquet(path).select("run_id"), "run_id", "left_anti")
-    fresh.write.mode("append").partitionBy("model_id", "phase", "mix").parquet(path)
-    return spark.read.parquet(path)
-
-
 def write_log(runs: DataFrame, path: str) -> None:
     """Rows as strict JSON lines in schema order."""
     json_rows(project_runs(runs)).write.mode("append").text(path)

@@ -10,30 +10,31 @@ from pyspark.sql import functions as F
 from trialstats.operators.cells import CELL, G
 from trialstats.schema import CORRUPT, RUNS
 from trialstats.session import cut
+from trialstats.sources.committed import append_runs
+from trialstats.sources.tail import tail
 
 LATE = "1 hour"
 
 
-def _parsed(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_batch).text(path)
-    row = F.from_json("value", f"{RUNS}, {CORRUPT} string", options)
-    return lines.select("value", F.col("_metadata.file_path").alias("file"), row.alias("_r")).where(F.trim("value") != "")
+def _parsed(spark: SparkSession, path: str, **options) -> DataFrame:
+    how = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    row = F.from_json("value", f"{RUNS}, {CORRUPT} string", how)
+    return tail(spark, path, **options).select("value", "file", "start", "utf8", row.alias("_r")).where(F.trim("value") != "")
 
 
 def _good() -> Column:
-    return F.col(f"_r.{CORRUPT}").isNull() & F.col("_r.run_id").isNotNull()
+    return F.col("utf8") & F.col(f"_r.{CORRUPT}").isNull() & F.col("_r.run_id").isNotNull()
 
 
-def log_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Parsed rows of new log files. A file is read once, so writers close a file and start the next one; lines that
+def log_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Parsed rows of a log that grows: files are read on where they ended, a last line waits for its newline. Lines that
     do not parse come out of ``damaged_lines``."""
-    return _parsed(spark, path, files_per_batch).where(_good()).select("_r.*").drop(CORRUPT)
+    return _parsed(spark, path, **options).where(_good()).select("_r.*").drop(CORRUPT)
 
 
-def damaged_lines(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """Lines of new log files that are no run rows, with their file: the other part of ``log_stream``."""
-    return _parsed(spark, path, files_per_batch).where(~_good()).select("file", "value")
+def damaged_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Complete lines of a growing log that are no run rows, with file and place: the other part of ``log_stream``."""
+    return _parsed(spark, path, **options).where(~_good()).select("file", "start", "value")
 
 
 def once_per_id(rows: DataFrame, time: str | None = None, late: str = LATE) -> DataFrame:
@@ -43,22 +44,30 @@ def once_per_id(rows: DataFrame, time: str | None = None, late: str = LATE) -> D
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id"])
 
 
-def keep_damaged(spark: SparkSession, path: str, table: str, checkpoint: str):
+def keep_damaged(spark: SparkSession, path: str, table: str, checkpoint: str, **options):
     """Append the lines that ``ingest`` leaves out to a table of their own, so that none is lost uncounted."""
     return (
-        damaged_lines(spark, path).writeStream.format("parquet").outputMode("append")
+        damaged_lines(spark, path, **options).writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(table)
     )
 
 
-def ingest(spark: SparkSession, path: str, table: str, checkpoint: str, continuous: bool = False):
-    """Exactly-once append of the log into a partitioned table; run ``keep_damaged`` beside it."""
-    writer = (
-        once_per_id(log_stream(spark, path)).writeStream.format("parquet").outputMode("append")
-        .partitionBy("model_id", "phase", "mix").option("checkpointLocation", checkpoint)
-    )
-    writer = writer if continuous else writer.trigger(availableNow=True)
-    return writer.start(table)
+def ingest(spark: SparkSession, path: str, table: str, checkpoint: str, continuous: bool = False, **options):
+    """Exactly-once append of a growing log into a table of committed batches; run ``keep_damaged`` beside it.
+
+    The stream keeps no ids: each batch is appended under its number, ids that the table holds are left out there, so a
+    replayed batch adds nothing and state does not grow with the log. Of equal ids the first batch's row wins, in a
+    batch the one that comes first in its file.
+    """
+    rows = _parsed(spark, path, **options).where(_good())
+
+    def save(batch: DataFrame, number: int) -> None:
+        order = [F.col("_file"), F.col("_start")]
+        named = batch.select("_r.*", F.col("file").alias("_file"), F.col("start").alias("_start")).drop(CORRUPT)
+        append_runs(named, table, f"stream-{number:010d}", order)
+
+    writer = rows.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
+    return (writer if continuous else writer.trigger(availableNow=True)).start()
 
 
 def live_cells(rows: DataFrame, g: Sequence[str] = G) -> DataFrame:
