@@ -1,5 +1,6 @@
 """Plan fragments against plain formulations, with one key holding a third of all rows."""
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,21 +26,32 @@ def test_hot_key_join_equals_join(spark):
     assert rows(got.select("k", "o", "name")) == want
 
 
-def test_running_before_equals_window(spark):
+@pytest.mark.parametrize("size", [7, 10**6])
+def test_running_before_equals_window(spark, size):
     df = skewed(spark)
     w = Window.partitionBy("k").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
     want = rows(df.select("k", "o", F.coalesce(F.sum("v").over(w), F.lit(0)).cast("double")))
-    got = SC.running_before(df, ["k"], F.substring("o", 1, 3), ["o"], {"s": F.col("v")})
+    got = SC.running_before(df, ["k"], ["o"], {"s": F.col("v")}, size)
     assert rows(got.select("k", "o", F.col("s").cast("double"))) == want
 
 
-def test_previous_equals_lag(spark):
+@pytest.mark.parametrize("size", [7, 10**6])
+def test_previous_equals_lag(spark, size):
     df = skewed(spark)
     want = rows(df.select("k", "o", F.coalesce(F.lag("v").over(Window.partitionBy("k").orderBy("o")), F.lit(-1)).cast("double")))
-    got = SC.previous(df, ["k"], F.substring("o", 1, 4), "o", F.col("v"), "p")
+    got = SC.previous(df, ["k"], "o", F.col("v"), "p", size)
     assert rows(got.select("k", "o", F.coalesce("p", F.lit(-1)).cast("double"))) == want
 
 
+def test_ranges_are_bounded_by_rows_even_where_order_and_group_are_equal(spark):
+    same = spark.range(6000).select(F.lit(None).cast("string").alias("k"), F.lit("x").alias("o"), F.lit(2).alias("v"))
+    sizes = [r["count"] for r in SC.in_ranges(same, ["k"], ["o"], 500).groupBy("_part").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) < 1500
+    sums = sorted(r.s for r in SC.running_before(same, ["k"], ["o"], {"s": F.col("v")}, 500).collect())
+    assert sums == list(range(0, 12000, 2))
+    assert SC.previous(same, ["k"], "o", F.col("v"), "p", 500).where("p is null").count() == 1
+
+
 def test_positions_equal_row_number(spark):
     df = skewed(spark).select("k", "o").distinct()
     w = Window.partitionBy("k")

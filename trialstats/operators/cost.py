@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.plans.scale import previous, running_before
@@ -42,10 +42,10 @@ def spend(priced: DataFrame, by: Sequence[str] = ("model_id",)) -> DataFrame:
         F.count("cost_usd").alias("priced_runs"), F.sum("cost_usd").cast("double").alias("spend_usd"))
 
 
-def ledger(priced: DataFrame, cap_usd: float, bucket: Column, order: Sequence[str]) -> DataFrame:
+def ledger(priced: DataFrame, cap_usd: float, order: Sequence[str]) -> DataFrame:
     """Spend and mean cost before each run, and whether starting it would cross the stop line."""
     t = running_before(
-        priced, ["model_id"], bucket, order,
+        priced, ["model_id"], order,
         {"spent_before": F.col("cost_usd"), "runs_before": F.lit(1)},
     )
     spent = F.col("spent_before").cast("double")
@@ -53,12 +53,12 @@ def ledger(priced: DataFrame, cap_usd: float, bucket: Column, order: Sequence[st
     return t.withColumn("over", spent + forecast > F.lit(STOP_AT * cap_usd))
 
 
-def spend_cutoff(priced: DataFrame, cap_usd: float, bucket: Column, order: str) -> DataFrame:
+def spend_cutoff(priced: DataFrame, cap_usd: float, order: str) -> DataFrame:
     """Per model: runs that start before the first one the stop line would refuse.
 
     The first refused row already carries the count and the spend of everything before it.
     """
-    t = ledger(priced, cap_usd, bucket, [order])
+    t = ledger(priced, cap_usd, [order])
     stop = F.min(F.when(F.col("over"), F.struct(order, "runs_before", "spent_before")))
     agg = t.groupBy("model_id").agg(
         stop.alias("_stop"), F.count(F.lit(1)).alias("runs"), F.sum("cost_usd").alias("_all"))
@@ -70,12 +70,12 @@ def spend_cutoff(priced: DataFrame, cap_usd: float, bucket: Column, order: str)
 
 
 def transport_streaks(
-    runs: DataFrame, bucket: Column, order: str, g: Sequence[str] = ("model_id",)
+    runs: DataFrame, order: str, g: Sequence[str] = ("model_id",)
 ) -> DataFrame:
     """Transport aborts, marked when the run before them aborted the same way (the stack was down)."""
     down = (F.col("outcome") == "aborted_transport") & (
         F.coalesce(F.col("abort_cause"), F.lit("unrecorded")) != "unparseable_model_output")
-    t = previous(runs.withColumn("_down", down), g, bucket, order, F.col("_down"), "after_abort")
+    t = previous(runs.withColumn("_down", down), g, order, F.col("_down"), "after_abort")
     return t.where("_down").withColumn(
         "after_abort", F.coalesce("after_abort", F.lit(False))).drop("_down")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialstats.plans.scale import previous
@@ -12,14 +12,10 @@ from trialstats.plans.scale import previous
 STALL_MINUTES = 20
 
 
-def stall_gaps(
-    log: DataFrame, key: Sequence[str], ts: str, minutes: int = STALL_MINUTES,
-    bucket: Column | None = None,
-) -> DataFrame:
-    """Rows that follow their predecessor by more than ``minutes``. Days are the ordered buckets."""
-    day = F.to_date(ts) if bucket is None else bucket
+def stall_gaps(log: DataFrame, key: Sequence[str], ts: str, minutes: int = STALL_MINUTES) -> DataFrame:
+    """Rows that follow their predecessor by more than ``minutes``."""
     log = log.withColumn(ts, F.col(ts).cast("timestamp"))
-    t = previous(log, key, day, ts, F.col(ts), "previous_ts")
+    t = previous(log, key, ts, F.col(ts), "previous_ts")
     gap = F.unix_micros(ts) - F.unix_micros("previous_ts")
     return t.withColumn("gap_seconds", gap / F.lit(1_000_000.0)).where(
         F.col("gap_seconds") > minutes * 60)

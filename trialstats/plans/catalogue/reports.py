@@ -75,13 +75,13 @@ def spend_cutoff(spark, sf_dir):
     """Runs of each model, in run-id order, that start before a cap of 20 dollars stops them."""
     priced = M.price_runs(trials(spark, sf_dir).select(
         "run_id", "model_id", *[f"{u}_tokens" for u in M.USAGE]), prices(spark))
-    out = M.spend_cutoff(priced, 20.0, F.substring("run_id", 1, 2), "run_id")
+    out = M.spend_cutoff(priced, 20.0, "run_id")
     return rounded(out, "spent_usd", places=6)
 
 
 def transport_streaks(spark, sf_dir):
     t = trials(spark, sf_dir).select("run_id", "model_id", "outcome", "abort_cause")
-    return M.transport_streaks(t, F.substring("run_id", 1, 2), "run_id").select(
+    return M.transport_streaks(t, "run_id").select(
         "model_id", "run_id", "after_abort")
 
 

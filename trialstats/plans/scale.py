@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from trialstats.session import cut
+from trialstats.session import cut, parallelism
 
 BROADCAST_VALUES = 8_000_000
 #: fact rows of one key that one task takes in a join
@@ -60,41 +60,42 @@ def hot_key_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    right = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(right, on).drop(*(f"_right_{k}" for k in keys))
+
+
+def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[str], rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` written in ranges of group and order whose bounds are measured from the data.
+
+    ``_part`` rises with them and ``_uid`` tells equal rows apart, so a range holds about ``rows`` rows whatever the values
+    look like.
+    """
+    spark = df.sparkSession
+    parts = max(parallelism(spark), -(-df.count() // rows))
+    named = df.withColumn("_uid", F.monotonically_increasing_id())
+    return cut(named.repartitionByRange(parts, *group, *order, "_uid").withColumn("_part", F.spark_partition_id()))
+
+
 def running_before(
-    df: DataFrame,
-    group: Sequence[str],
-    bucket: Column,
-    order: Sequence[str],
-    sums: dict[str, Column],
+    df: DataFrame, group: Sequence[str], order: Sequence[str], sums: dict[str, Column], rows: int = TASK_ROWS,
 ) -> DataFrame:
-    """Running sums over all earlier rows of a group, without one task per group.
+    """Running sums over all earlier rows of a group, without one task per group: a prefix scan in two levels.
 
-    ``bucket`` must rise with ``order`` and have a bounded number of values per group. Each bucket
-    is summed first; the small bucket table carries the offsets.
+    Ranges are summed first; the small table of ranges carries what lies before each.
     """
     group, order = list(group), list(order)
-    base = df.withColumn("_bucket", bucket)
-    totals = base.groupBy(*group, "_bucket").agg(
-        *[F.sum(v).alias(f"_t_{n}") for n, v in sums.items()]
-    )
-    earlier = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    offsets = totals.select(
-        *group,
-        "_bucket",
-        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums],
-    )
-    inside = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    ranked = base.select(
-        "*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{n}") for n, v in sums.items()]
-    )
-    out = ranked.join(offsets, [*group, "_bucket"])
-    for n in sums:
-        out = out.withColumn(n, F.col(f"_i_{n}") + F.col(f"_o_{n}"))
-    return out.drop("_bucket", *[f"_i_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    base = in_ranges(df.select("*", *[v.alias(f"_v_{n}") for n, v in sums.items()]), group, order, rows)
+    totals = base.groupBy(*group, "_part").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(
+        *group, "_part", *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in sums])
+    inside = Window.partitionBy(*group, "_part").orderBy(*order, "_uid").rowsBetween(Window.unboundedPreceding, -1)
+    own = [F.coalesce(F.sum(f"_v_{n}").over(inside), F.lit(0)).alias(f"_i_{n}") for n in sums]
+    out = _null_safe_join(base.select("*", *own), carried, [*group, "_part"])
+    names = [c for c in df.columns if c not in sums]
+    return out.select(*names, *[(F.col(f"_i_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums])
 
 
 def positions(df: DataFrame, group: Sequence[str], order: str) -> DataFrame:
@@ -148,25 +149,22 @@ def hashed_order(df: DataFrame, group: Sequence[str], unit: str, tie: str, bucke
 
 
 def previous(
-    df: DataFrame, group: Sequence[str], bucket: Column, order: str, value: Column, name: str
+    df: DataFrame, group: Sequence[str], order: str, value: Column, name: str, rows: int = TASK_ROWS
 ) -> DataFrame:
     """Add the value of the preceding row of the group, without one task per group.
 
-    Rows are windowed inside ordered buckets; the first row of a bucket takes the last value of the
-    nearest earlier bucket from a table of one row per bucket.
+    Rows are windowed inside measured ranges; the first row of a range takes the last value of the nearest earlier
+    range of its group from a table of one row per range.
     """
     group = list(group)
-    base = df.withColumn("_bucket", bucket).withColumn("_value", value)
-    inside = Window.partitionBy(*group, "_bucket").orderBy(order)
+    base = in_ranges(df.withColumn("_value", value), group, [order], rows)
+    inside = Window.partitionBy(*group, "_part").orderBy(order, "_uid")
     marked = base.withColumn("_inner", F.lag(F.struct("_value")).over(inside))
-    edges = base.groupBy(*group, "_bucket").agg(F.max(F.struct(order, "_value")).alias("_last"))
-    across = Window.partitionBy(*group).orderBy("_bucket")
-    edges = edges.select(*group, "_bucket", F.lag("_last._value").over(across).alias("_edge"))
-    return (
-        marked.join(edges, [*group, "_bucket"])
-        .withColumn(name, F.when(F.col("_inner").isNotNull(), F.col("_inner._value")).otherwise(F.col("_edge")))
-        .drop("_bucket", "_value", "_inner", "_edge")
-    )
+    edges = base.groupBy(*group, "_part").agg(F.max_by(F.struct("_value"), F.struct(order, "_uid")).alias("_last"))
+    across = Window.partitionBy(*group).orderBy("_part")
+    edges = edges.select(*group, "_part", F.lag("_last").over(across).alias("_edge"))
+    found = F.when(F.col("_inner").isNotNull(), F.col("_inner._value")).otherwise(F.col("_edge._value"))
+    return _null_safe_join(marked, edges, [*group, "_part"]).withColumn(name, found).drop("_part", "_uid", "_value", "_inner", "_edge")
 
 
 #: ids for each 64-bit word of a Bloom filter; each id sets two bits of one word, so one foreign id in 16 passes
