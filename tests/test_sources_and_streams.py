@@ -143,13 +143,12 @@ def test_damaged_lines_are_kept_beside_the_stream(spark, tmp_path):
     assert sorted(r.value for r in spark.read.parquet(paths["bad"]).collect()) == ["no json", '{"run_id": null}']
 
 
-def test_rates_between_percents_stop(spark):
-    from trialstats.schema import whole_percent
+def test_rates_between_percents_stay_apart(spark):
+    from trialstats.schema import percent
 
-    rates = spark.createDataFrame([(0.07,), (0.3,), (None,)], "r double")
-    assert [r.p for r in rates.select(whole_percent(F.col("r")).alias("p")).collect()] == [7, 30, None]
-    with pytest.raises(Exception, match="not a whole percent"):
-        spark.createDataFrame([(0.125,)], "r double").select(whole_percent(F.col("r"))).collect()
+    rates = spark.createDataFrame([(0.07,), (0.125,), (0.13,), (0.3,), (1 / 3,), (None,)], "r double")
+    got = [r.p for r in rates.select(percent(F.col("r")).alias("p")).collect()]
+    assert got == [7.0, 12.5, 13.0, 30.0, 33.333333333, None]
 
 
 def test_no_activity_span_is_lost(spark):

@@ -12,10 +12,12 @@ from trialstats.operators import fit as FT
 from trialstats.operators import floor as NF
 from trialstats.operators import recovery as R
 from trialstats.operators import shape as SH
+from trialstats.operators import sparse as SP
 from trialstats.operators import synth as SY
 from trialstats.operators import verdict as V
 from trialstats.plans import analysis as A
 from trialstats.rules import TRUTHS, Rules
+from trialstats.session import cut
 
 FAULTS = (0, 10, 20, 30, 40, 50)
 SURVIVES = [(88, 93, 90, 61, 33), (85, 90, 86, 56, 30), (74, 81, 75, 47, 25), (52, 58, 53, 35, 20),
@@ -217,3 +219,66 @@ def test_readings(spark):
     assert got[("tau-0.1", "x")] is True and got[("tau+0.1", "x")] is False
     assert got[("unparseable_as_failure", "unparseable_model_output")] is False
     assert got[("registered", "unparseable_model_output")] is None
+
+
+def odd_rate_counts(spark, documents=40):
+    """Counts whose rates no declared grid holds, two of them half a percent apart."""
+    random = np.random.default_rng(4)
+    rows = []
+    for mix, shift in (("A", 0.0), ("B", 0.6)):
+        for d in range(documents):
+            for t in (2, 3, 4, 5, 6):
+                for f in (0.0, 12.5, 13.0, 100 / 3, 41.7):
+                    tc = t - 4.0
+                    p = 1 / (1 + np.exp(-(1.0 + shift - 0.4 * tc - 0.3 * tc * tc - 2.5 * f / 100)))
+                    rows.append(("m", mix, f"d{d}", t, f, int(random.binomial(3, p)), 3))
+    rows += [("m", "separated", f"d{d}", t, f, 3 if t < 4 else 0, 3) for d in range(9) for t in (2, 3, 4, 5) for f in (0.0, 12.5)]
+    rows += [("m", "one", "d0", t, f, 1, 3) for t in (2, 3, 4, 5) for f in (0.0, 12.5)]
+    rows += [("m", "few", f"d{d}", t, 12.5, 1, 3) for d in range(3) for t in (2, 3)]
+    rows += [("m", "same", f"d{d}", t, f, 3, 3) for d in range(3) for t in (2, 3, 5) for f in (0.0, 12.5)]
+    return cut(spark.createDataFrame(rows, "model_id string, mix string, doc_id string, tools int, fault_pct double, s long, n long"))
+
+
+def test_sparse_fit_equals_the_wide_fit_on_any_rates(spark):
+    counts = odd_rate_counts(spark)
+    grid = K.measured_grid(counts)
+    assert {c[1] for c in grid} >= {12.5, 13.0, 41.7} and len(grid) == 30 + 5 * 4
+    wide = {r.mix: r for r in FT.fit_groups(K.wide_counts(counts, grid), grid).collect()}
+    quick = counts.where("mix in ('A', 'B', 'one', 'same')")  # separated groups take all hundred steps
+    for rows, cells in ((counts, SP.CELLS), (quick, 0)):  # in one row a group, and by sums over Spark
+        found = {r.mix: r for r in SP.fit(rows, cells=cells).collect()}
+        assert len(found) == rows.select("mix").distinct().count()
+        for mix, got in found.items():
+            want = wide[mix]
+            assert (got.status, got.n_documents, got.n_runs) == (want.status, want.n_documents, want.n_runs)
+            for c in (*FT.COEFS, *(f"{n}_{s}" for n in FT.COEFS for s in ("lo", "hi")), "peak"):
+                assert got[c] == (None if want[c] is None else pytest.approx(want[c], rel=1e-6, abs=1e-6)), (mix, c)
+            if want.status != "firth":
+                assert got.reason == want.reason
+    assert {m: r.status for m, r in wide.items()} == {
+        "A": "mle", "B": "mle", "separated": "firth", "one": "not_estimable", "few": "not_estimable", "same": "not_estimable"}
+
+
+def test_penalized_newton_by_sums(spark):
+    counts = odd_rate_counts(spark).where("mix = 'A'")
+    grid = K.measured_grid(counts)
+    row = K.wide_counts(counts, grid).groupBy("mix").agg(*[F.sum(c).alias(c) for c in K.count_columns(grid)]).first()
+    s, n = (np.array([[float(row[f"{k}_{i}"]) for i in range(len(grid))]]) for k in "sn")
+    want, ok = FT.newton(FT.covariates(grid), s, n, firth=True)
+    got = SP.newton_by_sums(cut(SP.cell_totals(counts)), ["model_id", "mix"], firth=True).first()
+    assert ok[0] and got.done == 1.0 and [got[c] for c in FT.COEFS] == pytest.approx(want[0].tolist(), abs=1e-7)
+
+
+def test_readings_are_counted_in_one_pass(spark):
+    from trialstats.sources.adapters import trials
+
+    runs = trials(spark, "/root/testdata/sf0.001")
+    cells, counts = A.reading_counts(runs)
+    fanned, keys = A.readings(runs), ["reading", "model_id", "mix"]
+    columns = [*keys, "tools", "fault_pct"]
+    want = C.cell_table(fanned, g=keys).select(*columns, "n", "k", "p", "lo", "hi", "in_scope")
+    assert sorted(map(tuple, cells.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    want = K.document_counts(fanned, g=keys).select(*columns, "doc_id", "s", "n")
+    assert sorted(map(tuple, counts.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    scans = [p for p in (cells, counts) if "explode" in p._jdf.queryExecution().optimizedPlan().toString().lower()]
+    assert not scans  # the runs are never fanned out

@@ -44,10 +44,15 @@ def cell_table(runs: DataFrame, rules: Rules = Rules(), g: Sequence[str] = G) ->
         )
         .where(F.col("n") > 0)
     )
+    return rated(agg, g, rules, "mean_score", "faults_per_run")
+
+
+def rated(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), *more: str) -> DataFrame:
+    """Rate, Wilson limits and scope of cells with counts ``n`` and ``k``."""
     lo, hi = wilson("k", "n", rules.alpha)
-    return agg.select(
+    return counts.select(
         *g, *CELL, "n", "k", (F.col("k") / F.col("n")).alias("p"), lo.alias("lo"), hi.alias("hi"),
-        (F.col("tools") >= 2).alias("in_scope"), "mean_score", "faults_per_run",
+        (F.col("tools") >= 2).alias("in_scope"), *more,
     )
 
 
@@ -280,10 +285,10 @@ def outcome_counts(runs: DataFrame, g: Sequence[str] = G) -> DataFrame:
     return runs.groupBy(*g, "outcome").agg(F.count(F.lit(1)).alias("runs"))
 
 
-def p1_scope(rules: Rules):
-    """In-scope tool counts of graded rows whose outcome is not excluded."""
+def p1_scope(rules: Rules, success: Column | None = None):
+    """In-scope tool counts of rows graded (in a reading, by its ``success``) whose outcome is not excluded."""
     return (
         F.col("tools").isin(*rules.scope_tools)
-        & F.col("success").isNotNull()
+        & (F.col("success") if success is None else success).isNotNull()
         & ~F.coalesce(F.col("outcome"), F.lit("")).isin(*rules.excluded_outcomes)
     )

@@ -16,6 +16,22 @@ def grid(rules: Rules = Rules(), design: Design = Design()) -> list[tuple[int, i
     return [(t, f) for t in rules.scope_tools for f in design.fault_pct_axis]
 
 
+#: cells that become columns of a bootstrap at most; ``sparse.fit`` has no such bound
+WIDE = 256
+
+
+def measured_grid(
+    counts: DataFrame, rules: Rules = Rules(), design: Design = Design()
+) -> list[tuple[int, float]]:
+    """The declared cells, then whatever other cells written counts hold, in order."""
+    declared = grid(rules, design)
+    rows = counts.select(*CELL).distinct().limit(WIDE + 1).collect()
+    more = sorted({(r["tools"], r["fault_pct"]) for r in rows} - set(declared))
+    if len(declared) + len(more) > WIDE:
+        raise ValueError(f"more than {WIDE} cells: fit them in long form, a bootstrap needs a column for each")
+    return declared + more
+
+
 def document_counts(runs: DataFrame, rules: Rules = Rules(), g: Sequence[str] = G) -> DataFrame:
     """Successes, runs and score mass per group, document and in-scope cell."""
     score = F.col("score").cast("decimal(18,12)")

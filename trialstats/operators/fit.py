@@ -86,6 +86,44 @@ def ladder(x, s, n, cap, nonconvergence=True, firth_rung=True):
     return beta, ok, moved
 
 
+def judged(hits, runs, documents, rank, beta, converged, penalized, rules: Rules = Rules()):
+    """(status, reason, coefficients) of a group from its likelihood fit; ``penalized`` gives the second rung's (beta, ok)."""
+    why, state = [], "not_estimable"
+    if not runs:
+        why = ["no in-scope runs"]
+    elif hits <= 0 or hits >= runs:
+        which = "a success" if hits > 0 else "a failure"
+        why = [f"no variation in scope: every run is {which}"]
+    elif documents < 2:
+        why = ["one document: a clustered covariance needs two or more"]
+    elif rank < 4:
+        why = [f"the in-scope cells identify {rank} of 4 coefficients"]
+    else:
+        largest = np.abs(beta).max(initial=0.0)
+        if rules.nonconvergence_moves and not converged:
+            why.append("MLE did not converge")
+        if largest > rules.max_abs_coefficient:
+            why.append(f"max |b_j| = {largest:.3g} exceeds {rules.max_abs_coefficient:g}")
+        state = "mle"
+        if why and rules.firth_rung:
+            again, ok = penalized()
+            beta = again[0]
+            state = "firth" if ok[0] else "not_estimable"
+            why += [] if ok[0] else ["Firth did not converge"]
+        elif why:
+            state = "not_estimable"
+    return state, "; ".join(why) or None, beta if state != "not_estimable" else np.full(4, np.nan)
+
+
+def limits_of(beta, information, meat, documents, runs, rules: Rules = Rules()):
+    """Cluster-robust Wald limits, lower and upper in turn, of each coefficient."""
+    bread = np.linalg.inv(information)
+    scale = documents / (documents - 1.0) * (runs - 1.0) / (runs - 4.0)
+    se = np.sqrt(np.diag(bread @ meat @ bread) * scale)
+    z = z_value(rules.alpha)
+    return np.column_stack([beta - z * se, beta + z * se]).ravel()
+
+
 def _matrices(pdf: pd.DataFrame, c: int) -> tuple[np.ndarray, np.ndarray]:
     s = pdf[[f"s_{i}" for i in range(c)]].to_numpy(float)
     n = pdf[[f"n_{i}" for i in range(c)]].to_numpy(float)
@@ -126,7 +164,6 @@ def group_totals(docs: DataFrame, cells, g: Sequence[str] = G) -> DataFrame:
 def estimate(totals: DataFrame, cells, g: Sequence[str] = G, rules: Rules = Rules()) -> DataFrame:
     """Status, reason, coefficients and fitted cell rates of each group."""
     x, c = covariates(cells), len(cells)
-    cap, nonconv, rung = rules.max_abs_coefficient, rules.nonconvergence_moves, rules.firth_rung
     kept = totals.select(*g, "n_documents", *count_columns(cells))
     schema = kept.select(*g, "n_documents").schema.add("n_runs", "long")
     schema = schema.add("status", "string").add("reason", "string")
@@ -140,38 +177,17 @@ def estimate(totals: DataFrame, cells, g: Sequence[str] = G, rules: Rules = Rule
             s, n = _matrices(pdf, c)
             runs, hits = n.sum(axis=1), s.sum(axis=1)
             beta, converged = newton(x, s, n)
-            largest = np.abs(beta).max(axis=1, initial=0.0)
             status, reason = [], []
             for r in range(len(pdf)):
                 rank = int(np.linalg.matrix_rank(x[n[r] > 0])) if runs[r] else 0
-                why, state = [], "not_estimable"
-                if not runs[r]:
-                    why = ["no in-scope runs"]
-                elif hits[r] <= 0 or hits[r] >= runs[r]:
-                    which = "a success" if hits[r] > 0 else "a failure"
-                    why = [f"no variation in scope: every run is {which}"]
-                elif pdf["n_documents"].iloc[r] < 2:
-                    why = ["one document: a clustered covariance needs two or more"]
-                elif rank < 4:
-                    why = [f"the in-scope cells identify {rank} of 4 coefficients"]
-                else:
-                    if nonconv and not converged[r]:
-                        why.append("MLE did not converge")
-                    if largest[r] > cap:
-                        why.append(f"max |b_j| = {largest[r]:.3g} exceeds {cap:g}")
-                    state = "mle"
-                    if why and rung:
-                        beta[r : r + 1], ok = newton(x, s[r : r + 1], n[r : r + 1], firth=True)
-                        state = "firth" if ok[0] else "not_estimable"
-                        why += [] if ok[0] else ["Firth did not converge"]
-                    elif why:
-                        state = "not_estimable"
+                state, why, beta[r] = judged(
+                    hits[r], runs[r], pdf["n_documents"].iloc[r], rank, beta[r], converged[r],
+                    lambda r=r: newton(x, s[r : r + 1], n[r : r + 1], firth=True), rules)
                 status.append(state)
-                reason.append("; ".join(why) or None)
+                reason.append(why)
             out = pdf[[*g, "n_documents"]].reset_index(drop=True)
             out["n_runs"] = runs.astype("int64")
             out["status"], out["reason"] = status, reason
-            beta[np.array(status) == "not_estimable"] = np.nan
             p = 1.0 / (1.0 + np.exp(-(beta @ x.T)))
             for i, name in enumerate(COEFS):
                 out[name] = beta[:, i]
@@ -208,7 +224,7 @@ def clustered(
     rules: Rules = Rules(),
 ) -> DataFrame:
     """Add cluster-robust Wald limits to groups fitted by maximum likelihood."""
-    x, c, z = covariates(cells), len(cells), z_value(rules.alpha)
+    x, c = covariates(cells), len(cells)
     meat = score_products(docs, fitted, cells, g)
     rows = (
         fitted.join(totals.drop("n_documents"), list(g)).join(meat, list(g), "left")
@@ -227,15 +243,11 @@ def clustered(
             limits = np.full((len(pdf), 8), np.nan)
             for r in np.flatnonzero(pdf["status"].to_numpy() == "mle"):
                 w = n[r] * p[r] * (1.0 - p[r])
-                bread = np.linalg.inv((x * w[:, None]).T @ x)
                 m = np.zeros((4, 4))
                 for i, j in PAIRS:
                     m[i, j] = m[j, i] = pdf[f"m_{i}{j}"].iloc[r]
-                d, total = pdf["n_documents"].iloc[r], pdf["n_runs"].iloc[r]
-                scale = d / (d - 1.0) * (total - 1.0) / (total - 4.0)
-                se = np.sqrt(np.diag(bread @ m @ bread) * scale)
-                limits[r, 0::2] = beta[r] - z * se
-                limits[r, 1::2] = beta[r] + z * se
+                limits[r] = limits_of(
+                    beta[r], (x * w[:, None]).T @ x, m, pdf["n_documents"].iloc[r], pdf["n_runs"].iloc[r], rules)
             out = pdf[base].reset_index(drop=True)
             for i, name in enumerate(names):
                 out[name] = limits[:, i]

@@ -9,6 +9,7 @@ from trialstats.operators import cells as C
 from trialstats.operators import counts as K
 from trialstats.operators import fit as FT
 from trialstats.operators import recovery as R
+from trialstats.operators import sparse as SP
 from trialstats.operators import verdict as V
 from trialstats.plans import analysis as A
 from trialstats.plans.catalogue import sqltext as S
@@ -57,8 +58,7 @@ def boot_cell_counts(spark, sf_dir):
 
 
 def p1_fit(spark, sf_dir):
-    docs = cut(K.wide_counts(K.document_counts(trials(spark, sf_dir)), K.grid()))
-    fit = FT.fit_groups(docs, K.grid()).drop("reason")
+    fit = SP.fit(cut(K.document_counts(trials(spark, sf_dir)))).drop("reason")
     return rounded(fit, *[c for c in fit.columns if c.split("_")[0] in (*FT.COEFS, "peak")], places=6)
 
 
@@ -73,8 +73,7 @@ def fit_refusals(spark, sf_dir):
     }
     label = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in cuts.items()))))
     runs = t.withColumn("_cut", label).withColumn("mix", F.concat_ws("/", "mix", "_cut"))
-    docs = cut(K.wide_counts(K.document_counts(runs), K.grid()))
-    return FT.estimate(FT.group_totals(docs, K.grid()), K.grid()).select("model_id", "mix", "n_documents", "n_runs", "status", "reason")
+    return SP.estimate(cut(K.document_counts(runs))).select("model_id", "mix", "n_documents", "n_runs", "status", "reason")
 
 
 def fractional_logit(spark, sf_dir):

@@ -38,7 +38,7 @@ def runlog_round_trip(spark, sf_dir):
     path = _folder(spark, "log")
     RL.write_log(run_rows(spark, sf_dir), path)
     return normalize_runs(RL.read_runs(spark, path)).select(
-        "run_id", "model_id", "mix", "phase", "tools", "fault_pct", "doc_id", "success", "turns", F.round("score", 6).alias("score"))
+        "run_id", "model_id", "mix", "phase", "tools", F.col("fault_pct").cast("int").alias("fault_pct"), "doc_id", "success", "turns", F.round("score", 6).alias("score"))
 
 
 def known_run_ids(spark, sf_dir):
