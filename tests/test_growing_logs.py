@@ -127,3 +127,26 @@ def test_bloom_filter_misses_no_id(spark):
     found = met.groupBy((F.col("id") % 2).alias("odd")).count().collect()
     held = {r.odd: r["count"] for r in found}
     assert held[0] == 20_000 and 0 < held[1] < 3000
+
+
+def test_spend_stops_once_and_a_replayed_batch_adds_nothing(spark, tmp_path):
+    from decimal import Decimal
+
+    from trialstats.operators import cost as M
+
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "model_id string, run_id string, cost_usd decimal(38,12)"
+    random.seed(1)
+    rows = [(m, f"{k:03d}", Decimal(random.randint(1, 100)) / 100) for m in ("m1", "m2") for k in range(60)] + [("cheap", "000", Decimal("0.01"))]
+    for part in range(3):
+        own = [r for r in rows if int(r[1]) // 20 == part]
+        spark.createDataFrame(own, schema).repartition(3).write.mode("append").parquet(source)
+        J.spend_stops(spark.readStream.schema(schema).parquet(source), 20.0, out, out + "-s").awaitTermination()
+    want = {r.model_id: (r.stopped_at, r.started, round(r.spent_usd, 6))
+            for r in M.spend_cutoff(spark.createDataFrame(rows, schema), 20.0, "run_id").where("stopped_at is not null").collect()}
+    read = lambda: [(r.model_id, (r.stopped_at, r.started, round(r.spent_usd, 6))) for r in spark.read.parquet(out).collect()]
+    assert dict(read()) == want and len(read()) == 2
+    os.remove(f"{out}-s/commits/2")  # the last batch is taken as unfinished and run again
+    if os.path.exists(f"{out}-s/commits/.2.crc"):
+        os.remove(f"{out}-s/commits/.2.crc")
+    J.spend_stops(spark.readStream.schema(schema).parquet(source), 20.0, out, out + "-s").awaitTermination()
+    assert dict(read()) == want and len(read()) == 2

@@ -106,6 +106,19 @@ def stream_spend_alerts(spark, sf_dir):
         F.round(F.max("spend_usd").cast("double"), 6).alias("spend_usd"))
 
 
+def stream_spend_stops(spark, sf_dir):
+    """The runs that the stop rule refuses first, from priced trials that arrive in three parts by the order of their ids."""
+    source, out = _folder(spark, "priced"), _folder(spark, "stops")
+    priced = M.price_runs(trials(spark, sf_dir).select("run_id", "model_id", *[f"{u}_tokens" for u in M.USAGE]), prices(spark))
+    priced = priced.select("run_id", "model_id", "cost_usd")
+    for low, high in (("", "5"), ("5", "a"), ("a", "~")):
+        priced.where((F.col("run_id") >= low) & (F.col("run_id") < high)).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(priced.schema).parquet(source)
+        J.spend_stops(stream, 20.0, out, out + "-state").awaitTermination()
+    stops = spark.read.parquet(out).drop("batch")
+    return stops.withColumn("spent_usd", F.round("spent_usd", 6))
+
+
 def snapshot_entries(spark, sf_dir):
     tables = A.analyze(trials(spark, sf_dir), "s1")
     return SN.entry_json(SN.model_entries(tables, "s1", "defaults"))
@@ -119,6 +132,7 @@ QUERIES = {
     "stream_sessions": stream_sessions,
     "stream_sessions_all": stream_sessions_all,
     "stream_spend_alerts": stream_spend_alerts,
+    "stream_spend_stops": stream_spend_stops,
     "snapshot_entries": snapshot_entries,
 }
 
@@ -145,6 +159,11 @@ s as (select *, sum(brk) over (partition by user_id order by ts) as sid from g),
 p as (select user_id, sid, min(ts) as f, max(ts) + interval 20 minutes as c, count(*) as runs from s group by all)
 select user_id, epoch_us(f) as first_us, epoch_us(c) as closes_us, runs,
        c <= (select max(ts) - interval 1 hour from events) as closed from p""",
+    "stream_spend_stops": f"""with {S.TRIALS}, {COST},
+w as (select *, coalesce(sum(cost) over (partition by model_id order by run_id rows between unbounded preceding and 1 preceding), 0)::double as s,
+        row_number() over (partition by model_id order by run_id) - 1 as c from priced),
+v as (select * from w where s + case when c > 0 then s/c else 0 end > 0.95*20.0)
+select model_id, min(run_id) as stopped_at, arg_min(c, run_id) as started, round(arg_min(s, run_id), 6) as spent_usd from v group by 1""",
     "stream_spend_alerts": f"""with {S.TRIALS}, {COST}
 select model_id, round(sum(cost)::double, 6) as spend_usd from priced group by all having sum(cost) > 0.95""",
 }

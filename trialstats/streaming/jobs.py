@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from trialstats.operators.cells import CELL, G
 from trialstats.schema import CORRUPT, RUNS
@@ -126,3 +129,53 @@ def spend_alerts(priced: DataFrame, cap_usd: float, table: str, checkpoint: str,
         totals.writeStream.outputMode("update").foreachBatch(alert)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class SpendLedger(StatefulProcessor):
+    """Spend and runs of a model so far, and whether a run was refused: one short row of state per model.
+
+    A run is refused if what was spent and the mean cost so far come above the stop line; the first refusal is given out once.
+    Rows of a trigger are taken in the order of their names (two columns of them are held for a model), later triggers
+    come after earlier ones.
+    """
+
+    def __init__(self, line: float):
+        self.line = line
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ledger = handle.getValueState("ledger", "spent decimal(38,12), runs bigint, refused boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        spent, runs, refused = self.ledger.get() if self.ledger.exists() else (Decimal(0), 0, False)
+        if refused:
+            return
+        batch = pd.concat([r[["run_id", "cost_usd"]] for r in rows]).sort_values("run_id", kind="stable")
+        for run_id, cost in zip(batch["run_id"], batch["cost_usd"], strict=True):
+            if float(spent) + (float(spent) / runs if runs else 0.0) > self.line:
+                refused = True
+                yield pd.DataFrame({"model_id": [key[0]], "stopped_at": [run_id], "started": [runs], "spent_usd": [float(spent)]})
+                break
+            # an unpriced run costs nothing and is a run all the same
+            spent, runs = spent + (Decimal(0) if cost is None else cost), runs + 1
+        self.ledger.update((spent, runs, refused))
+
+    def close(self) -> None:
+        pass
+
+
+def spend_stops(priced: DataFrame, cap_usd: float, table: str, checkpoint: str, stop_at: float = 0.95):
+    """The first run of each model that the stop rule refuses, in a folder per batch: a repeated batch replaces its own."""
+    spark = priced.sparkSession
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    rows = priced.select("model_id", "run_id", F.col("cost_usd").cast("decimal(38,12)").alias("cost_usd"))
+    stops = rows.groupBy("model_id").transformWithStateInPandas(
+        SpendLedger(stop_at * cap_usd), "model_id string, stopped_at string, started bigint, spent_usd double", "Append", "None")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/batch={number}")
+
+    return stops.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
