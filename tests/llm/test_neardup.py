@@ -90,3 +90,13 @@ def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 130)] + [(200, 200), (7, 3)]
     found = components(spark.createDataFrame(links, "a long, b long")).groupBy("root").agg(F.count("*").alias("n"))
     assert {(r.root, r.n) for r in found.collect()} == {(0, 41), (100, 30)}
+
+
+def test_rest_in_many_cells(spark, monkeypatch):
+    """A group whose typical pair lies just below the threshold, dealt into blocks of a few rows."""
+    monkeypatch.setattr(N, "BLOCK_ROWS", 16)
+    rng = random.Random(5)
+    base = [f"g{k}" for k in range(150)]
+    rows = [(k, edited(base, rng.randrange(2, 5), rng)) for k in range(120)]
+    assert len({c for _, _, c in brute(rows)}) > 1
+    assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)

@@ -8,12 +8,13 @@
    probability of at least the similarity J, so a pair of similarity 0.75 shares no bucket with probability
    below (1 - 0.75^4)^32 = 6e-6.
 4. Classes of one bucket are linked by hubs, never by all pairs: every class is compared with ``HUBS`` classes of its
-   bucket, picked by hash. Then an exhaustive round compares, block by block and on registers only, each class
-   outside its bucket's largest component with all classes of other components, so no link between components is
-   lost to the hubs.
+   bucket, picked by hash. Then an exhaustive round compares each class outside its bucket's largest component with
+   all classes of other components, so no link between components is lost to the hubs. Both sides are dealt into
+   bounded blocks that meet in a grid; pairs never leave their cell, only rows and the links that join components do.
 5. Every candidate pair is estimated jointly by maximum likelihood from its register comparison and the two set
    sizes; pairs ``SIGMAS`` standard deviations below the threshold are left out, all others are confirmed on the
-   full sets by 100 * intersection >= 75 * union.
+   full sets by 100 * intersection >= 75 * union. Inside a cell the estimates choose the rows whose full sets are
+   fetched, and those are compared exactly.
 6. Links become components; a component is named by its smallest doc_id.
 
 Cases: a null, empty or blank text has an empty set and is linked with nothing; fewer than five words are one shingle;
@@ -25,11 +26,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,8 +52,9 @@ HUBS = 4
 SIGMAS = 5.0
 #: pairs that are estimated at once
 TOGETHER = 20_000
-#: register comparisons of one block of the exhaustive round
-BLOCK_PAIRS = 4_000_000
+#: rows and elements of their sets in one block of the exhaustive round, about
+BLOCK_ROWS = 1024
+BLOCK_ELEMENTS = 1 << 20
 #: ids (16 bytes each) that are broadcast at most; more are joined by a shuffle
 SMALL_IDS = 1_000_000
 #: stands for a null doc_id where full sets are read
@@ -60,6 +63,11 @@ NO_ID = -(1 << 63)
 WORD_CACHE = 1 << 20
 
 
+#: what the exhaustive round keeps of a row with a likely partner
+_HITS = {"key": "long", "band": "int", "l": "int", "r": "int", "digest": "binary", "root": "binary", "n": "long",
+         "loose": "boolean", "left": "boolean", "right": "boolean"}
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_CACHE:
@@ -200,65 +208,156 @@ def _likely(percent: int):
     return likely
 
 
-def _blockwise(percent: int):
-    """Rows sorted by block to candidate pairs: each ``left`` row with every row of another component."""
+class _Cell:
+    """Rows of one cell of a bucket's grid, in the order of their digests."""
+
+    def __init__(self, rows: pa.Table):
+        self.rows = rows
+        self.n, self.left, self.right, self.loose = (rows[c].to_numpy() for c in ("n", "left", "right", "loose"))
+        roots = rows["root"].to_pylist()
+        self.names = {c: k for k, c in enumerate(dict.fromkeys(roots))}
+        self.root = np.array([self.names[r] for r in roots])
+        self.hit = np.zeros(len(roots), bool)
 
-    def indexes(rows: list[dict]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of rows of one block to be compared, a bounded number at a time."""
-        sizes = np.array([r["n"] for r in rows], np.int64)
-        names = {c: k for k, c in enumerate(dict.fromkeys(r["root"] for r in rows))}
-        root = np.array([names[r["root"]] for r in rows])
-        left = np.array([r["left"] for r in rows])
-        number = np.arange(len(rows))
-        some = max(1, TOGETHER // len(rows))
-        lefts = np.flatnonzero(left)
+    @cached_property
+    def registers(self) -> np.ndarray:
+        return _registers(self.rows["sketch"])
+
+    def pairs(self, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Left and right rows of different components and close sizes, in the first band that they share; a bounded
+        number at a time, by left row. Two loose rows meet in two cells, and are a pair in one of them."""
+        lefts, rights = np.flatnonzero(self.left), np.flatnonzero(self.right)
+        band = self.rows["band"][0].as_py()
+        some = max(1, TOGETHER // max(1, len(rights)))
         for at in range(0, len(lefts), some):
             own = lefts[at : at + some, None]
-            near = np.minimum(sizes, sizes[own]) * 100 >= percent * np.maximum(sizes, sizes[own])
-            # of two left rows the pair is seen once
-            k, o = np.nonzero(near & (root != root[own]) & (~left | (number > own)))
-            yield own[k, 0], o
-
-    def estimated(pairs: list[tuple]) -> pa.RecordBatch:
-        first, second = (np.frombuffer(b"".join(p[k]["sketch"] for p in pairs), np.uint16).reshape(len(pairs), -1) for k in (0, 1))
-        sizes = [np.array([p[k]["n"] for p in pairs], float) for k in (0, 1)]
-        # a pair is looked at in the first band that it shares, and in no other bucket
-        shared = (first == second).reshape(len(pairs), BANDS, -1).all(axis=2).argmax(axis=1)
-        own = shared == np.array([p[0]["band"] for p in pairs])
-        good = own & (joint_estimate(first, second, *sizes) >= _least_estimate(percent, first.shape[1]))
-        kept = [p for p, g in zip(pairs, good, strict=True) if g]
-        return pa.RecordBatch.from_arrays([pa.array([p[k]["digest"] for p in kept], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
-        held: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if held and (row["block"], row["key"]) != (held[0]["block"], held[0]["key"]):
-                    yield held
-                    held = []
-                held.append(row)
-        if held:
-            yield held
+            close = np.minimum(self.n[rights], self.n[own]) * 100 >= percent * np.maximum(self.n[rights], self.n[own])
+            k, o = np.nonzero(close & (self.root[rights] != self.root[own]) & (~self.loose[rights] | (rights < own)))
+            k, o = own[k, 0], rights[o]
+            if len(k):
+                same = (self.registers[k] == self.registers[o]).reshape(len(k), BANDS, -1).all(axis=2)
+                first = same.argmax(axis=1) == band
+                k, o = k[first], o[first]
+            if len(k):
+                yield k, o
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[_Cell]:
+    """The cells of batches sorted by cell and digest."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        where = np.stack([batch.column(c).to_numpy() for c in ("key", "l", "r")], axis=1)
+        cuts = [0, *(np.flatnonzero((where[1:] != where[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for begin, end in zip(cuts, cuts[1:]):
+            if held and tuple(where[begin]) != last:
+                yield _Cell(pa.Table.from_batches(held).combine_chunks())
+                held = []
+            held.append(batch.slice(begin, end - begin))
+            last = tuple(where[begin])
+    if held:
+        yield _Cell(pa.Table.from_batches(held).combine_chunks())
+
+
+def _narrow(percent: int):
+    """Rows of cells to those rows that have a likely partner in their cell."""
+
+    def estimate(waiting: list[tuple[_Cell, np.ndarray, np.ndarray]]) -> None:
+        first = np.concatenate([c.registers[k] for c, k, _ in waiting])
+        second = np.concatenate([c.registers[o] for c, _, o in waiting])
+        sizes = [np.concatenate([c.n[x] for c, x in side]).astype(float)
+                 for side in ([(c, k) for c, k, _ in waiting], [(c, o) for c, _, o in waiting])]
+        good = joint_estimate(first, second, *sizes) >= _least_estimate(percent, first.shape[1])
+        at = 0
+        for cell, k, o in waiting:
+            own = good[at : at + len(k)]
+            cell.hit[k[own]] = cell.hit[o[own]] = True
+            at += len(k)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: list[tuple] = []
-        for rows in blocks(batches):
-            for first, second in indexes(rows):
-                pairs += [(rows[k], rows[o]) for k, o in zip(first.tolist(), second.tolist(), strict=True)]
-                while len(pairs) >= TOGETHER:
-                    yield estimated(pairs[:TOGETHER])
-                    del pairs[:TOGETHER]
-        if pairs:
-            yield estimated(pairs)
+        open_: list[_Cell] = []  # cells with estimates to come
+        waiting: list[tuple[_Cell, np.ndarray, np.ndarray]] = []
+        pairs = rows = 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for cell in open_:
+                if cell.hit.any():
+                    yield from cell.rows.filter(pa.array(cell.hit)).select(list(_HITS)).to_batches()
+
+        for cell in _cells(batches):
+            begun = False
+            for k, o in cell.pairs(percent):
+                waiting.append((cell, k, o))
+                begun, pairs = True, pairs + len(k)
+                if pairs >= TOGETHER:
+                    estimate(waiting)
+                    waiting, pairs = [], 0
+            if begun:
+                open_.append(cell)
+                rows += len(cell.n)
+            if pairs >= TOGETHER // 2 or rows >= TOGETHER:
+                if waiting:
+                    estimate(waiting)
+                yield from done()
+                open_, waiting, pairs, rows = [], [], 0, 0
+        if waiting:
+            estimate(waiting)
+        yield from done()
+
+    return run
+
+
+def _linked(percent: int):
+    """Rows of cells with their full sets to links between components, no more than a cell's components less one."""
+
+    def links(cell: _Cell) -> Iterator[tuple[int, int]]:
+        parent = list(range(len(cell.names)))
+
+        def find(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = k = parent[parent[k]]
+            return k
+
+        elements = cell.rows["elements"].combine_chunks()
+        ids = np.unique(elements.flatten().to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        ends = np.cumsum(cell.n)
+        own = [ids[e - n : e] for e, n in zip(ends.tolist(), cell.n.tolist(), strict=True)]
+        mark = np.zeros(len(ids), bool)
+        for lefts, rights in cell.pairs(percent):
+            for k in np.unique(lefts).tolist():
+                mine = find(cell.root[k])
+                others = [o for o in rights[lefts == k].tolist() if find(cell.root[o]) != mine]
+                if not others:
+                    continue
+                mark[own[k]] = True
+                starts = np.concatenate(([0], np.cumsum(cell.n[others])[:-1]))
+                both = np.add.reduceat(mark[np.concatenate([own[o] for o in others])], starts, dtype=np.int64)
+                mark[own[k]] = False
+                near = both * 100 >= percent * (cell.n[k] + cell.n[others] - both)
+                for o in np.array(others)[near].tolist():
+                    x, y = find(cell.root[k]), find(cell.root[o])
+                    if x != y:
+                        parent[x] = y
+                        yield k, o
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            found = list(links(cell))
+            if found:
+                digests = cell.rows["digest"]
+                yield pa.RecordBatch.from_arrays(
+                    [digests.take(pa.array([p[k] for p in found])).combine_chunks().cast(pa.binary()) for k in (0, 1)],
+                    ["a", "b"])
 
     return run
 
 
 def _buckets(classes: DataFrame, registers: int, bands: int) -> DataFrame:
-    """key, band and digest of every class that shares a bucket (band and its registers) with another."""
+    """key, band, digest and set size of every class that shares a bucket (band and its registers) with another."""
     width = 2 * registers // bands
     keys = F.array(*(F.xxhash64(F.lit(b), F.substring("sketch", 1 + width * b, width)) for b in range(bands)))
-    rows = classes.select("digest", F.posexplode(keys).alias("band", "key")).repartition("key")
+    rows = classes.select("digest", "n", F.posexplode(keys).alias("band", "key")).repartition("key")
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     return rows.join(shared, "key", "left_semi")
 
@@ -290,27 +389,49 @@ def _hub_pairs(members: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("digest", "_hub").alias("a"), F.least("digest", "_hub").alias("b")).distinct()
 
 
-def _largest(members: DataFrame) -> DataFrame:
-    """Per bucket: its rows, its components and the largest of them."""
-    parts = members.groupBy("key", "root").agg(F.count("*").alias("rows"))
-    return parts.groupBy("key").agg(
-        F.sum("rows").alias("rows"), F.count("*").alias("parts"), F.max(F.struct("rows", "root")).alias("big"))
+def _grids(members: DataFrame) -> DataFrame:
+    """Per bucket of several components: the largest of them, and the blocks of its two sides by rows and set sizes."""
+    parts = members.groupBy("key", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("elements"))
+    whole = parts.groupBy("key").agg(
+        F.sum("rows").alias("rows"), F.sum("elements").alias("elements"), F.count("*").alias("parts"),
+        F.max(F.struct("rows", "root", "elements")).alias("big"))
+
+    def blocks(rows: Column, elements: Column) -> Column:
+        most = F.greatest(F.lit(1), F.ceil(rows / BLOCK_ROWS), F.ceil(elements / BLOCK_ELEMENTS))
+        return most.cast("int")
+
+    rows, elements, big = F.col("rows"), F.col("elements"), F.col("big")
+    return whole.where("parts > 1").select(
+        "key", big["root"].alias("_big"), blocks(rows - big["rows"], elements - big["elements"]).alias("_lefts"),
+        blocks(rows, elements).alias("_rights"))
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "l", "r").sortWithinPartitions("key", "l", "r", "digest")
+
+
+def _rest_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between classes outside their bucket's largest component and those of its other components.
+
+    Both sides are dealt by hash into blocks, which meet in a grid of cells, so a task holds two bounded blocks at most.
+    Cells work on sketches first; only rows with a likely partner move again, with their full sets.
+    """
+    rows = members.join(_grids(members), "key").join(sets.select("digest", "sketch"), "digest")
+    loose = F.col("root") != F.col("_big")
 
+    def block(side: int, blocks: str) -> Column:
+        return F.pmod(F.xxhash64(F.lit(side), "digest"), F.col(blocks)).cast("int")
 
-def _rest_pairs(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Classes outside their bucket's largest component with all of other components that look near."""
-    big = _largest(members).where("parts > 1").select(
-        "key", F.col("big.root").alias("_root"),
-        F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("big.rows")) * F.col("rows") / F.lit(BLOCK_PAIRS)))
-        .cast("int").alias("blocks"))
-    rows = members.join(big, "key").join(sets.select("digest", "sketch", "n"), "digest")
-    own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    rows = rows.select("key", "band", "block", "digest", "root", "sketch", "n",
-                       ((F.col("root") != F.col("_root")) & (own == F.col("block"))).alias("left"))
-    sorted_ = rows.repartition("key", "block").sortWithinPartitions("key", "block", "digest")
-    found = sorted_.mapInArrow(_blockwise(percent), "a binary, b binary")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    rows = rows.select("*", loose.alias("loose"), block(1, "_lefts").alias("_l"), block(2, "_rights").alias("_r"))
+    across = F.transform(F.sequence(F.lit(0), F.col("_rights") - 1), lambda r: F.struct(F.col("_l").alias("l"), r.alias("r")))
+    down = F.transform(F.sequence(F.lit(0), F.col("_lefts") - 1), lambda k: F.struct(k.alias("l"), F.col("_r").alias("r")))
+    rows = rows.withColumn("_cell", F.explode(F.when(F.col("loose"), F.array_union(across, down)).otherwise(down)))
+    rows = rows.select(
+        "key", "band", "_cell.l", "_cell.r", "digest", "root", "n", "sketch", "loose",
+        (F.col("loose") & (F.col("_cell.l") == F.col("_l"))).alias("left"), (F.col("_cell.r") == F.col("_r")).alias("right"))
+    hits = _by_cell(rows).mapInArrow(_narrow(percent), ", ".join(f"{k} {t}" for k, t in _HITS.items()))
+    hits = hits.join(sets.select("digest", "sketch", "elements"), "digest")
+    return _by_cell(hits).mapInArrow(_linked(percent), "a binary, b binary")
 
 
 def _bucketed(sets: DataFrame, name: str) -> DataFrame:
@@ -325,17 +446,17 @@ def _bucketed(sets: DataFrame, name: str) -> DataFrame:
 def _roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node and root of every class with a confirmed link."""
     links = cut(_confirm(_hub_pairs(members), sets, percent))
-    rest = _rest_pairs(_rooted(members, components(links)), sets, percent)
-    return components(links.unionAll(cut(_confirm(rest, sets, percent))))
+    rest = _rest_links(_rooted(members, components(links)), sets, percent)
+    return components(links.unionAll(cut(rest)))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, digest of the set, root (a digest, null for an empty set), component_id and kept of each row."""
     rows = docs.select("doc_id", summaries(utf8(F.col("text"))).alias("_s"))
     rows = cut(rows.select("doc_id", "_s.n", "_s.digest", "_s.sketch"))
-    classes = rows.where("n > 0").select("digest", "sketch").dropDuplicates(["digest"])
+    classes = rows.where("n > 0").select("digest", "n", "sketch").dropDuplicates(["digest"])
     buckets = _buckets(classes, REGISTERS, BANDS)
-    members = cut(buckets.select("key", "band", "digest"))
+    members = cut(buckets.select("key", "band", "digest", "n"))
     wanted = members.select("digest").distinct()
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
     ids = rows.where("n > 0").select(key, "digest").join(wanted, "digest", "left_semi")
