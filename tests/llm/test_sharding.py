@@ -45,6 +45,18 @@ def test_one_text_with_half_of_all_rows_is_spread(spark):
     assert len(by) == 16 and max(sums) < 1.1 * sum(sums) / 16
 
 
+def test_equal_texts_share_a_shard_whatever_their_other_columns(spark):
+    docs = spark.range(6000).select(
+        F.col("id").alias("doc_id"), F.sha2((F.col("id") % 3000).cast("string").cast("binary"), 512).alias("text"),
+        F.when(F.col("id") % 7 > 0, F.concat(F.lit("l"), F.col("id") % 5)).alias("lang"),
+        F.concat(F.lit("s"), F.col("id") % 3).alias("source"), F.col("id").alias("n_chars"))
+    homes = defaultdict(set)
+    for own in check(docs, place(docs, shards=16), 16).values():
+        for r in own:
+            homes[r.text_crc32].add(r.shard)
+    assert len(homes) == 3000 and all(len(h) == 1 for h in homes.values())
+
+
 def test_odd_rows_other_counts_and_targets(odd_documents, no_documents, documents):
     check(odd_documents, place(odd_documents, shards=16), 16)
     assert place(no_documents, shards=16) == []

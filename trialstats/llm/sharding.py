@@ -6,8 +6,8 @@ its weighted median, or at the share its leaves need when their number is odd. M
 histograms: one aggregation per pass gives the weight of ``BINS`` equal slices of every open node, and the slice that
 holds the cut is sliced again until its weight is below ``TOLERANCE`` of the node, so a pass returns one row per node.
 
-A coordinate is extended by the text's crc32 before it is cut, so equal texts, which agree in every dimension used by
-the query, are kept in one shard. Only when one such group alone outweighs ``GROUP`` of a leaf is it cut, by a hash
+A coordinate is extended by the text's crc32 before it is cut, so texts that agree in every dimension are kept in one
+shard. The query's dimensions are read off the text alone, so equal texts agree whatever their other columns say. Only when one such group alone outweighs ``GROUP`` of a leaf is it cut, by a hash
 of doc_id: a text that holds a third of all rows is spread, and no group is ever gathered in a task.
 
 Cases: a null text has size 1 and crc32 0; a null dimension is a coordinate of its own; an empty table has no shards;
@@ -133,13 +133,14 @@ def kd_tree(points: DataFrame, dims: int, shards: int | None = None, target: int
 
 
 def document_dimensions(docs: DataFrame) -> list[Column]:
-    """Metadata that equal texts share: language, length and share of characters beyond ASCII."""
-    size = F.octet_length(F.coalesce("text", F.lit("")))
-    chars = F.length(F.coalesce("text", F.lit("")))
+    """Metadata that equal texts share: length, share of bytes beyond ASCII and share of spaces."""
+    text = F.coalesce("text", F.lit(""))
+    size, chars = F.octet_length(text), F.length(text)
+    spaces = chars - F.length(F.replace(text, F.lit(" "), F.lit("")))
     return [
-        F.pmod(F.xxhash64(F.coalesce("lang", F.lit("\x00"))), F.lit(1 << 20)),
         (F.log2(size + F.lit(1.0)) * 32768).cast("bigint"),
         ((size - chars) * F.lit(float(1 << 20)) / F.greatest(size, F.lit(1))).cast("bigint"),
+        (spaces * F.lit(float(1 << 20)) / F.greatest(size, F.lit(1))).cast("bigint"),
     ]
 
 
