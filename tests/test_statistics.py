@@ -282,3 +282,52 @@ def test_readings_are_counted_in_one_pass(spark):
     assert sorted(map(tuple, counts.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
     scans = [p for p in (cells, counts) if "explode" in p._jdf.queryExecution().optimizedPlan().toString().lower()]
     assert not scans  # the runs are never fanned out
+
+
+def test_scores_that_tell_nothing_are_refused(spark):
+    cells = [(t, f) for t in (2, 3, 5) for f in (0, 20)]
+    score = {"varied": lambda i, d: ((i + d) % 5) / 4, "constant": lambda i, d: 0.5, "unknown": lambda i, d: None}
+    rows = [("m", mix, f"d{d}", t, f, score[mix](i, d)) for mix in score for d in range(6) for i, (t, f) in enumerate(cells)]
+    runs = spark.createDataFrame(rows, "model_id string, mix string, doc_id string, tools int, fault_pct int, score double")
+    runs = runs.selectExpr("*", "true as success", "'submitted' as outcome", "'sweep' as phase")
+    found = {r.mix: r for r in SP.fractional_logit(cut(K.score_counts(runs))).collect()}
+    assert {m: (r.status, r.reason, r.n_documents, r.n_runs) for m, r in found.items()} == {
+        "varied": ("fitted", None, 6, 36), "constant": ("not_estimable", "no variation in score", 6, 36),
+        "unknown": ("not_estimable", "no score", 0, 0)}
+    assert found["varied"].const_lo < found["varied"].const < found["varied"].const_hi
+    assert found["constant"].const is None and found["constant"].peak is None
+    assert SP.fractional_logit(cut(K.score_counts(runs.limit(0)))).count() == 0
+
+
+def test_surface_slopes_are_those_of_the_fitted_rate(spark):
+    counts = odd_rate_counts(spark)
+    fit = {r.mix: r for r in SP.fit(counts).collect()}
+    ran = {(r.mix, r.tools, r.fault_pct) for r in counts.collect()}
+    points = sorted({(t, f) for _, t, f in ran})[:6] + [(4, 99.0), (3, 12.5)]
+    rows = SP.surface(counts, points).collect()
+    assert len(rows) == len(fit) * len(points)
+
+    def rate(b, t, f):
+        return 1 / (1 + np.exp(-(b.const + b.tc * (t - 4) + b.tc2 * (t - 4) ** 2 + b.f * f / 100)))
+
+    for r in rows:
+        b, t, f, step = fit[r.mix], r.tools, r.fault_pct, 1e-5
+        want = "off_grid" if (r.mix, t, f) not in ran else "fitted" if b.status == "mle" else "not_estimable"
+        assert r.status == want
+        if want != "fitted":
+            assert r.fitted is None and r.per_tool_lo is None and r.per_fault_hi is None
+            continue
+        assert r.fitted == pytest.approx(rate(b, t, f)) and r.fitted_lo < r.fitted < r.fitted_hi
+        assert r.per_tool == pytest.approx((rate(b, t + step, f) - rate(b, t - step, f)) / (2 * step), rel=1e-5, abs=1e-8)
+        assert r.per_fault == pytest.approx((rate(b, t, f + step) - rate(b, t, f - step)) / (2 * step / 100), rel=1e-4, abs=1e-7)
+        assert r.per_tool_lo < r.per_tool < r.per_tool_hi and r.per_fault_lo < r.per_fault < r.per_fault_hi
+    assert {r.status for r in rows} == {"fitted", "off_grid", "not_estimable"}
+
+
+def test_surface_limits_are_those_of_the_coefficient_at_the_centre(spark):
+    """At tools 4 and no faults the linear part is the constant, so its limits are the constant's."""
+    counts = odd_rate_counts(spark).where("mix = 'A'")
+    fit, at = SP.fit(counts).first(), SP.surface(counts, [(4, 0.0)]).first()
+    logit = lambda p: np.log(p / (1 - p))
+    assert at.status == "fitted"
+    assert [logit(at[c]) for c in ("fitted_lo", "fitted", "fitted_hi")] == pytest.approx([fit.const_lo, fit.const, fit.const_hi])

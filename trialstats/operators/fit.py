@@ -115,11 +115,15 @@ def judged(hits, runs, documents, rank, beta, converged, penalized, rules: Rules
     return state, "; ".join(why) or None, beta if state != "not_estimable" else np.full(4, np.nan)
 
 
+def covariance_of(information, meat, documents, runs):
+    """Covariance of the coefficients, clustered by document."""
+    bread = np.linalg.inv(information)
+    return bread @ meat @ bread * (documents / (documents - 1.0) * (runs - 1.0) / (runs - 4.0))
+
+
 def limits_of(beta, information, meat, documents, runs, rules: Rules = Rules()):
     """Cluster-robust Wald limits, lower and upper in turn, of each coefficient."""
-    bread = np.linalg.inv(information)
-    scale = documents / (documents - 1.0) * (runs - 1.0) / (runs - 4.0)
-    se = np.sqrt(np.diag(bread @ meat @ bread) * scale)
+    se = np.sqrt(np.diag(covariance_of(information, meat, documents, runs)))
     z = z_value(rules.alpha)
     return np.column_stack([beta - z * se, beta + z * se]).ravel()
 
@@ -264,14 +268,3 @@ def fit_groups(docs: DataFrame, cells, g: Sequence[str] = G, rules: Rules = Rule
     # one row per group, used three times below: written so that it is computed once
     fitted = cut(estimate(totals, cells, g, rules))
     return clustered(docs, totals, fitted, cells, g, rules)
-
-
-def fractional_logit(score_docs: DataFrame, cells, g: Sequence[str] = G,
-                     rules: Rules = Rules()) -> DataFrame:
-    """The same regression on the continuous score; ``s_i`` holds the score mass per cell."""
-    out = fit_groups(score_docs, cells, g, rules)
-    fitted = F.col("status") == "mle"
-    keep = [c for c in out.columns if c not in (*g, "n_documents", "n_runs", "status", "reason")]
-    return out.withColumns(
-        {c: F.when(fitted, F.col(c)) for c in keep}
-    ).withColumn("status", F.when(fitted, "fitted").otherwise("not_estimable"))

@@ -16,9 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.functions.intervals import peak, sigmoid
+from trialstats.functions.intervals import peak, sigmoid, z_value
 from trialstats.operators.cells import CELL, G
-from trialstats.operators.fit import COEFS, PAIRS, judged, limits_of, newton
+from trialstats.operators.fit import COEFS, PAIRS, covariance_of, judged, limits_of, newton
 from trialstats.rules import Rules
 from trialstats.session import cut
 
@@ -196,10 +196,8 @@ def estimate(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), ce
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in COEFS})
 
 
-def fit(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), cells: int = CELLS) -> DataFrame:
-    """The whole primary fit of every group from written counts per document and cell, whatever the cells."""
-    g = list(g)
-    fitted = cut(estimate(counts, g, rules, cells))
+def _products(counts: DataFrame, fitted: DataFrame, g: Sequence[str]) -> DataFrame:
+    """Every group fitted by maximum likelihood, with the meat (m_jk) and the information (i_jk) of its coefficients."""
     mle = fitted.where("status = 'mle'").select(*g, *COEFS)
     x = _x()
     met = counts.select(*g, "doc_id", *CELL, "s", "n").join(mle, g)
@@ -207,12 +205,80 @@ def fit(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), cells:
     scores = met.groupBy(*g, "doc_id").agg(*[F.sum(x[j] * rest).alias(f"u_{j}") for j in range(4)])
     meat = scores.groupBy(*g).agg(*[F.sum(F.col(f"u_{j}") * F.col(f"u_{k}")).alias(f"m_{j}{k}") for j, k in PAIRS])
     bread = information(cell_totals(counts, g), mle, g).select(*g, *[f"i_{j}{k}" for j, k in PAIRS])
+    return fitted.join(meat, g).join(bread, g)
+
+
+def fit(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), cells: int = CELLS) -> DataFrame:
+    """The whole primary fit of every group from written counts per document and cell, whatever the cells."""
+    g = list(g)
+    fitted = cut(estimate(counts, g, rules, cells))
     names = [f"{n}_{side}" for n in COEFS for side in ("lo", "hi")]
 
     def limits(row):
         beta = np.array([row[c] for c in COEFS])
         return limits_of(beta, _square(row, "i"), _square(row, "m"), row["n_documents"], row["n_runs"], rules)
 
-    rows = fitted.join(meat, g).join(bread, g)
-    out = fitted.join(_each(rows, g, names, limits), g, "left")
+    out = fitted.join(_each(_products(counts, fitted, g), g, names, limits), g, "left")
     return out.withColumn("peak", peak("tc", "tc2"))
+
+
+def fractional_logit(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), cells: int = CELLS) -> DataFrame:
+    """The same regression on the continuous score, from written ``score_counts``.
+
+    A group is refused without a fit where all its scores are equal or none is known, and where the ladder refuses it.
+    """
+    g = list(g)
+    scored = counts.where("n > 0")
+    spread = cut(counts.groupBy(*g).agg(
+        F.count_distinct(F.when(F.col("n") > 0, F.col("doc_id"))).alias("n_documents"), F.sum("n").alias("n_runs"),
+        F.coalesce(F.min("score_lo") < F.max("score_hi"), F.lit(False)).alias("_varied")))
+    out = fit(cut(scored.join(spread.where("_varied").select(*g), g, "left_semi")), g, rules, cells)
+    fitted = F.col("status") == "mle"
+    rest = [c for c in out.columns if c not in (*g, "n_documents", "n_runs", "status", "reason")]
+    out = out.withColumns({c: F.when(fitted, F.col(c)) for c in rest}).withColumn(
+        "status", F.when(fitted, "fitted").otherwise("not_estimable"))
+    same = spread.where(~F.col("_varied")).select(
+        *g, "n_documents", "n_runs", F.lit("not_estimable").alias("status"),
+        F.when(F.col("n_runs") > 0, "no variation in score").otherwise("no score").alias("reason"))
+    return out.unionByName(same, allowMissingColumns=True)
+
+
+def _form(weights: Sequence[Column]) -> Column:
+    """w'Vw of the covariance held in v_jk."""
+    return reduce(Column.__add__, (
+        F.col(f"v_{j}{k}") * weights[j] * weights[k] * (1.0 if j == k else 2.0) for j, k in PAIRS))
+
+
+def surface(counts: DataFrame, points: Sequence[tuple[int, float]], g: Sequence[str] = G, rules: Rules = Rules(),
+            cells: int = CELLS) -> DataFrame:
+    """Fitted rate and its slope along each axis at the asked cells (tools, fault_pct) of every group.
+
+    ``per_tool`` is the slope a tool, ``per_fault`` that over the fault rate from 0 to 1. Limits are those of the delta
+    method with the clustered covariance, for the rate on the logit scale. ``status`` is fitted, off_grid where the
+    group has no run at the cell, or not_estimable where it has no maximum-likelihood fit; the values are null in both.
+    """
+    g, z = list(g), z_value(rules.alpha)
+    fitted = cut(estimate(counts, g, rules, cells))
+    names = [f"v_{j}{k}" for j, k in PAIRS]
+
+    def spread(row):
+        v = covariance_of(_square(row, "i"), _square(row, "m"), row["n_documents"], row["n_runs"])
+        return [v[j, k] for j, k in PAIRS]
+
+    known = fitted.join(_each(_products(counts, fitted, g), g, names, spread), g, "left")
+    asked = F.array(*[F.struct(F.lit(t).alias("tools"), F.lit(float(f)).alias("fault_pct")) for t, f in points])
+    run = counts.where("n > 0").select(*g, "tools", F.col("fault_pct").cast("double").alias("fault_pct")).distinct()
+    at = known.select("*", F.inline(asked)).join(run.withColumn("_run", F.lit(True)), [*g, *CELL], "left")
+    status = F.when(F.col("_run").isNull(), "off_grid").when(F.col("status") == "mle", "fitted").otherwise("not_estimable")
+    at = at.withColumn("status", status).withColumn("_eta", _linear(COEFS)).withColumn("_p", sigmoid(F.col("_eta")))
+    x, w = _x(), F.col("_p") * (1.0 - F.col("_p"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    values = {"fitted": F.col("_p")}
+    half = F.sqrt(_form(x)) * z
+    values |= {"fitted_lo": sigmoid(F.col("_eta") - half), "fitted_hi": sigmoid(F.col("_eta") + half)}
+    for name, way in (("per_tool", [zero, one, 2.0 * x[1], zero]), ("per_fault", [zero, zero, zero, one])):
+        slope = reduce(Column.__add__, (F.col(b) * c for b, c in zip(COEFS, way, strict=True)))
+        half = F.sqrt(_form([w * (c + (1.0 - 2.0 * F.col("_p")) * slope * e) for c, e in zip(way, x, strict=True)])) * z
+        values |= {name: w * slope, f"{name}_lo": w * slope - half, f"{name}_hi": w * slope + half}
+    return at.select(*g, *CELL, "status", *[
+        F.when(F.col("status") == "fitted", v).alias(n) for n, v in values.items()])

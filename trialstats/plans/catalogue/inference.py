@@ -77,13 +77,31 @@ def fit_refusals(spark, sf_dir):
 
 
 def fractional_logit(spark, sf_dir):
-    counts = K.document_counts(trials(spark, sf_dir)).withColumn(
-        "score_sum", F.col("score_sum").cast("double"))
-    docs = cut(K.wide_counts(counts, K.grid(), s="score_sum", n="score_n"))
-    fit = FT.fractional_logit(docs, K.grid()).drop("reason")
+    fit = SP.fractional_logit(cut(K.score_counts(trials(spark, sf_dir)))).drop("reason")
     return rounded(fit, *[c for c in fit.columns if c.split("_")[0] in (*FT.COEFS, "peak")], places=6)
 
 
+def fractional_refusals(spark, sf_dir):
+    """Status and reason of groups whose score tells nothing: constant, unknown, of one document."""
+    t = trials(spark, sf_dir)
+    first = F.lit(t.agg(F.min("doc_id")).scalar())
+    cuts = {"constant": F.lit(True), "unscored": F.lit(True), "one-document": F.col("doc_id") == first}
+    label = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in cuts.items()))))
+    runs = t.withColumn("_cut", label).withColumn("mix", F.concat_ws("/", "mix", "_cut"))
+    score = F.when(F.col("_cut") == "constant", 0.5).when(F.col("_cut") == "one-document", F.col("score"))
+    out = SP.fractional_logit(cut(K.score_counts(runs.withColumn("score", score))))
+    return out.select("model_id", "mix", "n_documents", "n_runs", "status", "reason", "const", "peak")
+
+
+#: the declared cells, and three that no run has
+ASKED = [*K.grid(), (4, 35), (4, 12.5), (9, 0)]
+
+
+def fitted_surface(spark, sf_dir):
+    out = SP.surface(cut(K.document_counts(trials(spark, sf_dir))), ASKED)
+    return rounded(out, *[c for c, t in out.dtypes if t == "double" and c != "fault_pct"], places=6)
+
+
 def p1_bootstrap(spark, sf_dir):
     p1 = A.first_decision(trials(spark, sf_dir), SNAPSHOT)
     names = [c for c in p1.boot.columns if c.startswith("boot_") or c.endswith("_fraction")]
@@ -348,6 +366,8 @@ QUERIES = {
     "p1_fit": p1_fit,
     "fit_refusals": fit_refusals,
     "fractional_logit": fractional_logit,
+    "fractional_refusals": fractional_refusals,
+    "fitted_surface": fitted_surface,
     "p1_bootstrap": p1_bootstrap,
     "p1_verdict": p1_verdict,
     "sensitivity_verdicts": sensitivity_verdicts,
@@ -390,6 +410,36 @@ select model_id, mix, n_documents, n_runs, 'not_estimable' as status,
     "fractional_logit": f"with recursive {S.TRIALS}, "
     + COUNTS.replace("count(*) filter (where success) as s", "sum(score) as s")
     + f", {FIT}, {_robust()} {_fit_select('fitted')}",
+    "fractional_refusals": f"""with {S.TRIALS}, c as (select unnest(['constant', 'unscored', 'one-document']) as cut),
+r as (select model_id, mix || '/' || cut as mix, doc_id, case cut when 'constant' then 0.5::double when 'one-document' then score end as score
+  from trials, c where {SCOPE} and (cut <> 'one-document' or doc_id = (select min(doc_id) from trials))),
+s as (select model_id, mix, count(distinct case when score is not null then doc_id end) as n_documents, count(score) as n_runs,
+  count(distinct score) as scores, sum(score) as mass from r group by all)
+select model_id, mix, n_documents, n_runs, 'not_estimable' as status, case when n_runs = 0 then 'no score'
+    when scores < 2 then 'no variation in score' else 'one document: a clustered covariance needs two or more' end as reason,
+  null::double as "const", null::double as peak from s""",
+    "fitted_surface": f"""with recursive {S.TRIALS}, {COUNTS}, {FIT}, {_robust()},
+pts as (select unnest([{', '.join(f"{{'t': {t}, 'f': {float(f)}::double}}" for t, f in ASKED)}], recursive := true)),
+pa as (select w.*, t, pts.f as pct, t - 4.0::double as x1, power(t - 4.0::double, 2) as x2, pts.f/100.0::double as x3,
+  b0 + b1*(t-4) + b2*(t-4)*(t-4) + b3*pts.f/100.0::double as eta from wald w, pts),
+pb as (select *, 1.0::double/(1.0::double+exp(-eta)) as p, b1 + 2*b2*x1 as st from pa),
+ways as (select model_id, mix, t, pct, 0 as kind, 1.0::double as q0, x1 as q1, x2 as q2, x3 as q3 from pb
+  union all select model_id, mix, t, pct, 1, {', '.join(f'p*(1-p)*({c} + (1-2*p)*st*{x})' for c, x in zip(('0', '1', '2*x1', '0'), ('1', 'x1', 'x2', 'x3'), strict=True))} from pb
+  union all select model_id, mix, t, pct, 2, {', '.join(f'p*(1-p)*({c} + (1-2*p)*b3*{x})' for c, x in zip('0001', ('1', 'x1', 'x2', 'x3'), strict=True))} from pb),
+hs as (select w.model_id, w.mix, t, pct, kind, {', '.join(f'q0*h0.d{i}+q1*h1.d{i}+q2*h2.d{i}+q3*h3.d{i} as r{i}' for i in range(4))} from ways w
+  {' '.join(f'join h{j} on h{j}.model_id = w.model_id and h{j}.mix = w.mix' for j in range(4))}),
+vs as (select hs.model_id, hs.mix, t, pct, kind, sum(power(r0*u0+r1*u1+r2*u2+r3*u3, 2)) as m from hs
+  join u on u.model_id = hs.model_id and u.mix = hs.mix group by all),
+se as (select model_id, mix, t, pct, {', '.join(f'sqrt(max(m) filter (where kind = {k})) as m{k}' for k in range(3))} from vs group by all),
+sf as (select pb.*, exists (from cnt c where c.model_id = pb.model_id and c.mix = pb.mix and c.tools = t and c.fault_pct = pct) as here,
+  {', '.join(f'{S.Z}*m{k}*sqrt((n_documents/(n_documents-1.0::double))*((n_runs-1.0::double)/(n_runs-4.0::double))) as k{k}' for k in range(3))}
+  from pb join se using (model_id, mix, t, pct))
+select model_id, mix, t as tools, pct as fault_pct, case when here then 'fitted' else 'off_grid' end as status,
+  {', '.join(f'case when here then round({e}, 6) end as {n}' for n, e in (
+      ('fitted', 'p'), ('fitted_lo', '1/(1+exp(-(eta-k0)))'), ('fitted_hi', '1/(1+exp(-(eta+k0)))'),
+      ('per_tool', 'p*(1-p)*st'), ('per_tool_lo', 'p*(1-p)*st-k1'), ('per_tool_hi', 'p*(1-p)*st+k1'),
+      ('per_fault', 'p*(1-p)*b3'), ('per_fault_lo', 'p*(1-p)*b3-k2'), ('per_fault_hi', 'p*(1-p)*b3+k2')))}
+from sf""",
     "p1_bootstrap": f"{P1_CTES} select * from bt",
     "p1_verdict": f"""{P1_CTES}
 select model_id, mix, verdict, 'mle' as estimator, round(case when cap_ok then peak end, 6) as peak,
