@@ -128,6 +128,15 @@ def graded_scores(spark, sf_dir):
     return scored.select("conv_id", "turn", "kind", F.round("score", 9).alias("score"), *fields)
 
 
+def graded_runs(spark, sf_dir):
+    """Runs graded against a gold table that lacks every eleventh conversation; every fifth turn was aborted."""
+    rows = _graded_input(spark, sf_dir).withColumn("doc_id", F.concat_ws("-", "conv_id", "turn"))
+    outcome = F.when(F.col("turn") % 5 == 4, G.ABORTED).otherwise("submitted")
+    runs = rows.select("conv_id", "turn", "doc_id", "submission", outcome.alias("outcome"))
+    graded = G.grade_runs(runs, rows.where(F.col("conv_id") % 11 != 0).select("doc_id", "gold"))
+    return graded.select("conv_id", "turn", "outcome", "grading", "success", F.round("score", 9).alias("score"))
+
+
 def transcript_features(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations")
     return X.message_features(talk, "conv_id", "turn", "role", "text")
@@ -308,6 +317,7 @@ QUERIES = {
     "normalized_texts": normalized_texts,
     "jaccard_pairs": jaccard_pairs,
     "graded_scores": graded_scores,
+    "graded_runs": graded_runs,
     "transcript_features": transcript_features,
     "transcript_hash_groups": transcript_hash_groups,
     "canonical_hashes": canonical_hashes,
@@ -395,3 +405,9 @@ from conversations group by all""",
   sum(greatest(user_id*10 - event_id % 1000, 0))::bigint as input_tokens, sum(event_id % 1000)::bigint as cache_read_tokens
 from events group by all""",
 }
+
+ORACLES["graded_runs"] = f"""select conv_id, turn, outcome, grading,
+  case when grading = 'graded' then score >= 0.8 end as success, case when grading = 'graded' then score end as score
+from (select *, case when turn % 5 = 4 then 'aborted_transport' else 'submitted' end as outcome,
+  case when turn % 5 = 4 then 'aborted' when conv_id % 11 = 0 then 'missing_gold' else 'graded' end as grading
+  from ({ORACLES['graded_scores']}))"""
