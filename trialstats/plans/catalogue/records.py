@@ -137,6 +137,31 @@ def graded_runs(spark, sf_dir):
     return graded.select("conv_id", "turn", "outcome", "grading", "success", F.round("score", 9).alias("score"))
 
 
+def regraded_runs(spark, sf_dir):
+    """Audit of graded runs: some scores were changed, some transcripts are lost or hold another record, some gold is lost."""
+    rows = _graded_input(spark, sf_dir).withColumn("run_id", F.concat_ws("-", "conv_id", "turn")).withColumn("doc_id", F.col("run_id"))
+    gold, turn, conv = rows.select("doc_id", "gold"), F.col("turn"), F.col("conv_id")
+    runs = rows.select("conv_id", "turn", "run_id", "doc_id", "submission", F.lit("submitted").alias("outcome"))
+    stored = G.grade_runs(runs, gold).withColumn("score", F.col("score") + F.when(turn % 7 == 1, 0.125).otherwise(0.0))
+    record = F.when(turn % 7 == 2, "{}").otherwise(F.to_json("submission"))
+    call = F.array(F.struct(
+        F.lit("a").alias("id"), F.lit("submit_record").alias("name"),
+        F.concat(F.lit('{"record":'), record, F.lit("}")).alias("arguments_text"), F.lit(False).alias("malformed")))
+    result = F.array(F.struct(
+        F.lit("a").alias("call_id"), F.lit("submit_record").alias("name"), F.lit("ok").alias("content"),
+        F.lit(False).alias("is_error"), F.lit(True).alias("executed"), F.lit(False).alias("model_error"),
+        F.lit(None).cast(X.FAULT).alias("fault")))
+    none = F.lit(None)
+    messages = F.array(*[F.struct(
+        F.lit(role).alias("role"), none.cast("string").alias("content"), calls.cast(f"array<{X.CALL}>").alias("tool_calls"),
+        results.cast(f"array<{X.RESULT}>").alias("tool_results"), none.cast(f"array<{X.BLOCK}>").alias("raw_blocks"),
+    ).cast(X.MESSAGE) for role, calls, results in (("assistant", call, none), ("tool", none, result))])
+    transcripts = runs.where(conv % 6 != 1).select("run_id", messages.alias("messages"))
+    kept = rows.where(conv % 11 != 0).select("doc_id", "gold")
+    return G.regrade_audit(stored, transcripts, kept).withColumns(
+        {c: F.round(c, 9) for c in ("recorded", "regraded")})
+
+
 def transcript_features(spark, sf_dir):
     talk = table(spark, sf_dir, "conversations")
     return X.message_features(talk, "conv_id", "turn", "role", "text")
@@ -318,6 +343,7 @@ QUERIES = {
     "jaccard_pairs": jaccard_pairs,
     "graded_scores": graded_scores,
     "graded_runs": graded_runs,
+    "regraded_runs": regraded_runs,
     "transcript_features": transcript_features,
     "transcript_hash_groups": transcript_hash_groups,
     "canonical_hashes": canonical_hashes,
@@ -411,3 +437,9 @@ ORACLES["graded_runs"] = f"""select conv_id, turn, outcome, grading,
 from (select *, case when turn % 5 = 4 then 'aborted_transport' else 'submitted' end as outcome,
   case when turn % 5 = 4 then 'aborted' when conv_id % 11 = 0 then 'missing_gold' else 'graded' end as grading
   from ({ORACLES['graded_scores']}))"""
+
+ORACLES["regraded_runs"] = f"""select conv_id || '-' || turn as run_id, round(score + case when turn % 7 = 1 then 0.125 else 0 end, 9) as recorded,
+  case when conv_id % 11 <> 0 then score end as regraded,
+  case when conv_id % 6 = 1 then 'missing_transcript' when conv_id % 11 = 0 then 'missing_gold'
+    when turn % 7 = 2 then 'submission_mismatch' when turn % 7 = 1 then 'score_mismatch' else 'ok' end as status
+from ({ORACLES['graded_scores']})"""
