@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 import pytest
 from pyspark.sql import Row
@@ -212,6 +214,31 @@ def test_draw_sums_do_not_depend_on_the_join(spark, monkeypatch):
     assert small.agg(F.min("c"), F.max("c")).first() == (37, 37)
 
 
+def test_draw_sums_over_ranges_of_positions(spark, monkeypatch):
+    """Several blocks, ranges, slots of groups and series of draws give what a plain loop over the indices gives."""
+    from hashlib import sha256
+
+    size, draws, snapshot = 83, 30, 'sn"ü'
+    rows = [("m", mix, f"d{i:03d}", i * k, None if i % 7 == 0 else i, k) for k, mix in enumerate("ABC") for i in range(size)]
+    rows += [("n", "A", f"d{i}", i, 1, 1) for i in range(5)] + [("n", "Z", f"d{i}", 2**50 + i, None, 1) for i in range(5)]
+    docs = spark.createDataFrame(rows, "model_id string, mix string, doc_id string, v long, w long, c long")
+    for name, value in (("BLOCK", 20), ("CHUNK", 16), ("COLUMNS", 6), ("SERIES", 12), ("BATCH", 5)):
+        monkeypatch.setattr(B, name, value)
+    monkeypatch.setattr(B, "broadcast_if_small", lambda d: d.hint("merge"))
+    got = {(r.model_id, r.mix, r.statistic, r.draw): (r.v, r.w, r.c)
+           for r in B.draw_sums(B.placed_documents(docs), ["v", "w", "c"], draws, snapshot, ["x", "y"]).collect()}
+    want = {}
+    for model, mix in {r[:2] for r in rows}:
+        own = [r[3:] for r in sorted((r for r in rows if r[:2] == (model, mix)), key=lambda r: r[2])]
+        for statistic in "xy":
+            for draw in range(draws):
+                picked = [own[int(sha256(json.dumps(["boot", snapshot, model, statistic, draw, j], separators=(",", ":")).encode())
+                                  .hexdigest()[:8], 16) % len(own)] for j in range(len(own))]
+                columns = [[x for x in c if x is not None] for c in zip(*picked, strict=True)]
+                want[model, mix, statistic, draw] = tuple(sum(c) if c else None for c in columns)
+    assert got == want
+
+
 def test_readings(spark):
     runs = spark.createDataFrame([(0.75, False, "x", "submitted"), (None, None, "unparseable_model_output", "aborted_transport")],
                                  "score double, success boolean, abort_cause string, outcome string")

@@ -1,15 +1,19 @@
 """Cluster bootstraps: documents are drawn with replacement by hashed indices.
 
-Nothing is resampled row by row. Each drawn index joins one row of per-document counts, and the
-counts are summed per draw.
+Nothing is resampled row by row. The positions of a draw are packed by range of positions; a range of them meets the
+per-document counts of that range, and the counts are summed per draw.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, IntegralType
+from pyspark.sql.window import Window
 
 from trialstats.functions import draws as D
 from trialstats.functions.intervals import order_limits, peak_draw, sorted_draws
@@ -18,39 +22,30 @@ from trialstats.operators.counts import count_columns
 from trialstats.operators.fit import COEFS, refit
 from trialstats.plans.scale import broadcast_if_small, positions
 from trialstats.rules import Rules
-from trialstats.session import parallelism
-
-
+from trialstats.session import cut, parallelism
 
 KEYS = ("model_id", "size", "statistic", "draw")
 #: positions that are drawn together; a longer draw is spread over several tasks
-BLOCK = 65_536
+BLOCK = 1_048_576
+#: positions that are summed together (their offsets fit two bytes), columns of all groups beside them, and draws
+CHUNK, COLUMNS, SERIES = 16_384, 512, 2_000
+#: draws that are multiplied at a time
+BATCH = 128
 
 
-def _index_blocks(
-    sizes: DataFrame, draws: int, snapshot_id: str, statistics: Sequence[str]
-) -> DataFrame:
-    """Drawn positions with the block of the draw that they were made in."""
-    spark = sizes.sparkSession
+def _blocks(sizes: DataFrame, draws: int, snapshot_id: str, statistics: Sequence[str]) -> DataFrame:
+    """One row per draw and block of it, with the payload up to the index, which is the same for a whole draw."""
     last = F.floor((F.col("size") - 1) / BLOCK).cast("bigint")
-    drawn = (
-        sizes.select("model_id", "size", F.explode(F.lit(list(statistics))).alias("statistic"))
-        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
-        .repartition(parallelism(spark), *KEYS, "_block")
-    )
-    # the payload up to the index is the same for a whole draw, so it is built once per draw
     head = F.concat(
         F.lit('["boot",'), D.json_string(F.lit(snapshot_id)), F.lit(","), D.json_string("model_id"),
         F.lit(","), D.json_string("statistic"), F.lit(","), D.number("draw"), F.lit(","),
     )
-    first = F.col("_block") * BLOCK
-    rows = drawn.withColumn("_head", head).withColumn(
-        "j", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1)))
-    hashed = D.u32_of(F.sha2(F.concat("_head", D.number("j"), F.lit("]")), 256))
-    # never null: without the default the join would filter on the hash and compute it twice
-    pos = F.coalesce(hashed, F.lit(0).cast("bigint")) % F.col("size")
-    return rows.select(*KEYS, "_block", "j", F.coalesce(pos, F.lit(0).cast("bigint")).alias("pos"))
+    return (
+        sizes.select("model_id", "size", F.explode(F.lit(list(statistics))).alias("statistic"))
+        .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        .repartition(parallelism(sizes.sparkSession), *KEYS, "_block").withColumn("_head", head)
+    )
 
 
 def resample_index(
@@ -59,7 +54,66 @@ def resample_index(
     """(model_id, size, statistic, draw, j, pos) for every draw; ``sizes`` has one row per model
     and population size. Draws and their blocks are spread over the tasks, so neither one model nor one
     large population sits in one task."""
-    return _index_blocks(sizes, draws, snapshot_id, statistics).drop("_block")
+    return _positions(_blocks(sizes, draws, snapshot_id, statistics)).select(*KEYS, "j", "pos")
+
+
+def _positions(blocks: DataFrame) -> DataFrame:
+    """A row per drawn index: the first 32 bits of its payload's digest, modulo the size."""
+    first = F.col("_block") * BLOCK
+    rows = blocks.withColumn("j", F.explode(F.sequence(first, F.least(first + BLOCK, F.col("size")) - 1)))
+    hashed = D.u32_of(F.sha2(F.concat("_head", D.number("j"), F.lit("]")), 256))
+    # never null: without the default the join would filter on the hash and compute it twice
+    pos = F.coalesce(hashed, F.lit(0).cast("bigint")) % F.col("size")
+    return rows.withColumn("pos", F.coalesce(pos, F.lit(0).cast("bigint"))).drop("_head")
+
+
+def _packed(blocks: DataFrame) -> DataFrame:
+    """Drawn offsets inside each range of positions, two bytes each: one row per draw, block and range."""
+    keys = ["model_id", "size", "statistic", "draw", "_series"]
+    # rows of a block stay together, so a block is over where its number changes
+    drawn = _positions(blocks.withColumn("_unit", F.monotonically_increasing_id())).select(*keys, "_unit", "pos")
+    schema = drawn.select(*keys).schema.add("_chunk", "long").add("_at", "binary")
+    chunk = CHUNK
+
+    def packed(head: dict, pieces: list[np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
+        pos = np.sort(np.concatenate(pieces))
+        own, starts = np.unique(pos // chunk, return_index=True)
+        offsets = np.split((pos % chunk).astype("<u2"), starts[1:])
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array([head[k]] * len(own), t) for k, t in zip(keys, types, strict=True)), pa.array(own, pa.int64()),
+             pa.array([o.tobytes() for o in offsets], pa.binary())], names=[*keys, "_chunk", "_at"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, head, pieces, types = None, {}, [], []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            units, pos = batch["_unit"].to_numpy(), batch["pos"].to_numpy()
+            types = [batch.schema.field(k).type for k in keys]
+            edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
+            for start, stop in zip(edges[:-1], edges[1:], strict=True):
+                if units[start] != unit:
+                    if pieces:
+                        yield packed(head, pieces, types)
+                    unit, head, pieces = units[start], batch.select(keys).slice(start, 1).to_pylist()[0], []
+                pieces.append(pos[start:stop].copy())
+        if pieces:
+            yield packed(head, pieces, types)
+
+    return drawn.mapInArrow(run, schema)
+
+
+def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values with zero for null, and which are there."""
+    return column.fill_null(0).to_numpy(), column.is_valid().to_numpy()
+
+
+def _product(weights: np.ndarray, values: np.ndarray, whole: bool) -> np.ndarray:
+    """Weighted sums; whole numbers stay exact, in 64 bits where doubles could round."""
+    most = float(weights.sum(axis=1).max()) * float(np.abs(values.astype(float)).max(initial=0))
+    if whole and most >= 2.0**53:
+        return weights.astype(np.int64) @ values
+    return weights @ values.astype(float)
 
 
 def multiplicities(index: DataFrame) -> DataFrame:
@@ -82,23 +136,74 @@ def draw_sums(
     statistics: Sequence[str],
     g: Sequence[str] = G,
 ) -> DataFrame:
-    """Sums of ``values`` over the documents of every draw, per group and statistic.
+    """Sums of ``values`` (whole numbers or doubles) over the documents of every draw, per group and statistic.
 
-    Groups of one model and size share their indices, so those are hashed once. A document table
-    of proven small size is broadcast; then each block of a draw is summed in its task and only those sums
-    move. A larger table is joined on its position.
+    Groups of one model and size share their indices, so those are hashed once. A task sums one range of positions, of
+    as many groups as fill ``COLUMNS`` columns, over at most ``SERIES`` draws of a statistic: its memory depends on none of the
+    tables, and what moves is two bytes per drawn index.
     """
-    sizes = placed.select("model_id", "size").distinct()
-    # counts per block need no merging here: their sums add up
-    weights = _index_blocks(sizes, draws, snapshot_id, statistics).groupBy(*KEYS, "_block", "pos").agg(
-        F.count(F.lit(1)).alias("w"))
-    lookup = broadcast_if_small(placed.select(*g, "size", "pos", *values))
-    return (
-        weights.join(lookup, ["model_id", "size", "pos"])
-        .groupBy(*g, "size", "statistic", "draw")
-        .agg(*[F.sum(F.col(v) * F.col("w")).alias(v) for v in values])
-        .drop("size")
-    )
+    whole = all(isinstance(placed.schema[v].dataType, IntegralType) for v in values)
+    if not whole and not all(isinstance(placed.schema[v].dataType, (IntegralType, DoubleType, FloatType)) for v in values):
+        raise TypeError("draws are summed over whole numbers or doubles")
+    slot, series = max(1, COLUMNS // len(values)), -(-draws // SERIES)
+    groups = cut(placed.where(F.col("model_id").isNotNull()).select(*g, "size").distinct())
+    sizes = groups.select("model_id", "size").distinct()
+    # one row per group: the groups of one model and size are dealt into slots
+    numbered = groups.withColumn("_n", F.row_number().over(Window.partitionBy("model_id", "size").orderBy(*g)) - 1)
+    numbered = cut(numbered.select(
+        *[F.col(c).alias(f"_g_{c}") for c in g], "size", (F.col("_n") % slot).alias("_group"), F.floor(F.col("_n") / slot).alias("_slot")))
+    slots = numbered.groupBy(F.col("_g_model_id").alias("model_id"), "size").agg(F.max("_slot").alias("_last"))
+    on = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in g]
+    each = F.explode(F.sequence(F.lit(0), F.lit(len(statistics) * series - 1)))
+    docs = placed.join(broadcast_if_small(numbered.drop("size")), on).select(
+        *g, "size", "_slot", "_group", each.alias("_series"), F.floor(F.col("pos") / CHUNK).alias("_chunk"),
+        (F.col("pos") % CHUNK).alias("_at"), *values)
+    order = F.array_position(F.lit(list(statistics)), F.col("statistic")).cast("int") - 1
+    blocks = _blocks(sizes, draws, snapshot_id, statistics).withColumn(
+        "_series", order * series + F.floor(F.col("draw") / SERIES).cast("int"))
+    drawn = _packed(blocks).join(broadcast_if_small(slots), ["model_id", "size"]).withColumn(
+        "_slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last")))).drop("_last")
+    schema = docs.select(*g).schema.add("statistic", "string").add("draw", "integer")
+    for v in values:
+        schema = schema.add(v, "long" if whole else "double")
+    names, chunk, batch = list(values), CHUNK, BATCH
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        types = [right.schema.field(c).type for c in g]
+        kind, dtype = (pa.int64(), np.int64) if whole else (pa.float64(), np.float64)
+        kinds = [*types, pa.string(), pa.int32(), *[kind] * len(names)]
+        labels = [*g, "statistic", "draw", *names]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=labels)
+        at, which = right["_at"].to_numpy(), right["_group"].to_numpy()
+        here, first, which = np.unique(which, return_index=True, return_inverse=True)
+        there = np.zeros((chunk, len(here), len(names)), dtype)
+        known = np.zeros((chunk, len(here), len(names)), bool)
+        for i, v in enumerate(names):
+            there[at, which, i], known[at, which, i] = _numbers(right[v])
+        there = there.reshape(chunk, -1)
+        gaps = int(known.sum()) < len(at) * len(names)
+        place = np.zeros((chunk, len(here)))
+        place[at, which] = 1.0
+        owners = right.select(list(g)).take(pa.array(first))
+        parts = []
+        for start in range(0, left.num_rows, batch):
+            rows = left.slice(start, batch)
+            weights = np.stack([
+                np.bincount(np.frombuffer(b, "<u2"), minlength=chunk) for b in rows["_at"].to_pylist()]).astype(float)
+            sums = _product(weights, there, whole).reshape(len(weights), len(here), -1)
+            seen = (weights @ place) > 0
+            null = (weights @ known.reshape(chunk, -1).astype(float)).reshape(sums.shape) == 0 if gaps else None
+            r, k = np.nonzero(seen)
+            columns = [owners[c].take(pa.array(k)).combine_chunks() for c in g]
+            columns += [rows[c].take(pa.array(r)).combine_chunks() for c in ("statistic", "draw")]
+            columns += [pa.array(sums[r, k, i].astype(dtype), kind, mask=null[r, k, i] if gaps else None) for i in range(len(names))]
+            parts.append(pa.table(columns, names=labels))
+        return pa.concat_tables(parts)
+
+    keys = ["model_id", "size", "_chunk", "_slot", "_series"]
+    sums = drawn.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInArrow(run, schema)
+    return sums.groupBy(*g, "statistic", "draw").agg(*[F.sum(v).alias(v) for v in values])
 
 
 def regression_draws(
