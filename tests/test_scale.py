@@ -72,3 +72,13 @@ def test_broadcast_only_when_small(spark):
     big, small = spark.range(1000), spark.range(10)
     hinted = lambda d: "broadcast" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(SC.broadcast_if_small(small, 100)) and not hinted(SC.broadcast_if_small(big, 100))
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path, monkeypatch):
+    from trialstats.sources import adapters
+
+    spark.range(5000).coalesce(1).write.parquet(f"{tmp_path}/t.parquet")
+    monkeypatch.setattr(adapters, "SPREAD_ROWS", 100)
+    dealt = adapters.spread(adapters.table(spark, str(tmp_path), "t"))
+    sizes = dealt.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 5000 and max(r["count"] for r in sizes) <= 150

@@ -23,12 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: rows of an input that one task takes
+SPREAD_ROWS = 250_000
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a share when the input has fewer splits than the cluster has cores.
+    """Give every core a share, of ``SPREAD_ROWS`` rows at most, when the input has fewer splits than that takes.
 
-    Such an input is at most one split per core; larger ones are left alone, so they are never shuffled here.
+    The rows are counted from the file's footers, so a task's share does not grow with the input.
     """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // SPREAD_ROWS))
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
