@@ -122,3 +122,21 @@ def test_garble_matches_its_definition(spark):
     got = FL.garble(df, "t", (5, D.number("i")), "g").collect()
     for r in got:
         assert r.g == brute_garble(r.t, (5, r.i))
+
+
+def test_garbled_payloads_follow_their_sql_where_the_corruption_is_json(spark, tmp_path):
+    import duckdb
+
+    from trialstats.plans.catalogue import design as Q
+
+    talk = spark.range(400).select(
+        F.col("id").alias("conv_id"), F.lit(3).alias("turn"), F.lit("user").alias("role"),
+        F.when(F.col("id") % 2 == 0, "ab").otherwise("xy z").alias("text"))
+    talk.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: r.garbled for r in Q.garbled_payloads(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert got == {r[0]: r[2] for r in con.execute(Q.ORACLES["garbled_payloads"]).fetchall()}
+    assert any(t.isdigit() for t in got.values())
+    guarded = FL.garble(talk, "text", (7, D.number("conv_id")), "garbled")
+    assert guarded.where(FL.parses_as_json(F.col("garbled"))).isEmpty()

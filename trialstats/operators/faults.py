@@ -86,10 +86,15 @@ def parses_as_json(text: Column) -> Column:
 
 
 def garble(df: DataFrame, text: str, key: tuple, out: str, design: Design = Design()) -> DataFrame:
-    """Corrupt a text column: replace a hashed share of its characters and cut it at a hashed point.
+    """``corrupt`` a text column; the result is then made to differ from any JSON value and from the original."""
+    return never_json(corrupt(df, text, key, out, design), text, out)
 
-    ``key`` identifies the call. The result is made to differ from any JSON value and from the
-    original. The per-character draws are one array column, so each is hashed once.
+
+def corrupt(df: DataFrame, text: str, key: tuple, out: str, design: Design = Design()) -> DataFrame:
+    """Replace a hashed share of a text's characters and cut it at a hashed point.
+
+    ``key`` identifies the call. The per-character draws are one array column, so each is hashed once. In rare cases what is
+    left is a JSON value, as when both ends become quotes.
     """
     size = len(ALPHABET)
 
@@ -125,8 +130,7 @@ def garble(df: DataFrame, text: str, key: tuple, out: str, design: Design = Desi
     first = F.coalesce(F.try_element_at("_hits", F.lit(1)), F.col("_keep"))
     long = F.concat(F.substr(original, F.lit(1), first), F.array_join(pieces, ""))
     short = substitute(F.substring(original, 1, 1), F.lit(0))
-    corrupted = marked.withColumn(out, F.when(n <= 1, short).otherwise(long)).drop("_hits", "_keep")
-    return never_json(corrupted, text, out)
+    return marked.withColumn(out, F.when(n <= 1, short).otherwise(long)).drop("_hits", "_keep")
 
 
 def never_json(df: DataFrame, original: str, corrupted: str) -> DataFrame:
