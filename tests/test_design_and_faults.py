@@ -140,3 +140,13 @@ def test_garbled_payloads_follow_their_sql_where_the_corruption_is_json(spark, t
     assert any(t.isdigit() for t in got.values())
     guarded = FL.garble(talk, "text", (7, D.number("conv_id")), "garbled")
     assert guarded.where(FL.parses_as_json(F.col("garbled"))).isEmpty()
+
+
+def test_plans_are_not_broadcast(spark, capsys):
+    """A plan is exploded from few documents, so its size is underrated by the planner."""
+    plan = P.sweep_plan(P.hashed_permutation(docs(spark, 40), ["m"]), Design())
+    for joined in (P.drift(plan, plan), P.not_recorded(plan, plan)):
+        joined.explain()
+        shown = capsys.readouterr().out
+        # the offsets of the permutation may be broadcast, the plans not
+        assert "SortMergeJoin [run_id" in shown

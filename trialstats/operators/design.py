@@ -129,12 +129,15 @@ def expand(
     per_doc = F.col("size") * design.epochs
     limit = F.lit(n_runs).cast("bigint") if n_runs is not None else F.when(
         F.col("_cell.tools") == 1, F.lit(design.rung1_runs)).otherwise(per_doc)
-    last = F.ceil(limit / F.col("size")) - 1
+    most = F.lit(n_runs).cast("bigint") if n_runs is not None else F.greatest(F.lit(design.rung1_runs).cast("bigint"), per_doc)
+    last = F.ceil(most / F.col("size")) - 1
+    # all cells share the seed of an index, so it is drawn before they part
     rows = (
-        permutation.withColumn("mix", F.explode(F.lit(list(mixes))))
-        .withColumn("_cell", F.explode(axis))
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+        permutation.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         .withColumn("index", F.col("epoch") * F.col("size") + F.col("pos"))
+        .withColumn("_seed", D.seed64("sample", design.root_seed, D.json_string("model_id"), D.number("index")))
+        .withColumn("mix", F.explode(F.lit(list(mixes))))
+        .withColumn("_cell", F.explode(axis))
         .where(F.col("index") < limit)
     )
     if reruns is not None:
@@ -142,8 +145,7 @@ def expand(
     rerun = F.col("rerun") if reruns is not None else F.lit(None).cast("int")
     offset = rerun if vary_seed else F.lit(None).cast("int")
     seed_parts = (design.root_seed, D.json_string("model_id"), D.number("index"))
-    seed = D.seed64("sample", *seed_parts, "varied", D.number(rerun)) if vary_seed else D.seed64(
-        "sample", *seed_parts)
+    seed = D.seed64("sample", *seed_parts, "varied", D.number(rerun)) if vary_seed else F.col("_seed")
     ident = run_id(
         F.col("model_id"), F.col("mix"), F.col("_cell.tools"), F.col("_cell.fault_pct"),
         F.col("index"), F.lit(phase), offset if vary_seed else None,
@@ -236,12 +238,15 @@ def only_cells(plan: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def not_recorded(plan: DataFrame, recorded: DataFrame) -> DataFrame:
-    """Planned runs without a recorded row."""
-    return plan.join(recorded.select("run_id"), "run_id", "left_anti")
+    """Planned runs without a recorded row. Neither side is broadcast: the planner takes an exploded plan for a small table."""
+    return plan.join(recorded.select("run_id").hint("merge"), "run_id", "left_anti")
 
 
 def drift(runs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Recorded runs that the plan does not reproduce, with the reason."""
+    """Recorded runs that the plan does not reproduce, with the reason.
+
+    The plan is never broadcast: the planner takes an exploded table for a small one.
+    """
     p = plan.select("run_id", F.col("doc_id").alias("_doc"), F.col("sample_seed").alias("_seed"))
     why = (
         F.when(F.col("_doc").isNull(), "run_id")
@@ -249,7 +254,7 @@ def drift(runs: DataFrame, plan: DataFrame) -> DataFrame:
         .when(~F.col("sample_seed").eqNullSafe(F.col("_seed")), "seed")
     )
     return (
-        runs.select("run_id", "doc_id", "sample_seed").join(p, "run_id", "left")
+        runs.select("run_id", "doc_id", "sample_seed").join(p.hint("merge"), "run_id", "left")
         .withColumn("differs", why).where("differs is not null").drop("_doc", "_seed")
     )
 
