@@ -134,12 +134,23 @@ def spend_alerts(priced: DataFrame, cap_usd: float, table: str, checkpoint: str,
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State of the streams started from here on lies in RocksDB, not in the heap of the executors."""
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKSDB:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+
+
+#: rows of a model that are held before those beyond the stop line are let go
+HELD = 50_000
+
+
 class SpendLedger(StatefulProcessor):
     """Spend and runs of a model so far, and whether a run was refused: one short row of state per model.
 
     A run is refused if what was spent and the mean cost so far come above the stop line; the first refusal is given out once.
-    Rows of a trigger are taken in the order of their names (two columns of them are held for a model), later triggers
-    come after earlier ones.
+    Rows of a trigger are taken in the order of their names, later triggers come after earlier ones. Of a trigger's rows
+    only those are held that the line can afford: a row with more than the line spent before it comes after the refusal,
+    whatever else arrives.
     """
 
     def __init__(self, line: float):
@@ -152,7 +163,16 @@ class SpendLedger(StatefulProcessor):
         spent, runs, refused = self.ledger.get() if self.ledger.exists() else (Decimal(0), 0, False)
         if refused:
             return
-        batch = pd.concat([r[["run_id", "cost_usd"]] for r in rows]).sort_values("run_id", kind="stable")
+        batch, most, gone = None, HELD, False
+        for r in rows:
+            if gone and any(c is not None and c < 0 for c in r["cost_usd"]):
+                raise ValueError("a negative cost arrived after rows beyond the stop line were let go")
+            batch = pd.concat([batch, r[["run_id", "cost_usd"]]]) if batch is not None else r[["run_id", "cost_usd"]]
+            if len(batch) > most:
+                kept = self.affordable(batch, spent)
+                gone, batch = gone or len(kept) < len(batch), kept
+                most = 2 * len(batch) + HELD
+        batch = batch.sort_values("run_id", kind="stable")
         for run_id, cost in zip(batch["run_id"], batch["cost_usd"], strict=True):
             if float(spent) + (float(spent) / runs if runs else 0.0) > self.line:
                 refused = True
@@ -162,15 +182,25 @@ class SpendLedger(StatefulProcessor):
             spent, runs = spent + (Decimal(0) if cost is None else cost), runs + 1
         self.ledger.update((spent, runs, refused))
 
+    def affordable(self, batch: pd.DataFrame, spent: Decimal) -> pd.DataFrame:
+        """Rows in order up to the first with more than the line spent before it; all of them if a cost is negative."""
+        batch = batch.sort_values("run_id", kind="stable")
+        costs = [Decimal(0) if c is None else c for c in batch["cost_usd"]]
+        if min(costs) < 0:
+            return batch
+        for n, cost in enumerate(costs, 1):
+            if float(spent) > self.line:
+                return batch.iloc[:n].copy()
+            spent += cost
+        return batch
+
     def close(self) -> None:
         pass
 
 
 def spend_stops(priced: DataFrame, cap_usd: float, table: str, checkpoint: str, stop_at: float = 0.95):
     """The first run of each model that the stop rule refuses, in a folder per batch: a repeated batch replaces its own."""
-    spark = priced.sparkSession
-    if spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != _ROCKSDB:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    keep_state_on_disk(priced.sparkSession)
     rows = priced.select("model_id", "run_id", F.col("cost_usd").cast("decimal(38,12)").alias("cost_usd"))
     stops = rows.groupBy("model_id").transformWithStateInPandas(
         SpendLedger(stop_at * cap_usd), "model_id string, stopped_at string, started bigint, spent_usd double", "Append", "None")
