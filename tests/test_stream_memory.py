@@ -78,3 +78,14 @@ def test_a_negative_cost_lets_no_row_go(monkeypatch):
     ledger, _ = _ledger(2.0)
     out = [tuple(f.iloc[0])[1:] for f in ledger.handleInputRows(("m",), _frames(costs, 50), None)]
     assert out == [_plain(costs, 2.0)]
+
+
+def test_ids_of_a_stream_are_kept_on_disk(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        J.once_per_id(spark.readStream.format("rate").load().selectExpr("cast(value as string) as run_id"))
+        assert spark.conf.get(name).endswith("RocksDBStateStoreProvider")
+    finally:
+        spark.conf.set(name, before)

@@ -41,7 +41,9 @@ def damaged_lines(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def once_per_id(rows: DataFrame, time: str | None = None, late: str = LATE) -> DataFrame:
-    """Each run id once. With an ingest-time column the state is bounded by the watermark."""
+    """Each run id once. With an ingest-time column the state is bounded by the watermark; without one it holds every id,
+    on disk."""
+    keep_state_on_disk(rows.sparkSession)
     if time is None:
         return rows.dropDuplicates(["run_id"])
     return rows.withWatermark(time, late).dropDuplicatesWithinWatermark(["run_id"])
