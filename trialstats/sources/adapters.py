@@ -91,15 +91,11 @@ def derive_trials(spark: SparkSession, sf_dir: str, design: Design = Design()) -
         draws.number("epoch"),
     )
     rate = F.col("fault_pct") / F.lit(100.0)
-    base = base.withColumns(
-        {f"_hit_{i}": draws.unit("fault", *call_key, i) < rate for i in range(CALLS)}
-    )
-    hits = [F.col(f"_hit_{i}") for i in range(CALLS)]
+    # the calls of a row are one array: a column for each would make a method too long for the JIT
+    hit = lambda i: draws.unit("fault", *call_key, draws.number(i)) < rate
+    base = base.withColumn("_hits", F.transform(F.lit(list(range(CALLS))), hit))
     # one kind draw per row: that of the first call that was hit
-    first_call = F.lit(None).cast("int")
-    for i in reversed(range(CALLS)):
-        first_call = F.when(hits[i], F.lit(i)).otherwise(first_call)
-    base = base.withColumn("_first", first_call).withColumn(
+    base = base.withColumn("_first", F.nullif(F.array_position("_hits", True), F.lit(0)) - 1).withColumn(
         "_kind_u", draws.unit("kind", *call_key, draws.number("_first")))
     first_kind = draws.choice_weighted(F.col("_kind_u"), design.fault_kinds, design.fault_weights)
     first_kind = F.when(F.col("_first").isNotNull(), first_kind)
@@ -108,11 +104,11 @@ def derive_trials(spark: SparkSession, sf_dir: str, design: Design = Design()) -
         F.lit(1.6) - F.lit(0.6) * tc - F.lit(0.6) * tc * tc
         - F.lit(3.0) * F.col("fault_pct") / F.lit(100.0)
     )
-    hit = (F.col("tools") >= 2) & (F.col("u") < sigmoid(eta))
+    solved = (F.col("tools") >= 2) & (F.col("u") < sigmoid(eta))
     graded = F.col("u_abort") >= 0.01
-    n_faults = sum((h.cast("int") for h in hits[1:]), hits[0].cast("int"))
+    n_faults = F.size(F.filter("_hits", lambda h: h))
     good = F.when(F.col("_quality") == 0, 0.8).when(F.col("_quality") == 1, 0.9).otherwise(1.0)
-    score = F.when(hit, good).otherwise(F.round(F.col("l_tax") * 9, 2))
+    score = F.when(solved, good).otherwise(F.round(F.col("l_tax") * 9, 2))
     return (
         base.withColumn("n_faults", n_faults)
         .withColumn("first_fault_kind", first_kind)
@@ -136,5 +132,5 @@ def derive_trials(spark: SparkSession, sf_dir: str, design: Design = Design()) -
         .withColumn("output_tokens", F.col("_order") % 300 + 20)
         .withColumn("cache_read_tokens", F.col("_order") % 4000)
         .withColumn("cache_write_tokens", F.col("_order") % 800)
-        .drop("_quality", "l_tax", "_order", "_first", "_kind_u", *[f"_hit_{i}" for i in range(CALLS)])
+        .drop("_quality", "l_tax", "_order", "_first", "_kind_u", "_hits")
     )
