@@ -30,3 +30,55 @@ def test_trials_are_derived_by_methods_that_the_jit_compiles(spark, capsys):
             spark.conf.set(k, v)
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
     assert sizes and max(sizes) <= 8000
+
+
+def test_ranges_rise_with_the_order_and_hold_every_row(spark):
+    df = spark.range(20_000).select(
+        F.when(F.col("id") % 5 == 0, None).otherwise(F.concat(F.lit("k"), F.col("id") % 3)).alias("k"),
+        F.when(F.col("id") % 997 == 0, None).otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("o"))
+    parts = SC.split(df, ["k"], "o", 20_000).groupBy("k", "_range").agg(
+        F.count("*").alias("n"), F.min("o").alias("lo"), F.max("o").alias("hi")).orderBy("k", "_range").collect()
+    assert sum(p.n for p in parts) == 20_000 and max(p.n for p in parts) < 1000
+    assert all(a.hi < b.lo for a, b in zip(parts, parts[1:]) if a.k == b.k and a.hi)
+
+
+@pytest.mark.parametrize("line", [-1.0, 0.0, 3.0, 40.0, 900.0, 10.0**6])
+def test_spend_cutoff_equals_the_rule_run_by_run(spark, line):
+    u = (F.pmod(F.xxhash64("id"), F.lit(1000)) - 200) / 1000  # a fifth of the costs is negative
+    runs = spark.range(6000).select(
+        F.when(F.col("id") % 7 == 0, None).otherwise(F.concat(F.lit("m"), F.col("id") % 2)).alias("model_id"),
+        F.sha2(F.col("id").cast("string"), 256).alias("run_id"),
+        F.when(F.col("id") % 11 != 0, u).cast("decimal(20,6)").alias("cost_usd"))
+    got = {r.model_id: r for r in M.spend_cutoff(runs, line, "run_id", 50).collect()}
+    w = Window.partitionBy("model_id").orderBy("run_id")
+    seen = {}
+    for r in runs.withColumn("k", F.row_number().over(w)).orderBy("model_id", "k").collect():
+        seen.setdefault(r.model_id, []).append(r)
+    assert set(got) == set(seen)
+    for model, rows in seen.items():
+        spent, at = Decimal(0), None
+        for k, r in enumerate(rows):
+            if float(spent) + (float(spent) / k if k else 0.0) > M.STOP_AT * line:
+                at = r.run_id
+                break
+            spent += r.cost_usd or 0
+        g = got[model]
+        assert (g.stopped_at, g.runs, g.started) == (at, len(rows), k if at else len(rows))
+        assert g.spent_usd == pytest.approx(float(spent))
+
+
+def test_spend_cutoff_walks_only_runs_near_the_line(spark, monkeypatch):
+    runs = spark.range(50_000).select(
+        F.lit("m").alias("model_id"), F.sha2(F.col("id").cast("string"), 256).alias("run_id"), F.lit(Decimal("0.01")).alias("cost_usd"))
+    walked, plain = [], M.running_before
+    monkeypatch.setattr(M, "running_before", lambda df, *a: walked.append(df.count()) or plain(df, *a))
+    r = M.spend_cutoff(runs, 20.0, "run_id", 500).first()
+    assert (r.runs, r.started) == (50_000, 1900) and walked[0] <= 500
+
+
+def test_runs_are_priced_where_they_lie(spark):
+    prices = spark.createDataFrame([("m", 1.0, 1.0, 1.0, 1.0)], "model_id string, input double, output double, cache_read double, cache_write double")
+    runs = spark.range(5000, numPartitions=5).select(F.lit("m").alias("model_id"), *[F.col("id").alias(f"{u}_tokens") for u in M.USAGE])
+    priced = M.price_runs(runs, prices)
+    assert priced.groupBy(F.spark_partition_id()).count().count() == 5  # a model's runs are not gathered in one task
+    assert priced.agg(F.sum("cost_usd")).first()[0] == 4 * sum(range(5000))
