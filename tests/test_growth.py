@@ -82,3 +82,10 @@ def test_runs_are_priced_where_they_lie(spark):
     priced = M.price_runs(runs, prices)
     assert priced.groupBy(F.spark_partition_id()).count().count() == 5  # a model's runs are not gathered in one task
     assert priced.agg(F.sum("cost_usd")).first()[0] == 4 * sum(range(5000))
+
+
+def test_refusals_count_each_run_once(spark, monkeypatch):
+    given, plain = [], K.score_counts
+    monkeypatch.setattr(K, "score_counts", lambda runs, *a: given.append(runs.count()) or plain(runs, *a))
+    inference.fractional_refusals(spark, SF)
+    assert given == [adapters.trials(spark, SF).count()]

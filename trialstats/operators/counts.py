@@ -47,11 +47,11 @@ def document_counts(runs: DataFrame, rules: Rules = Rules(), g: Sequence[str] =
 
 
 def score_counts(runs: DataFrame, rules: Rules = Rules(), g: Sequence[str] = G) -> DataFrame:
-    """Score mass, scored runs, least and largest score per group, document and in-scope cell."""
+    """Score mass, scored runs, least and largest score and all runs per group, document and in-scope cell."""
     score = F.col("score").cast("decimal(18,12)")
     return sweep_rows(runs).where(p1_scope(rules)).groupBy(*g, "doc_id", *CELL).agg(
         F.coalesce(F.sum(score), F.lit(0)).cast("double").alias("s"), F.count("score").alias("n"),
-        F.min(score).alias("score_lo"), F.max(score).alias("score_hi"))
+        F.min(score).alias("score_lo"), F.max(score).alias("score_hi"), F.count(F.lit(1)).alias("runs"))
 
 
 def wide_counts(

@@ -82,14 +82,22 @@ def fractional_logit(spark, sf_dir):
 
 
 def fractional_refusals(spark, sf_dir):
-    """Status and reason of groups whose score tells nothing: constant, unknown, of one document."""
+    """Status and reason of groups whose score tells nothing: constant, unknown, of one document.
+
+    The runs are counted once; the three readings are made of the counts.
+    """
     t = trials(spark, sf_dir)
     first = F.lit(t.agg(F.min("doc_id")).scalar())
-    cuts = {"constant": F.lit(True), "unscored": F.lit(True), "one-document": F.col("doc_id") == first}
-    label = F.explode(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in cuts.items()))))
-    runs = t.withColumn("_cut", label).withColumn("mix", F.concat_ws("/", "mix", "_cut"))
-    score = F.when(F.col("_cut") == "constant", 0.5).when(F.col("_cut") == "one-document", F.col("score"))
-    out = SP.fractional_logit(cut(K.score_counts(runs.withColumn("score", score))))
+    c = K.score_counts(t)
+    half, none = F.lit(0.5).cast(c.schema["score_lo"].dataType), F.lit(None).cast(c.schema["score_lo"].dataType)
+    reading = lambda cut_, s, n, lo, hi: F.struct(
+        F.lit(cut_).alias("_cut"), s.alias("s"), n.alias("n"), lo.alias("score_lo"), hi.alias("score_hi"))
+    readings = F.array_compact(F.array(
+        reading("constant", F.col("runs") * 0.5, F.col("runs"), half, half),
+        reading("unscored", F.lit(0.0), F.lit(0).cast("bigint"), none, none),
+        F.when(F.col("doc_id") == first, reading("one-document", F.col("s"), F.col("n"), F.col("score_lo"), F.col("score_hi")))))
+    counts = c.select("model_id", "mix", "doc_id", *C.CELL, F.inline(readings)).withColumn("mix", F.concat_ws("/", "mix", "_cut"))
+    out = SP.fractional_logit(cut(counts.drop("_cut")))
     return out.select("model_id", "mix", "n_documents", "n_runs", "status", "reason", "const", "peak")
 
 
