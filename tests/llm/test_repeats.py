@@ -80,6 +80,24 @@ def test_suffix_order_and_factors_against_definitions():
             max((lcp(x, y) for y in range(x + 1, n)), default=0) for x in range(n)]
 
 
+def test_only_suffixes_that_equal_another_are_sorted_again(monkeypatch):
+    random.seed(4)
+    data = np.array([random.randrange(256) for _ in range(5000)] * 2 + [0, 0, 256])
+    sorted_, plain_sort = [], R.np.argsort
+    monkeypatch.setattr(R, "np", type("Counting", (), {"__getattr__": lambda _, name: (
+        lambda x, **k: sorted_.append(len(x)) or plain_sort(x, **k)) if name == "argsort" else getattr(np, name)})())
+    order, common = R.suffix_order(data, 400)
+    assert sorted_[0] == len(data) and sum(sorted_) < 9 * len(data)
+    random_part, sorted_[:] = R.suffix_order(data[5000:], 400), []
+    R.suffix_order(data[5000:], 400)
+    assert len(sorted_) > 1 and sum(sorted_[1:]) < 100  # hardly anything is equal beyond seven values
+    text = data.astype(np.uint16).astype(">u2").tobytes()
+    assert random_part[0].tolist() == sorted(range(5003), key=lambda k: text[10000 + 2 * k:])
+    for least in (0, 400):
+        factors = R.previous_factors(order, common, least_asked=least)
+        assert (factors >= 400).tolist() == [5000 <= k <= 9600 for k in range(len(data))]
+
+
 def test_equal_windows_share_their_anchor():
     random.seed(3)
     shared = bytes(random.choice(b"abc ") for _ in range(900))
