@@ -9,8 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types
 
-# Fixed value: the characters that count as white space.
-SPACE = r"[\t-\r\x1c-\x1f \x85\xa0  -     　]"
+# Fixed value: the characters that count as white space. Plain string functions over them take a fraction of the time
+# of regular expressions.
+SPACES = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 @F.pandas_udf(types.StringType())
@@ -49,13 +50,14 @@ def fold_all(col) -> Column:
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col, F.lit(SPACES))
 
 
 def tidy(folded: Column) -> Column:
     """Collapse white space, trim, drop trailing ``.,;:`` and trim again."""
-    one = strip(F.regexp_replace(folded, rf"{SPACE}+", " "))
-    return F.coalesce(strip(F.regexp_replace(one, r"[.,;:]+\z", "")), F.lit(""))
+    plain = F.translate(folded, SPACES, " " * len(SPACES))
+    one = F.btrim(F.regexp_replace(plain, "  +", " "))
+    return F.coalesce(F.rtrim(F.rtrim(one, F.lit(".,;:"))), F.lit(""))
 
 
 def normalize_string(col) -> Column:

@@ -11,6 +11,7 @@ from trialstats.functions.arguments import args_sha256, matches_schema
 from trialstats.operators import grade as G
 from trialstats.operators import transcripts as X
 from trialstats.plans.catalogue import sqltext as S
+from trialstats.session import cut
 from trialstats.sources.adapters import spread, table
 
 
@@ -142,7 +143,8 @@ def regraded_runs(spark, sf_dir):
     rows = _graded_input(spark, sf_dir).withColumn("run_id", F.concat_ws("-", "conv_id", "turn")).withColumn("doc_id", F.col("run_id"))
     gold, turn, conv = rows.select("doc_id", "gold"), F.col("turn"), F.col("conv_id")
     runs = rows.select("conv_id", "turn", "run_id", "doc_id", "submission", F.lit("submitted").alias("outcome"))
-    stored = G.grade_runs(runs, gold).withColumn("score", F.col("score") + F.when(turn % 7 == 1, 0.125).otherwise(0.0))
+    # an audit reads recorded grades; were they not written, its filter on them would grade every run once more
+    stored = cut(G.grade_runs(runs, gold)).withColumn("score", F.col("score") + F.when(turn % 7 == 1, 0.125).otherwise(0.0))
     record = F.when(turn % 7 == 2, "{}").otherwise(F.to_json("submission"))
     call = F.array(F.struct(
         F.lit("a").alias("id"), F.lit("submit_record").alias("name"),
