@@ -67,3 +67,15 @@ def test_pages_without_article_on_a_host_with_articles(spark):
         "page_id long, url string, html string")
     got = {r.page_id: r.text for r in E.extract(pages).collect()}
     assert got == {i: f"{'Old' if i % 3 == 0 else 'New'} n{i}" for i in range(9)}
+
+
+def test_repeated_text_goes_only_where_the_template_nests(spark):
+    shell = "<html><body><div class=top>Our shop</div>{}</body></html>"
+    same = "<div class=x><div class=y>First shared</div><div class=y>Second shared</div></div>"
+    bodies = [same, same, "<div class=x><div class=y>Third</div></div><div class=x></div><div class=x></div>", "<div class=w>Fourth</div>"]
+    pages = spark.createDataFrame([(i, f"http://h.example/{i}", shell.format(b)) for i, b in enumerate(bodies)],
+                                  "page_id long, url string, html string")
+    known = E.templates(pages).first()
+    assert len(known.repeated) == 3 and E.nested(known.slots) == {"/html", "/html/body", "/html/body/div.top"}
+    got = {r.page_id: r.text for r in E.extract(pages).collect()}  # neither div.x nor div.y is in a class of its host
+    assert got == {0: "First shared Second shared", 1: "First shared Second shared", 2: "Third", 3: "Fourth"}

@@ -111,4 +111,4 @@ def test_an_audit_grades_once(spark):
     odd = spark.createDataFrame([("\u3000 a\x85\x1c b.\u2003, ;",), (" .;",), (None,)], "t string")
     got = odd.select(T.strip(odd["t"]), T.tidy(odd["t"]))
     assert [tuple(r) for r in got.collect()] == [("a\x85\x1c b.\u2003, ;", "a b. ,"), (".;", ""), (None, "")]
-    assert r"\\z" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert r"\z" not in got._jdf.queryExecution().optimizedPlan().toString()

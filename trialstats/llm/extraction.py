@@ -12,7 +12,9 @@
    (elements and whole class or id names for navigation, notices, adverts, forms, comments); where the page has an
    article or main element, only slots inside it stay. An article inside a container that only its class names
    boilerplate is the main text if the page has no other. On pages without an article, text that repeats on most pages
-   of the host is template text and goes. On pages whose host has no usable template the page's own containers decide.
+   of the host and stands in a slot, or in an element right inside one, is template text and goes; in a place that does
+   not nest in the template it is the page's own and stays. On pages whose host has no usable template the page's own
+   containers decide.
 
 Templates are small (bounded by a host's distinct paths); they are sent to all tasks while their measured size is
 below ``BROADCAST_ROWS`` rows, and joined by host beyond.
@@ -285,7 +287,13 @@ def main_text(page: str, slots: set[str], repeated: set[str]) -> str:
         if kept := [text for _, kind, text in blocks if kind == article]:
             return " ".join(kept)
     # a page without an article of its own, whatever the other pages of its host have
-    return " ".join(text for path, kind, text in blocks if kind == "plain" and block_name(path, text) not in repeated)
+    return " ".join(text for path, kind, text in blocks
+                    if kind == "plain" and not (block_name(path, text) in repeated and in_template(path, slots)))
+
+
+def in_template(path: str, slots: set[str]) -> bool:
+    """Whether a block stands in the nested template: in an element of it, or in one that repeats inside such an element."""
+    return path in slots or path.rsplit("/", 1)[0] in slots
 
 
 @F.arrow_udf(T.StringType())
