@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialstats.session import cut
+from trialstats.session import cut, release
 
 
 def _large(links: DataFrame) -> DataFrame:
@@ -32,6 +32,7 @@ def components(links: DataFrame) -> DataFrame:
     sign = None
     while True:
         links = cut(_small(_large(links)).distinct())
+        release(links.sparkSession)  # the shuffles of a round are as large as those of the first
         now = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == sign:
             break

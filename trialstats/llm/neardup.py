@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from trialstats.llm.common import small, table, utf8, work_tables
 from trialstats.llm.graph import components
-from trialstats.session import cut
+from trialstats.session import cut, release
 
 SHINGLE = 5
 PERCENT = 75
@@ -446,8 +446,8 @@ def _bucketed(sets: DataFrame, name: str) -> DataFrame:
 def _roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """node and root of every class with a confirmed link."""
     links = cut(_confirm(_hub_pairs(members), sets, percent))
-    rest = _rest_links(_rooted(members, components(links)), sets, percent)
-    return components(links.unionAll(cut(rest)))
+    rest = cut(_rest_links(_rooted(members, components(links)), sets, percent))
+    return components(links.unionAll(rest))
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -457,6 +457,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = rows.where("n > 0").select("digest", "n", "sketch").dropDuplicates(["digest"])
     buckets = _buckets(classes, REGISTERS, BANDS)
     members = cut(buckets.select("key", "band", "digest", "n"))
+    release(docs.sparkSession)
     wanted = members.select("digest").distinct()
     key = F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")
     ids = rows.where("n > 0").select(key, "digest").join(wanted, "digest", "left_semi")
@@ -464,7 +465,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = docs.select(key, "text").join(small(cut(ids), SMALL_IDS), "_id", "left_semi")
     sets = sets.select(full_sets(utf8(F.col("text"))).alias("_s")).select("_s.*")
     with work_tables(docs.sparkSession) as database:
-        roots = _roots(members, _bucketed(sets, f"{database}.sets"), percent)
+        stored = _bucketed(sets, f"{database}.sets")
+        release(docs.sparkSession)
+        roots = _roots(members, stored, percent)
     named = _rooted(rows.select("doc_id", "n", "digest"), roots)
     least = named.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.withColumn("root", F.when(F.col("n") > 0, F.col("root")))
