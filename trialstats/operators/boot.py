@@ -7,6 +7,7 @@ per-document counts of that range, and the counts are summed per draw.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ def _blocks(sizes: DataFrame, draws: int, snapshot_id: str, statistics: Sequence
         F.lit(","), D.json_string("statistic"), F.lit(","), D.number("draw"), F.lit(","),
     )
     return (
-        sizes.select("model_id", "size", F.explode(F.lit(list(statistics))).alias("statistic"))
+        sizes.withColumn("statistic", F.explode(F.lit(list(statistics))))
         .withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
         .withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
         .repartition(parallelism(sizes.sparkSession), *KEYS, "_block").withColumn("_head", head)
@@ -67,40 +68,75 @@ def _positions(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("pos", F.coalesce(pos, F.lit(0).cast("bigint"))).drop("_head")
 
 
+def _digests(head: bytes, start: int, stop: int, tails: tuple[list[bytes], list[bytes]]) -> np.ndarray:
+    """First 32 bits of the digests of ``head``, an index and a bracket, for a range of indices.
+
+    ``tails`` has the last digits with the bracket, as they stand alone and behind others.
+    """
+    parts, wide = [np.zeros(0, np.int64)], len(tails[0])
+    while start < stop:
+        high, low = divmod(start, wide)
+        stem, ends = (head + b"%d" % high, tails[1]) if high else (head, tails[0])
+        part = b"".join([sha256(stem + end).digest() for end in ends[low : min(stop - high * wide, wide)]])
+        parts.append(np.frombuffer(part, ">u4")[::8].astype(np.int64))
+        start = (high + 1) * wide
+    return np.concatenate(parts)
+
+
+def _ranges(pos: np.ndarray, size: int, chunk: int) -> Iterator[tuple[int, bool, bytes]]:
+    """Range, whether dense, and bytes of positions: two bytes an offset where few are drawn, else a byte of multiplicity a
+    position, in several rows where a byte is too small."""
+    pos = np.sort(pos.astype(np.uint32))
+    own = pos // chunk
+    starts = np.flatnonzero(np.diff(own)) + 1
+    for c, offsets in zip(own[np.append(0, starts)].tolist(), np.split(pos % chunk, starts), strict=True):
+        width = min(chunk, size - c * chunk)
+        if 2 * len(offsets) < width:
+            yield c, False, offsets.astype("<u2").tobytes()
+            continue
+        times = np.bincount(offsets, minlength=width)
+        while times.any():
+            held = np.minimum(times, 255)
+            yield c, True, held.astype(np.uint8).tobytes()
+            times -= held
+
+
 def _packed(blocks: DataFrame) -> DataFrame:
-    """Drawn offsets inside each range of positions, two bytes each: one row per draw, block and range."""
-    keys = ["model_id", "size", "statistic", "draw", "_series"]
-    # rows of a block stay together, so a block is over where its number changes
-    drawn = _positions(blocks.withColumn("_unit", F.monotonically_increasing_id())).select(*keys, "_unit", "pos")
-    schema = drawn.select(*keys).schema.add("_chunk", "long").add("_at", "binary")
-    chunk = CHUNK
-
-    def packed(head: dict, pieces: list[np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
-        pos = np.sort(np.concatenate(pieces))
-        own, starts = np.unique(pos // chunk, return_index=True)
-        offsets = np.split((pos % chunk).astype("<u2"), starts[1:])
-        return pa.RecordBatch.from_arrays(
-            [*(pa.array([head[k]] * len(own), t) for k, t in zip(keys, types, strict=True)), pa.array(own, pa.int64()),
-             pa.array([o.tobytes() for o in offsets], pa.binary())], names=[*keys, "_chunk", "_at"])
+    """Drawn positions of every size in ``_sizes``, packed by range of them: rows of a draw, size, block and range.
+
+    An index is hashed once for all populations of a model, and no row is made of it.
+    """
+    keys = ["model_id", "statistic", "draw", "_series"]
+    blocks = blocks.select(*keys, "_block", "_head", "_sizes")
+    schema = blocks.select(*keys).schema.add("size", "long").add("_chunk", "long").add("_dense", "boolean").add("_at", "binary")
+    block, chunk = BLOCK, CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, head, pieces, types = None, {}, [], []
+        tails = [b"%d]" % j for j in range(10_000)], [b"%04d]" % j for j in range(10_000)]
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            units, pos = batch["_unit"].to_numpy(), batch["pos"].to_numpy()
             types = [batch.schema.field(k).type for k in keys]
-            edges = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
-            for start, stop in zip(edges[:-1], edges[1:], strict=True):
-                if units[start] != unit:
-                    if pieces:
-                        yield packed(head, pieces, types)
-                    unit, head, pieces = units[start], batch.select(keys).slice(start, 1).to_pylist()[0], []
-                pieces.append(pos[start:stop].copy())
-        if pieces:
-            yield packed(head, pieces, types)
-
-    return drawn.mapInArrow(run, schema)
+            for row in batch.to_pylist():
+                first = row["_block"] * block
+                hashed = _digests(row["_head"].encode(), first, min(first + block, max(row["_sizes"])), tails)
+                for size in row["_sizes"]:
+                    if size <= first:
+                        continue
+                    own, dense, at = zip(*_ranges(hashed[: size - first] % size, size, chunk), strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [*(pa.array([row[k]] * len(own), t) for k, t in zip(keys, types, strict=True)),
+                         pa.array([size] * len(own), pa.int64()), pa.array(own, pa.int64()), pa.array(dense), pa.array(at, pa.binary())],
+                        names=[*keys, "size", "_chunk", "_dense", "_at"])
+
+    return blocks.mapInArrow(run, schema)
+
+
+def _times(at: Sequence[bytes], dense: Sequence[bool], chunk: int) -> np.ndarray:
+    """Multiplicities of a range's positions, a line for each packed row."""
+    out = np.zeros((len(at), chunk))
+    for line, row, full in zip(out, at, dense, strict=True):
+        times = np.frombuffer(row, np.uint8) if full else np.bincount(np.frombuffer(row, "<u2"))
+        line[: len(times)] = times
+    return out
 
 
 def _numbers(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,16 +174,16 @@ def draw_sums(
 ) -> DataFrame:
     """Sums of ``values`` (whole numbers or doubles) over the documents of every draw, per group and statistic.
 
-    Groups of one model and size share their indices, so those are hashed once. A task sums one range of positions, of
+    Groups of one model share the hashes of their indices, so those are taken once. A task sums one range of positions, of
     as many groups as fill ``COLUMNS`` columns, over at most ``SERIES`` draws of a statistic: its memory depends on none of the
-    tables, and what moves is two bytes per drawn index.
+    tables, and what moves is about a byte per drawn index and population size, two at most.
     """
     whole = all(isinstance(placed.schema[v].dataType, IntegralType) for v in values)
     if not whole and not all(isinstance(placed.schema[v].dataType, (IntegralType, DoubleType, FloatType)) for v in values):
         raise TypeError("draws are summed over whole numbers or doubles")
     slot, series = max(1, COLUMNS // len(values)), -(-draws // SERIES)
     groups = cut(placed.where(F.col("model_id").isNotNull()).select(*g, "size").distinct())
-    sizes = groups.select("model_id", "size").distinct()
+    sizes = groups.groupBy("model_id").agg(F.max("size").alias("size"), F.collect_set("size").alias("_sizes"))
     # one row per group: the groups of one model and size are dealt into slots
     numbered = groups.withColumn("_n", F.row_number().over(Window.partitionBy("model_id", "size").orderBy(*g)) - 1)
     numbered = cut(numbered.select(
@@ -189,8 +225,7 @@ def draw_sums(
         parts = []
         for start in range(0, left.num_rows, batch):
             rows = left.slice(start, batch)
-            weights = np.stack([
-                np.bincount(np.frombuffer(b, "<u2"), minlength=chunk) for b in rows["_at"].to_pylist()]).astype(float)
+            weights = _times(rows["_at"].to_pylist(), rows["_dense"].to_pylist(), chunk)
             sums = _product(weights, there, whole).reshape(len(weights), len(here), -1)
             seen = (weights @ place) > 0
             null = (weights @ known.reshape(chunk, -1).astype(float)).reshape(sums.shape) == 0 if gaps else None
