@@ -11,6 +11,7 @@ from trialstats.operators.boot import placed_documents, ratio_bootstrap
 from trialstats.operators.cells import G, sweep_rows
 from trialstats.plans.scale import hot_key_join
 from trialstats.rules import Rules
+from trialstats.session import cut
 
 KEY = ("tools", "doc_id", "epoch")
 
@@ -69,10 +70,10 @@ def pair_sums(runs: DataFrame, rules: Rules = Rules(), g: Sequence[str] = G) ->
     joined = faulted.join(controls(runs, g), [*g, *KEY], "left")
     paired = F.col("control_id").isNotNull()
     n = F.when(paired, F.col("recovered")).otherwise(F.lit(0))
+    extra, faults = F.col("_turns") - n * F.col("control_turns"), F.when(paired, F.col("faults"))
     return joined.select(
         *g, "doc_id", "tools", "fault_pct", "first_fault_kind", "recovered", n.alias("pairs"),
-        (F.col("_turns") - n * F.col("control_turns")).alias("extra_turns"),
-        F.when(paired, F.col("faults")).alias("faults"),
+        extra.alias("extra_turns"), faults.alias("faults"), (extra - faults).alias("net_turns"),
         (F.col("_seconds") - n * F.col("control_seconds")).alias("extra_seconds"),
     )
 
@@ -84,11 +85,21 @@ def document_sums(pairs: DataFrame, g: Sequence[str] = G) -> DataFrame:
         .agg(
             F.sum("pairs").alias("pairs"),
             F.sum("extra_turns").alias("extra"),
-            F.sum(F.col("extra_turns") - F.col("faults")).alias("net"),
+            F.sum("net_turns").alias("net"),
         )
     )
 
 
+def folded_pairs(pairs: DataFrame, g: Sequence[str] = G) -> DataFrame:
+    """Pair sums with one row per document for what has a control and one for what has none.
+
+    Means and intervals are sums over these columns, so they come out as from ``pairs``.
+    """
+    sums = ("pairs", "extra_turns", "faults", "net_turns", "extra_seconds")
+    folded = pairs.groupBy(*g, "doc_id", (F.col("pairs") > 0).alias("_paired")).agg(*[F.sum(c).alias(c) for c in sums])
+    return folded.drop("_paired")
+
+
 def breakdowns(pairs: DataFrame, g: Sequence[str] = G) -> DataFrame:
     """Mean extra turns by the kind of the first fault and by fault row, in one pass."""
     by = [*g, "first_fault_kind", "fault_pct"]
@@ -164,8 +175,11 @@ def recovery_table(
     runs: DataFrame, snapshot_id: str, g: Sequence[str] = G, rules: Rules = Rules(),
     pairing: str = "in_expectation_unverified_stack",
 ) -> DataFrame:
-    """Everything the second decision needs, one row per group."""
-    pairs = pair_sums(runs, rules, g)
+    """Everything the second decision needs, one row per group.
+
+    The pairs are summed once and written by document, for the means and the intervals.
+    """
+    pairs = cut(folded_pairs(pair_sums(runs, rules, g), g))
     means = recovery_means(pairs, population_counts(runs, rules, g), g)
     return means.join(recovery_intervals(pairs, snapshot_id, g, rules), list(g), "left").withColumn(
         "pairing", F.lit(pairing)
