@@ -35,7 +35,7 @@ def first_decision(
 ) -> P1:
     """Counts once, then fit, bootstrap and decision from the counts alone."""
     return decision_of_counts(
-        C.cell_table(runs, rules, g), K.document_counts(runs, rules, g), snapshot_id, g, rules, design, statistic)
+        C.cell_table(runs, rules, g), cut(K.document_counts(runs, rules, g)), snapshot_id, g, rules, design, statistic)
 
 
 def decision_of_counts(
@@ -44,10 +44,11 @@ def decision_of_counts(
 ) -> P1:
     """The decision from rates per cell and counts per document and cell.
 
-    The counts are written once for the fit and the bootstrap. The three result tables have one row per cell or group;
-    they are written so that the decision, the statements and the snapshot read them instead of running the bootstrap again.
+    The fit and the bootstrap read ``counts`` several times: a written table, or a view that is cheap to read from one. The three
+    result tables have one row per cell or group; they are written so that the decision, the statements and the snapshot read them
+    instead of running the bootstrap again.
     """
-    cells, counts = cut(cells), cut(counts)
+    cells = cut(cells)
     grid = K.measured_grid(counts, rules, design)
     placed = B.placed_documents(K.wide_counts(counts, grid, g), g)
     fit = cut(SP.fit(counts, g, rules))
@@ -89,8 +90,8 @@ def reading_counts(
 ) -> tuple[DataFrame, DataFrame]:
     """Rates per cell and counts per document and in-scope cell of every reading: (cells, counts), with ``reading``.
 
-    One aggregation over the runs holds two filtered count pairs per reading; only its rows, one per document and cell,
-    are unpivoted.
+    One aggregation over the runs holds two filtered count pairs per reading; its rows, one per document and cell, are
+    written, and unpivoted wherever they are read, so no table holds a row for each reading.
     """
     named = _variants(rules, offsets)
     read = [success.alias(f"_y{i}") for i, (success, _) in enumerate(named.values())]
@@ -102,10 +103,12 @@ def reading_counts(
                  F.count_if(inside).alias(f"m{i}"), F.count_if(inside & F.col(f"_y{i}")).alias(f"s{i}")]
     once = cut(rows.groupBy(*g, "doc_id", *C.CELL).agg(*sums))
     one = [F.struct(F.lit(name).alias("reading"), *[F.col(f"{c}{i}").alias(c) for c in "nkms"]) for i, name in enumerate(named)]
-    long = once.select(*g, "doc_id", *C.CELL, F.inline(F.array(*one)))
-    keys = ["reading", *g]
+    unpivoted = lambda rows: rows.select(*g, "doc_id", *C.CELL, F.inline(F.array(*one)))
+    long, keys = unpivoted(once), ["reading", *g]
     cells = C.rated(long.groupBy(*keys, *C.CELL).agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n > 0"), keys, rules)
-    counts = long.where("m > 0").select(*keys, "doc_id", *C.CELL, "s", F.col("m").alias("n"))
+    # cells out of scope go before the unpivoting, below which a later check of the cells may be pushed
+    inside = once.where(F.greatest(*[F.col(f"m{i}") for i in range(len(named))]) > 0)
+    counts = unpivoted(inside).where("m > 0").select(*keys, "doc_id", *C.CELL, "s", F.col("m").alias("n"))
     return cells, counts
 
 
