@@ -63,7 +63,8 @@ def wide_counts(
 ) -> DataFrame:
     """One row per group and document with columns ``s_i`` and ``n_i`` in grid order.
 
-    A cell outside the declared grid stops the job; it is never dropped silently.
+    A cell outside the declared grid stops the job; it is never dropped silently. The short rows are dealt by document before they
+    are made wide: a task that holds few cells of each of all documents would only hold more.
     """
     here = [(F.col("tools") == t) & (F.col("fault_pct") == f) for t, f in cells]
     on_grid = here[0]
@@ -81,7 +82,7 @@ def wide_counts(
             F.coalesce(F.sum(F.when(h, F.col(s))), F.lit(0)).cast(kind).alias(f"s_{i}"),
             F.coalesce(F.sum(F.when(h, F.col(n))), F.lit(0)).alias(f"n_{i}"),
         ]
-    return checked.groupBy(*g, "doc_id").agg(*sums)
+    return checked.repartition(*g, "doc_id").groupBy(*g, "doc_id").agg(*sums)
 
 
 def count_columns(cells: Sequence) -> list[str]:

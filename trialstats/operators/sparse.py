@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from trialstats.functions.intervals import peak, sigmoid, z_value
 from trialstats.operators.cells import CELL, G
 from trialstats.operators.fit import COEFS, PAIRS, covariance_of, judged, limits_of, newton
+from trialstats.plans.scale import broadcast_if_small
 from trialstats.rules import Rules
 from trialstats.session import cut
 
@@ -197,8 +198,9 @@ def estimate(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), ce
 
 
 def _products(counts: DataFrame, fitted: DataFrame, g: Sequence[str]) -> DataFrame:
-    """Every group fitted by maximum likelihood, with the meat (m_jk) and the information (i_jk) of its coefficients."""
-    mle = fitted.where("status = 'mle'").select(*g, *COEFS)
+    """Every group of a written fit by maximum likelihood, with the meat (m_jk) and the information (i_jk) of its coefficients."""
+    # a row per group: the counts of a group need not meet in one task
+    mle = broadcast_if_small(fitted.where("status = 'mle'").select(*g, *COEFS))
     x = _x()
     met = counts.select(*g, "doc_id", *CELL, "s", "n").join(mle, g)
     rest = F.col("s") - F.col("n") * sigmoid(_linear(COEFS))
