@@ -199,10 +199,10 @@ def estimate(counts: DataFrame, g: Sequence[str] = G, rules: Rules = Rules(), ce
 
 def _products(counts: DataFrame, fitted: DataFrame, g: Sequence[str]) -> DataFrame:
     """Every group of a written fit by maximum likelihood, with the meat (m_jk) and the information (i_jk) of its coefficients."""
-    # a row per group: the counts of a group need not meet in one task
+    # a row per group: the counts of a group need not meet in one task, only those of a document
     mle = broadcast_if_small(fitted.where("status = 'mle'").select(*g, *COEFS))
     x = _x()
-    met = counts.select(*g, "doc_id", *CELL, "s", "n").join(mle, g)
+    met = counts.select(*g, "doc_id", *CELL, "s", "n").repartition(*g, "doc_id").join(mle, g)
     rest = F.col("s") - F.col("n") * sigmoid(_linear(COEFS))
     scores = met.groupBy(*g, "doc_id").agg(*[F.sum(x[j] * rest).alias(f"u_{j}") for j in range(4)])
     meat = scores.groupBy(*g).agg(*[F.sum(F.col(f"u_{j}") * F.col(f"u_{k}")).alias(f"m_{j}{k}") for j, k in PAIRS])
